@@ -38,11 +38,16 @@ class DomainModel:
         return softmax(((tf / norm) @ self.weights[at] + self.bias).astype(np.float64))
 
 
-def fit_domains(rows: DataFrame, per_class: int = 500, epochs: int = 3) -> DomainModel:
-    """Learn from (doc_id, text, domain) on about ``per_class`` rows of each domain; the bias
-    restores the domains' shares."""
-    rows = rows.filter(F.col("domain").isNotNull() & F.col("text").isNotNull())
-    sample, kept = class_sample(rows, "domain", per_class, "doc_id", "text")
+def fit_domains(docs: DataFrame, labels: DataFrame, per_class: int = 500, epochs: int = 3) -> DomainModel:
+    """Learn from about ``per_class`` labelled rows of each domain (language and quality); the
+    bias restores the domains' shares. The sample is drawn without texts, and its ids, which
+    are bounded, are broadcast to them."""
+    marks = labels.filter(F.col("quality").isNotNull()).select(F.col("doc_id").alias("label_id"), "quality")
+    known = docs.select("doc_id", "lang").filter(F.col("lang").isNotNull()).join(marks, F.col("doc_id") == F.col("label_id"))
+    known = known.select("label_id", F.concat_ws("/", "lang", F.concat(F.lit("q"), F.col("quality"))).alias("domain"))
+    chosen, kept = class_sample(known, "domain", per_class, "label_id")
+    chosen = F.broadcast(chosen.limit(2 * per_class * max(1, len(kept))))
+    sample = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("label_id")).filter(F.col("text").isNotNull())
 
     def featurise(batches):
         for batch in batches:
@@ -174,12 +179,6 @@ def copies_of(rate: Column, *keys: str) -> Column:
     return F.floor(rate + unit_hash(*keys)).cast("long")
 
 
-def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, domain): language and quality of the labelled documents."""
-    marks = labels.filter(F.col("quality").isNotNull()).select(F.col("doc_id").alias("label_id"), "quality")
-    return docs.join(marks, F.col("doc_id") == F.col("label_id")).select("doc_id", "text", F.concat_ws("/", "lang", F.concat(F.lit("q"), F.col("quality"))).alias("domain")).filter(F.col("lang").isNotNull())
-
-
 def mixing_rates(docs: DataFrame, labels: DataFrame, alpha: float = 0.5) -> DataFrame:
     """One row for every row of ``docs``: doc_id, n_tokens, domain, domain_posterior, rate,
     copies.
@@ -188,7 +187,7 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, alpha: float = 0.5) -> Data
     rates; an empty table gives an empty one; without labelled rows all is one domain and the
     rates are 1; extra columns are not looked at.
     """
-    model = fit_domains(labelled_domains(docs, labels))
+    model = fit_domains(docs, labels)
     rows = checkpoint(with_posteriors(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model).drop("text"))
     fit = fit_rates(rows, model.domains, tempered(alpha, grow=False))
     return rated(rows, fit).select(
@@ -199,7 +198,7 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, alpha: float = 0.5) -> Data
 def mix_documents(docs: DataFrame, labels: DataFrame, alpha: float = 0.8) -> DataFrame:
     """``docs`` (all its columns), each row as often as its rate says; domains only grow, so
     every row stays at least once."""
-    model = fit_domains(labelled_domains(docs, labels))
+    model = fit_domains(docs, labels)
     measured = with_posteriors(docs, model)
     small = checkpoint(measured.select("__tokens", "__posterior"))
     fit = fit_rates(small, model.domains, tempered(alpha, grow=True), least=1.0)
