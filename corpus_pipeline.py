@@ -17,12 +17,12 @@ from kerbside.llm.exact_dedup import drop_repeats
 from kerbside.llm.mixing import mix_documents
 from kerbside.llm.near_dup import keep_one_of_each_class
 from kerbside.llm.packing import pack_documents
-from kerbside.llm.toxicity import fit_toxicity, labelled, reject_toxic
+from kerbside.llm.toxicity import fit_toxicity, reject_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the tagger doesn't reject."""
-    return reject_toxic(docs, fit_toxicity(labelled(docs, table(spark, sf_dir, "labels"))))
+    return reject_toxic(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

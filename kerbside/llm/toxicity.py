@@ -152,13 +152,14 @@ def offending_spans(text: str, marginals: np.ndarray) -> str:
 def find_cues(toxic: list[set], clean: list[set]) -> set[str]:
     """Affixes that cover toxic documents and (almost) no clean one, most covering first."""
     least = max(3, len(toxic) // 250)
-    of_clean = Counter(f for words in clean for f in {a for w in words for a in affixes(w)})
-    sets = [{a for w in words for a in affixes(w)} for words in toxic]
-    of_toxic = Counter(f for s in sets for f in s)
+    # a document's affixes are many: they are made twice rather than held
+    of = lambda words: {a for w in words for a in affixes(w)}
+    of_clean = Counter(f for words in clean for f in of(words))
+    of_toxic = Counter(f for words in toxic for f in of(words))
     odds = (len(clean) + 1) / (len(toxic) + 1)
     good = {f for f, n in of_toxic.items() if n >= least and n * odds >= 30 * (of_clean[f] + 0.3)}
     cues: set[str] = set()
-    left = [s & good for s in sets]
+    left = [of(words) & good for words in toxic]
     while True:
         gain = Counter(f for s in left for f in s)
         if not gain:
@@ -175,7 +176,8 @@ def find_cues(toxic: list[set], clean: list[set]) -> set[str]:
 
 def fit_tagger(toxic: list[str], clean: list[str], passes: int = 12, seed: int = 7) -> TaggerModel:
     """Train the field on chains of the labelled documents by stochastic gradient ascent."""
-    split = lambda t: WORD.findall(t.lower())
+    one: dict[str, str] = {}
+    split = lambda t: [one.setdefault(w, w) for w in WORD.findall(t.lower())]  # noqa: E731  one object for each word
     toxic_words, clean_words = [split(t) for t in toxic], [split(t) for t in clean]
     cues = find_cues([set(w) for w in toxic_words], [set(w) for w in clean_words])
     weights = np.zeros(1 << BITS)
@@ -269,20 +271,24 @@ def fit_link(features: np.ndarray, labels: np.ndarray, weight: np.ndarray, round
     return tuple(map(float, b))
 
 
-def fit_toxicity(rows: DataFrame, per_class: int = 3000) -> TaggerModel:
-    """Learn from (doc_id, text, toxic) on a bounded sample of about ``per_class`` rows of
-    each label; the link is fitted with weights that restore the labels' true shares."""
-    rows = rows.filter(F.col("toxic").isin(0, 1) & F.col("text").isNotNull())
-    sample, kept = class_sample(rows, "toxic", per_class, "doc_id", "text")
-    found = sorted((r["toxic"], r["text"]) for r in sample.select("toxic", "text").limit(4 * per_class).collect())
+def fit_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0, per_class: int = 2000) -> TaggerModel:
+    """Learn from the labelled rows outside the held-out fold, on a bounded sample of about
+    ``per_class`` rows of each label; the link is fitted with weights that restore the labels'
+    true shares. The sample is drawn from the labels alone and its ids, which are bounded, are
+    broadcast to the texts. Null labels and texts are not learnt from; without both labels the
+    model finds nothing."""
+    marks = labels.filter(F.col("toxic").isin(0, 1) & ~held_out(modulus, remainder)).select(F.col("doc_id").alias("label_id"), F.col("toxic").alias("label"))
+    sample, kept = class_sample(marks, "label", per_class, "label_id")
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample.limit(4 * per_class)), F.col("doc_id") == F.col("label_id")).filter(F.col("text").isNotNull())
+    found = sorted((r["label"], r["text"]) for r in texts.select("label", "text").collect())
     toxic, clean = [t for y, t in found if y == 1], [t for y, t in found if y == 0]
     if not toxic or not clean:
-        return TaggerModel(np.zeros(1 << BITS, np.float32), -3.0, np.array([-3.0, 0.0, 0.0]), -8.0 if not toxic else 0.0)
+        return TaggerModel(np.zeros(1 << BITS, np.float32), -3.0, np.array([-3.0, 0.0, 0.0]), -8.0)
     model = fit_tagger(toxic, clean)
     cache = EmissionCache(model)
-    features = np.array([document_features(m) for m in document_marginals([t for _, t in found], model, cache)])
-    labels = np.array([y for y, _ in found], float)
-    model.link = fit_link(features, labels, np.array([1 / kept[y] for y, _ in found]))
+    labels_found = np.array([y for y, _ in found], float)
+    features = np.array([document_features(document_marginals([t], model, cache)[0]) for _, t in found])
+    model.link = fit_link(features, labels_found, np.array([1 / kept[y] for y, _ in found]))
     return model
 
 
@@ -314,10 +320,10 @@ def score_toxicity(docs: DataFrame, model: TaggerModel) -> DataFrame:
     return docs.mapInArrow(score, schema)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0, per_class: int = 3000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0, per_class: int = 2000) -> DataFrame:
     """Fit on labelled rows outside the held-out fold, then score every row of ``docs``."""
-    known = labelled(docs, labels, modulus, remainder)
-    return score_toxicity(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(modulus, remainder).alias("held_out"), "text"), fit_toxicity(known, per_class)).drop("text")
+    model = fit_toxicity(docs, labels, modulus, remainder, per_class)
+    return score_toxicity(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(modulus, remainder).alias("held_out"), "text"), model).drop("text")
 
 
 def reject_toxic(docs: DataFrame, model: TaggerModel) -> DataFrame:
@@ -335,8 +341,3 @@ def reject_toxic(docs: DataFrame, model: TaggerModel) -> DataFrame:
 
     return docs.mapInArrow(keep, docs.schema)
 
-
-def labelled(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0) -> DataFrame:
-    """(doc_id, text, toxic) of the labelled rows that may be learnt from."""
-    marks = labels.select(F.col("doc_id").alias("label_id"), "toxic")
-    return docs.select("doc_id", "text").join(marks, F.col("doc_id") == F.col("label_id")).filter(~held_out(modulus, remainder)).select("doc_id", "text", "toxic")
