@@ -23,7 +23,7 @@ from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField,
 from .common import class_sample, held_out
 
 WORD = re.compile(r"\w+")
-BITS = 18
+BITS = 20
 #: The chain restarts after so many tokens.
 CHAIN = 64
 PREFIXES = (3, 4, 5, 6)
@@ -149,6 +149,35 @@ def offending_spans(text: str, marginals: np.ndarray) -> str:
 # --- learning -------------------------------------------------------------------------
 
 
+def merge_copies(documents: list[list[str]], hashes: int = 4) -> list[set]:
+    """Word sets of the documents, those of (near) copies joined into one, so that a text that
+    is often repeated counts once. Copies share one of a few MinHash values of word triples."""
+    parent = list(range(len(documents)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    seen: dict[tuple, int] = {}
+    for i, words in enumerate(documents):
+        code = np.array([crc32(w.encode("utf-8", "surrogatepass")) for w in words], np.uint64)
+        width = min(3, len(code))
+        if width == 0:
+            continue
+        triples = np.zeros(len(code) - width + 1, np.uint64)
+        for k in range(width):
+            triples = (triples ^ code[k : len(code) - width + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+        for k in range(hashes):
+            least = int(((triples ^ (triples >> np.uint64(29 + k))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * k)).min())
+            parent[root(i)] = root(seen.setdefault((k, least), i))
+    merged: dict[int, set] = {}
+    for i, words in enumerate(documents):
+        merged.setdefault(root(i), set()).update(words)
+    return list(merged.values())
+
+
 def find_cues(toxic: list[set], clean: list[set]) -> set[str]:
     """Affixes that cover toxic documents and (almost) no clean one, most covering first."""
     least = max(3, len(toxic) // 250)
@@ -179,7 +208,7 @@ def fit_tagger(toxic: list[str], clean: list[str], passes: int = 12, seed: int =
     one: dict[str, str] = {}
     split = lambda t: [one.setdefault(w, w) for w in WORD.findall(t.lower())]  # noqa: E731  one object for each word
     toxic_words, clean_words = [split(t) for t in toxic], [split(t) for t in clean]
-    cues = find_cues([set(w) for w in toxic_words], [set(w) for w in clean_words])
+    cues = find_cues(merge_copies(toxic_words), merge_copies(clean_words))
     weights = np.zeros(1 << BITS)
     model = TaggerModel(weights, -3.0, np.array([-3.0, 0.0, 0.0]), -3.0)
     is_cue: dict[str, bool] = {}
