@@ -1 +1,3 @@
+"""Operators over the road-safety relations; importing this package registers its queries."""
 
+from . import filters, response, snapshots, spatial, statistics  # noqa: F401

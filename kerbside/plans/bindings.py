@@ -117,13 +117,15 @@ def with_bindings(sql: str) -> str:
     """A query of bindings as one standalone statement."""
     needed: list[str] = []
 
-    def add(text: str):
-        for name in BINDINGS:
-            if re.search(rf"\b{name}\b", text) and name not in needed:
-                add(BINDINGS[name])
-                needed.append(name)
+    def add(name: str):
+        if name in BINDINGS and name not in needed:
+            for inner in re.findall(r"\{(\w+)\}", BINDINGS[name]):
+                add(inner)
+            needed.append(name)
 
-    add(sql)
+    for name in BINDINGS:
+        if re.search(rf"\b(from|join)\s+{name}\b", sql):
+            add(name)
     body = sql.strip()
     parts = [f"{n} as ({re.sub(r'[{}]', '', BINDINGS[n])})" for n in needed]
     if body.lower().startswith("with "):
