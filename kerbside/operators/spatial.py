@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import CITY_LAT, METRES_PER_DEGREE, half_up, haversine_km, point_segment_m, to_xy, traffic_factor, zone_by_bearing
+from ..functions import geo
+from ..functions.geo import METRES_PER_DEGREE, half_up, haversine_km, point_segment_m, to_xy, traffic_factor
 from ..functions.text import severity_counts, weight
 from ..plans.dialect import half_up as sql_half_up
 from ..plans.dialect import km
@@ -80,8 +81,8 @@ def grid_polygon(t):
     with b as (select id, lat, lng, {km('lat', 'lng', '12.9716e0', '77.5946e0')} as d, degrees(atan2((lng - 77.5946e0) * cos(radians(12.9716e0)), lat - 12.9716e0)) + 360e0 as a from active)
     select id, case when d < 4 then 'Central' when (a - 360e0 * floor(a / 360e0)) >= 315 or (a - 360e0 * floor(a / 360e0)) < 45 then 'North' when (a - 360e0 * floor(a / 360e0)) < 135 then 'East'
         when (a - 360e0 * floor(a / 360e0)) < 225 then 'South' else 'West' end as zone from b""")
-def zone_of_bearing(t):
-    return t.active.select("id", zone_by_bearing(c("lat"), c("lng")).alias("zone"))
+def zone_by_bearing(t):
+    return t.active.select("id", geo.zone_by_bearing(c("lat"), c("lng")).alias("zone"))
 
 
 TRAFFIC = "case when (h >= 8 and h < 11) or (h >= 17 and h < 21) then 1.5e0 when h >= 11 and h < 17 then 1.25e0 when h >= 22 or h < 6 then 1e0 else 1.15e0 end"

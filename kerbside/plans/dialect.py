@@ -5,6 +5,7 @@ from __future__ import annotations
 
 def km(lat1: str, lng1: str, lat2: str, lng2: str) -> str:
     """Great-circle kilometres, as ``functions.geo.haversine_km`` has them."""
+    lat1, lng1, lat2, lng2 = (f"({x})" for x in (lat1, lng1, lat2, lng2))
     a = f"(pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lng2} - {lng1}) / 2), 2))"
     return f"(6371e0 * 2e0 * atan2(sqrt({a}), sqrt(1e0 - {a})))"
 
