@@ -36,6 +36,18 @@ def test_ids_equal_whole_encoding():
         assert ids == whole.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_ids_of_words_in_any_case_with_marks():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole, parts = packing.load_tokenizer(path), packing.PartIds(path)
+    draw = random.Random(5)
+    letters = "abcXYZéÉñÑßöÖŉıİſǅĿŒ\u0250ΣK" + ".,;:!?'-_1"
+    latin = "abcXYZéÉñÑßöÖª²µÿ" + ".,;:!?'-_1"
+    texts = [" ".join("".join(draw.choices(latin, k=draw.randint(1, 8))) + draw.choice(["", ".", "?!", ",", "'s."]) for _ in range(6)) for _ in range(6000)]
+    texts += [" ".join("".join(draw.choices(letters, k=draw.randint(1, 8))) + draw.choice(["", ".", "?!", ","]) for _ in range(6)) for _ in range(4000)]
+    for text, ids in zip(texts, packing.ids_of_texts(texts, parts)):
+        assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 255, 2047, 2048, 2049, 5000])
 def test_pieces_are_powers_of_two(n):
     pieces = packing.piece_lengths(n)
