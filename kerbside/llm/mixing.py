@@ -24,6 +24,8 @@ from .softmax_ftrl import SoftmaxFTRL, softmax
 
 ANCHOR = 1e-4
 STEPS = 60
+#: Rows of a task of a step.
+STEP_ROWS = 50_000
 
 
 @dataclass
@@ -114,6 +116,7 @@ def fit_rates(rows: DataFrame, domains: list[str], targets, least: float = 0.0,
     """Fit rates to (__tokens, __posterior); ``targets`` maps the available tokens of the
     domains to those wanted. ``rows`` should be written already: each step reads it."""
     k = len(domains)
+    rows = rows.coalesce(max(1, rows.count() // STEP_ROWS))  # a step is short: few, large tasks
     sums = lambda df: np.array([x or 0.0 for x in df.first()], float)
     available = sums(rows.agg(*[F.sum(F.col("__tokens") * F.col("__posterior")[i]).alias(f"s{i}") for i in range(k)]))
     wanted = np.asarray(targets(available), float)
