@@ -22,8 +22,8 @@ SEQUENCE = 2048
 #: Parts that a worker remembers, and the longest of them. They set the speed, not the ids.
 WORKER_CACHE = 500_000
 LONGEST = 64
-#: A mark after a letter or digit and before white space or the end.
-MARK = re.compile(r"([.,;:!?])(?=\s|$)(?<=[^\W_].)")
+#: A run of ASCII marks, but for apostrophes, from a letter or digit to white space or the end.
+MARK = re.compile(r"([!-&(-/:-@\[-`{-~](?<=[^\W_].)[!-&(-/:-@\[-`{-~]*)(?=\s|$)")
 #: White space in Python that the tokenizer keeps: texts with it are encoded whole.
 ODD_SPACES = "\x1c\x1d\x1e\x1f"
 
@@ -36,10 +36,10 @@ def load_tokenizer(path: str):
 
 
 def plain_words(text: str) -> list[str] | None:
-    """Lower-case words of a Latin-1 text, with the mark after a word as a word of its own: the
-    tokenizer lower-cases too, and cuts a mark off that stands between a letter and white
-    space. None for other texts."""
-    if any(c in text for c in ODD_SPACES):
+    """Lower-case words of a Latin-1 text, with the marks after a word as a word of their own: the
+    tokenizer lower-cases too, and cuts marks off that stand between a letter and white
+    space. None for other texts, and for those that may hold special tokens."""
+    if "<|" in text or any(c in text for c in ODD_SPACES):
         return None
     try:
         text.encode("latin-1")

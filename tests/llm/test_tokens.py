@@ -9,7 +9,7 @@ import pytest
 
 from kerbside.llm import packing, token_counts
 
-ALPHABET = ["a", "b", "the", "ing", " ", "  ", "\n", "\t", "▁", ".", "é", "é", "ß", "Σ", "ΑΣ", "中", "\U0001f600", "<s>", "<|endoftext|>", "<|startoftext|>", "'s", "1", "23", "\xa0", "\x1c", "　", "\r\n", "\x00", "İ", "ﬁ", "K"]
+ALPHABET = ["a", "b", "the", "ing", "***", "$", "|>", "_", " ", "  ", "\n", "\t", "▁", ".", "é", "é", "ß", "Σ", "ΑΣ", "中", "\U0001f600", "<s>", "<|endoftext|>", "<|startoftext|>", "'s", "1", "23", "\xa0", "\x1c", "　", "\r\n", "\x00", "İ", "ﬁ", "K"]
 
 
 def random_texts(n, seed):
@@ -42,7 +42,7 @@ def test_ids_of_words_in_any_case_with_marks():
     draw = random.Random(5)
     letters = "abcXYZéÉñÑßöÖŉıİſǅĿŒ\u0250ΣK" + ".,;:!?'-_1"
     latin = "abcXYZéÉñÑßöÖª²µÿ" + ".,;:!?'-_1"
-    texts = [" ".join("".join(draw.choices(latin, k=draw.randint(1, 8))) + draw.choice(["", ".", "?!", ",", "'s."]) for _ in range(6)) for _ in range(6000)]
+    texts = [" ".join("".join(draw.choices(latin, k=draw.randint(1, 8))) + draw.choice(["", ".", "?!", ",", "'s.", ".***", "_$", "|>", "'"]) for _ in range(6)) for _ in range(6000)]
     texts += [" ".join("".join(draw.choices(letters, k=draw.randint(1, 8))) + draw.choice(["", ".", "?!", ","]) for _ in range(6)) for _ in range(4000)]
     for text, ids in zip(texts, packing.ids_of_texts(texts, parts)):
         assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
