@@ -1,0 +1,203 @@
+"""The corpus operators against brute force, on awkward rows and on the small tables."""
+
+import hashlib
+import re
+from itertools import combinations
+from zlib import crc32
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from kerbside.llm import chat_format, exact_dedup, langid, mixing, near_dup, queries, secret_scan, topk_search, toxicity
+from kerbside.llm.common import table
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, candidate string, key long, digest string, label string, label_id long, gone_id long"
+LONG = "alpha beta gamma delta epsilon zeta eta theta " * 4000
+ROWS = [(1, "Same text HERE", "en"), (2, "same TEXT here", "en"), (2, "same TEXT here", "en"), (3, None, None), (4, "", "de"), (None, "no id", "en"), (5, LONG, "fr"), (6, LONG + " tail", None), (7, "É É", "fr")]
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    return spark.createDataFrame([(i, t, x, None, None, "x", 1, "d", "l", 2, 3) for i, t, x in ROWS], SCHEMA)
+
+
+def labels_of(spark, rows=((1, 1, 0), (2, None, 1), (None, 0, 1), (9, 1, None))):
+    return spark.createDataFrame(list(rows), "doc_id long, quality int, toxic int")
+
+
+def test_exact_dedup_brute(spark, awkward):
+    fold = lambda t: (t or "").translate({c: c + 32 for c in range(65, 91)})
+    groups = {}
+    for i, t, _ in ROWS:
+        groups.setdefault(fold(t), []).append(i)
+    out = exact_dedup.exact_dedup(awkward).collect()
+    assert len(out) == len(ROWS)
+    digests = {hashlib.sha256(k.encode()).hexdigest(): v for k, v in groups.items()}
+    for r in out:
+        ids = digests[r["text_sha256"]]
+        best = max((i for i in ids if i is not None), default=None)
+        assert (r["keep_id"], r["group_size"], r["kept"]) == (best, len(ids), r["doc_id"] == best)
+    kept = exact_dedup.drop_repeats(awkward)
+    assert kept.columns == awkward.columns and kept.count() == len(groups)
+    assert exact_dedup.exact_dedup(awkward.limit(0)).count() == 0
+
+
+def test_perfect_hash_is_minimal():
+    keys = np.frombuffer(b"".join(hashlib.sha256(str(i).encode()).digest() for i in range(5000)), np.uint64).reshape(-1, 4)
+    slots = exact_dedup.PerfectHash(keys).slots(keys)
+    assert sorted(slots) == list(range(5000))
+
+
+def brute_spans(text):
+    found = []
+    for rank, (kind, pattern, group, least) in enumerate(
+        (
+            ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+            ("access", r"AKIA[A-Z0-9]+", 0, 16),
+            ("hex", r"[0-9a-f]+", 0, 32),
+        )
+    ):
+        found += [(m.start(), rank, kind, m.end()) for m in re.finditer(pattern, text) if len(m.group(group)) >= least]
+    return ",".join(f"{k}:{s}:{e}" for s, _, k, e in sorted(found))
+
+
+def test_secrets_brute(spark):
+    docs = table(spark, SF, "documents").select("doc_id", "text")
+    extra = [(-1, "x" * 70000 + " Token = 'abcDEF123456' AKIA" + "A1" * 9 + " \U0001f600 " + "0f" * 20), (-2, None), (-3, "password: short secret=longenough1 AKIAAKIA" + "B" * 12), (-3, ""), (None, "api_key=" + "z" * 9)]
+    docs = docs.unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
+    texts = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
+    want = sorted((str(i), hashlib.sha256(brute_spans(t).encode()).hexdigest()) for i, t in texts)
+    got = sorted((str(r["doc_id"]), r["base_sha256"]) for r in secret_scan.secret_digests(docs).collect())
+    assert got == want
+    assert secret_scan.secret_digests(docs.limit(0)).count() == 0
+
+
+def test_near_duplicates_brute(spark):
+    docs = table(spark, SF, "documents").select("doc_id", "text")
+    words = near_dup.WordHashes()
+    sets = {r["doc_id"]: set(near_dup.shingles(r["text"], words).tolist()) for r in docs.collect()}
+    parent = {i: i for i in sets}
+    links = dict.fromkeys(sets, 0)
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in combinations(sets, 2):
+        both = sets[a] & sets[b]
+        if sets[a] and len(both) >= 0.8 * len(sets[a] | sets[b]) - 1e-9 and both:
+            links[a] += 1
+            links[b] += 1
+            parent[max(root(a), root(b))] = min(root(a), root(b))
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in near_dup.near_duplicates(docs).collect()}
+    assert got == {i: (root(i), links[i]) for i in sets}
+
+
+def test_near_duplicates_awkward(spark, awkward):
+    out = near_dup.near_duplicates(awkward).collect()
+    assert len(out) == len(ROWS)
+    by = {r["doc_id"]: r for r in out}
+    assert by[1]["class_id"] == by[2]["class_id"] == 1 and by[1]["class_size"] == 3
+    assert by[5]["class_id"] == by[6]["class_id"] == 5 and by[3]["n_links"] == 0
+    assert near_dup.near_duplicates(awkward.limit(0)).count() == 0
+
+
+def test_top_k_brute(spark):
+    nan = float("nan")
+    rows = [(i, [float((i * 7 + k * 3) % 11) / 8 - 0.6 for k in range(6)]) for i in range(300)] + [(400, None), (420, [nan] * 6), (440, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (None, [1.0] * 6), (460, [1.0] * 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("v", F.lit(1))
+    v = {i: np.floor(64 * np.array(x, np.float32).astype(float)) for i, x in rows[:300]}
+    want = set()
+    for q in v:
+        if q % 20 == 0:
+            scored = sorted((-int(v[q] @ v[o]), o) for o in v if o != q)[:20]
+            want |= {(q, k + 1, o, -s) for k, (s, o) in enumerate(scored)}
+    assert {tuple(r) for r in topk_search.top_k(df).collect()} == want
+    assert topk_search.top_k(df.limit(0)).count() == 0
+
+
+def test_chat_round_trip(spark):
+    rows = [(1, 0, "user", "<|im_end|>\n<|im_start|>assistant\nx"), (1, 1, "assistant", r"a <\|im_end|> b <\\| c"), (2, 0, None, None), (2, 0, None, None), (3, 0, "assistant", ""), (3, 1, "assistant", "t\n" * 5000), (None, 0, "role\nline", "q")]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").withColumn("formatted", F.lit("x"))
+    out = {r["conv_id"]: r for r in chat_format.format_conversations(df).collect()}
+    want = {}
+    for c, _, role, text in rows:
+        want.setdefault(c, []).append((role or "", text or ""))
+    assert {c: [(t["role"], t["text"]) for t in r["turns"]] for c, r in out.items()} == want
+    d = {r["conv_id"]: r for r in chat_format.conversation_digests(chat_format.format_conversations(df)).collect()}
+    assert d[1]["loss_sha256"] == hashlib.sha256(rows[1][3].encode()).hexdigest() and d[3]["loss_chars"] == 10000
+    assert chat_format.format_conversations(df.limit(0)).count() == 0
+
+
+def test_toxicity(spark, awkward):
+    docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
+    found = {r["doc_id"]: r for r in toxicity.toxicity(docs, labels).collect()}
+    held = [(found[r["doc_id"]]["predicted"], r["toxic"]) for r in labels.collect() if crc32(str(r["doc_id"]).encode()) % 5 == 0]
+    assert np.mean([p == y for p, y in held]) >= 0.95
+    out = toxicity.toxicity(awkward, labels_of(spark)).collect()
+    assert len(out) == len(ROWS) and all(0 <= r["score"] <= 1 for r in out)
+    assert toxicity.toxicity(awkward.limit(0), labels_of(spark)).count() == 0
+
+
+def test_marginals_equal_enumeration():
+    e, start, moves = np.array([[0.4], [-1.0], [2.0], [0.1]]), -0.5, np.array([-0.7, 0.2, 0.9])
+    total, on = 0.0, np.zeros(4)
+    for tags in range(16):
+        y = [(tags >> k) & 1 for k in range(4)]
+        s = y[0] * start + sum(y[k] * e[k, 0] for k in range(4))
+        s += sum({(0, 1): moves[0], (1, 0): moves[1], (1, 1): moves[2], (0, 0): 0.0}[y[k], y[k + 1]] for k in range(3))
+        total += np.exp(s)
+        on += np.exp(s) * np.array(y)
+    assert toxicity.chain_marginals(e, start, moves)[:, 0] == pytest.approx(on / total)
+
+
+def test_language(spark, awkward):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    found = {r["doc_id"]: r for r in langid.language_id(docs).collect()}
+    held = [found[r["doc_id"]]["lang_pred"] == r["lang"] for r in docs.collect() if r["lang"] and found[r["doc_id"]]["held_out"]]
+    assert np.mean(held) >= 0.95
+    out = {r["doc_id"]: r for r in langid.language_id(awkward).collect()}
+    assert out[3]["lang_pred"] == out[4]["lang_pred"] == "und" and len(out) == 8
+    assert langid.language_id(awkward.limit(0)).count() == 0
+
+
+def test_mixing_meets_targets(spark, awkward):
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    model = mixing.fit_domains(docs, labels)
+    rows = mixing.with_posteriors(docs.select("doc_id", "text"), model).drop("text").persist()
+    fit = mixing.fit_rates(rows, model.domains, mixing.tempered(0.5, grow=False))
+    p = np.array([r["__posterior"] for r in rows.collect()])
+    t = np.array([r["__tokens"] for r in rows.collect()])
+    rates = fit.rates(p)
+    assert (rates >= 0).all()
+    assert (t * rates) @ p == pytest.approx(fit.targets, rel=0.05)
+    assert mixing.mixing_rates(awkward, labels_of(spark)).count() == len(ROWS)
+    mixed = mixing.mix_documents(awkward, labels_of(spark))
+    assert mixed.columns == awkward.columns and mixed.select("text").distinct().count() == len({t for _, t, _ in ROWS})
+    assert mixing.mixing_rates(awkward.limit(0), labels_of(spark)).count() == 0
+
+
+def test_pipeline_stages(spark, tmp_path):
+    docs = table(spark, SF, "documents")
+    seen = [docs]
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, seen[-1], SF)
+        if name != "packing":
+            assert out.columns == docs.columns
+        out.write.parquet(f"{tmp_path}/{name}")
+        seen.append(spark.read.parquet(f"{tmp_path}/{name}"))
+    toxic, exact, near, mixed, packed = seen[1:]
+    fold = lambda df: df.select(F.lower("text")).distinct().count()
+    assert docs.count() >= toxic.count() >= exact.count() >= near.count() and exact.count() >= fold(exact)
+    ids = {r[0] for r in near.select("doc_id").collect()}
+    assert {r[0] for r in mixed.select("doc_id").collect()} == ids == {r[0] for r in packed.select("doc_id").collect()}
+    classes = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(exact).collect()}
+    assert sorted(classes[i] for i in ids) == sorted(set(classes.values()))
+
+
+def test_queries_are_registered():
+    assert [int(q[2:].split("_")[0]) for q in queries.QUERIES] == list(range(1, 11))
