@@ -94,7 +94,7 @@ class RateFit:
     targets: np.ndarray
     step: float
     least: float
-    #: relative gaps of the domains' sums at each step
+    #: gaps of the domains' sums at each step, in shares of the available tokens
     gaps: list[np.ndarray]
 
     def rates(self, p: np.ndarray) -> np.ndarray:
@@ -122,7 +122,9 @@ def fit_rates(rows: DataFrame, domains: list[str], targets, least: float = 0.0,
     wanted = np.asarray(targets(available), float)
     live = (available > 0) & (wanted > 0)
     safe = np.where(live, wanted, 1.0)
-    fit = RateFit(domains, available, wanted, 1.0 / (float(np.max(np.where(live, available / safe, 0.0), initial=1e-9)) + ANCHOR), least, [])
+    # gaps count in units of what a domain has: then no step beyond 1 is safe, and small domains converge too
+    has = np.where(live, available, 1.0)
+    fit = RateFit(domains, available, wanted, 1.0 / (1.0 + ANCHOR), least, [])
 
     for _ in range(steps):
 
@@ -140,7 +142,7 @@ def fit_rates(rows: DataFrame, domains: list[str], targets, least: float = 0.0,
         total = sums(rows.select("__tokens", "__posterior").mapInArrow(partial, shape).agg(*[F.sum(f"s{i}") for i in range(2 * k)])).reshape(2, k)
         if np.max(np.abs(np.where(live, (total[0] - wanted) / safe, 0.0)), initial=0.0) < tolerance:
             break
-        fit.gaps.append(np.where(live, (total[1] - wanted) / safe, 0.0))
+        fit.gaps.append(np.where(live, (total[1] - wanted) / has, 0.0))
     return fit
 
 
