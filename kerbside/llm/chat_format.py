@@ -1,10 +1,10 @@
 """Chat formatting with a grammar round trip, in DataFrame functions only.
 
 A conversation is written as turns ``<|im_start|>role\\ntext<|im_end|>\\n``. A deterministic
-parser splits the result at the start marks and reads each piece back. Texts that do not come
-back are escaped and rendered again, then whole conversations, until what is read equals the
-source. The escape puts one more backslash between ``<`` and ``|``; it can be undone for any
-string.
+parser splits the result at the start marks and reads each piece back; a piece has the end mark
+only at its end. Texts that do not come back are escaped and rendered again, then whole
+conversations, until what is read equals the source. The escape puts one more backslash between
+``<`` and ``|``; it can be undone for any string.
 """
 
 from __future__ import annotations
@@ -46,14 +46,15 @@ def render(turns: Column, escaped) -> Column:
 
 def parse(rendered: Column) -> Column:
     """Turns of a rendered string: array of (role, raw, text, start); start is the code point
-    offset of the raw text. A piece that isn't a whole turn gives nulls."""
+    offset of the raw text. A piece that isn't a whole turn, or that has an end mark before its
+    end, gives nulls."""
     pieces = F.slice(F.split(rendered, r"<\|im_start\|>", -1), 2, 1 << 30)
     shaped = F.transform(
         pieces,
         lambda p: F.struct(
             F.length(p).alias("size"),
             F.regexp_extract(p, r"(?s)^([^\n]*)\n.*<\|im_end\|>\n$", 1).alias("head"),
-            F.when(p.rlike(r"(?s)^[^\n]*\n.*<\|im_end\|>\n$"), F.regexp_extract(p, r"(?s)^[^\n]*\n(.*)<\|im_end\|>\n$", 1)).alias("raw"),
+            F.when(p.rlike(r"(?s)^[^\n]*\n.*<\|im_end\|>\n$") & (F.instr(p, END) == F.length(p) - len(END)), F.regexp_extract(p, r"(?s)^[^\n]*\n(.*)<\|im_end\|>\n$", 1)).alias("raw"),
         ),
     )
     # offsets: each piece stands after a start mark and all pieces before it
