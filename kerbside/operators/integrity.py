@@ -199,6 +199,57 @@ def hamming_pairs(t):
     return a.join(b, ["half", "bits"]).filter("a_id < b_id").withColumn("distance", distance).filter("distance <= 1").select("a_id", "b_id", c("distance").cast("int").alias("distance")).distinct()
 
 
+#: Photos are alike up to so many bits of 64; eight bands of eight bits.
+ALIKE_BITS, BANDS = 6, 8
+
+
+def photo_hashes(t) -> DataFrame:
+    """(id, hash): a 64-bit hash of the photo of every event. Four events in a row have versions
+    of one photo; each version has up to eight bits of the photo's hash turned."""
+    turned = F.pmod(F.xxhash64("event_id", F.lit("turned")), F.lit(9))
+    h = F.xxhash64(F.floor(c("event_id") / 4))
+    for k in range(8):
+        bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(event_id, {k}), 64) as int))")
+        h = h.bitwiseXOR(F.when(turned > k, bit).otherwise(F.lit(0).cast("long")))
+    return t.events.select(c("event_id").alias("id"), h.alias("hash"))
+
+
+def hash_classes(df: DataFrame) -> DataFrame:
+    """(rep_id, hash, members) of (id, hash): equal hashes have the least id as representative.
+    Rows without a hash have no photo."""
+    return df.filter(c("hash").isNotNull()).groupBy("hash").agg(F.min("id").alias("rep_id"), F.count(F.lit(1)).alias("members"))
+
+
+def near_hashes(df: DataFrame) -> DataFrame:
+    """Pairs of representatives whose hashes differ in one to six bits.
+
+    Six bits touch six of eight bands at most, so two bands are equal: hashes meet by each of the
+    28 pairs of bands (pigeonhole), and are tested exactly. Seven bands with one equal find the
+    same pairs from about 30 times as many candidates on even hashes."""
+    band = [F.shiftrightunsigned("hash", 8 * k).bitwiseAND(255) for k in range(BANDS)]
+    pairs = [(i, j) for i in range(BANDS) for j in range(i)]
+    keys = F.array(*[(F.lit(n * 65536).cast("long") + band[i] * 256 + band[j]).cast("int") for n, (i, j) in enumerate(pairs)])
+    cut = hash_classes(df).select("rep_id", "hash", F.explode(keys).alias("key"))
+    a, b = (cut.select(c("rep_id").alias(f"{p}_id"), c("hash").alias(f"{p}_hash"), "key") for p in "ab")
+    distance = F.bit_count(c("a_hash").bitwiseXOR(c("b_hash"))).cast("int")
+    met = a.join(b, "key").filter((c("a_id") < c("b_id")) & (distance <= ALIKE_BITS))
+    return met.select("a_id", "b_id", distance.alias("distance")).distinct()
+
+
+@query()
+def photo_hash_classes(t):
+    """Membership of every photo: pairs of equal hashes, without a row for each pair."""
+    h = photo_hashes(t)
+    return h.join(hash_classes(h), "hash").select(c("id").alias("event_id"), "rep_id", "members")
+
+
+@query()
+def photo_hash_pairs(t):
+    """Near matches of all photos, between representatives; ``hamming_pairs`` is the part of it
+    that SQL can follow on small hashes of one event in ten."""
+    return near_hashes(photo_hashes(t))
+
+
 @query(f"""
     with x as (select a.vec_id as a_id, b.vec_id as b_id, {COSINE} as s, abs(a.vec_id - b.vec_id) % 4 as days, (a.vec_id * 37 + b.vec_id * 11) % 1500 as m from embeddings a join embeddings b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
     y as (select *, {sql_half_up("0.55e0 * greatest(0e0, least(1e0, (s - 0.3e0) / 0.6e0)) + 0.3e0 * greatest(0e0, 1e0 - m / 1500e0) + 0.15e0 * case days when 0 then 1e0 when 1 then 0.7e0 else 0.4e0 end", 2)} as score from x)
