@@ -10,7 +10,7 @@ from ..functions.text import local_hour
 from ..plans.dialect import half_up as sql_half_up
 from ..plans.dialect import km
 from ..plans.registry import query
-from .spatial import side
+from .spatial import nearest_by_cells, side
 from .statistics import dense, spine
 
 c = F.col
@@ -152,16 +152,13 @@ BUSY = 8
 CASES = " ".join(f"when priority = '{p}' and emergency_level = '{lv}' then {x}" for (p, lv), x in PENALTY.items())
 
 
-def ranked(t) -> DataFrame:
+def ranked(t, some: str = "true") -> DataFrame:
     """Pool of 15 nearest (and 2 trauma centres for critical alerts), without diverting ones,
-    scored by drive time and penalties, for some open alerts."""
-    a = t.alerts.filter("status = 'new' and id % 50 = 0").select(c("id").alias("p_id"), c("lat").alias("p_lat"), c("lng").alias("p_lng"), "priority")
+    scored by drive time and penalties, for open alerts; ``some`` cuts them to stated ones."""
+    a = t.alerts.filter("status = 'new'").filter(some).select(c("id").alias("p_id"), c("lat").alias("p_lat"), c("lng").alias("p_lng"), "priority")
     h = side(t.hospitals.filter("emergency_level != 'none'"), "h", "id", "lat", "lng", "emergency_level", "er_status")
-    d = haversine_km(c("p_lat"), c("p_lng"), c("h_lat"), c("h_lng"))
-    everything = a.crossJoin(h).withColumn("km", d)
-    order = Window.partitionBy("p_id").orderBy("km", "h_id")
-    pool = everything.withColumn("r", F.row_number().over(order)).filter("r <= 15")
-    trauma = everything.filter("priority = 'critical' and h_emergency_level = 'trauma'").withColumn("r", F.row_number().over(order)).filter("r <= 2")
+    pool = nearest_by_cells(a, h, 15)
+    trauma = nearest_by_cells(a.filter("priority = 'critical'"), h.filter("h_emergency_level = 'trauma'"), 2)
     both = pool.unionByName(trauma).dropDuplicates(["p_id", "h_id"]).filter(F.coalesce("h_er_status", F.lit("")) != "diverting")
     eta = half_up(c("km") * 1.35 / 24.0 * 60.0, 1)
     cost = F.lit(10)
@@ -171,14 +168,27 @@ def ranked(t) -> DataFrame:
     return both.withColumn("eta_min", eta).withColumn("rank_score", half_up(c("eta_min") + cost + busy, 1))
 
 
-@query(f"""
+RANKED = f"""
     with x as (select a.id as alert_id, a.priority, h.id as h_id, h.emergency_level, h.er_status, {km('a.lat', 'a.lng', 'h.lat', 'h.lng')} as d from alerts a cross join hospitals h where a.status = 'new' and a.id % 50 = 0 and h.emergency_level <> 'none'),
     p as (select * from (select *, row_number() over (partition by alert_id order by d, h_id) as r from x) where r <= 15),
     q as (select * from (select *, row_number() over (partition by alert_id order by d, h_id) as r from x where priority = 'critical' and emergency_level = 'trauma') where r <= 2),
     u as (select distinct on (alert_id, h_id) * from (select * from p union all select * from q)), e as (select *, {sql_half_up('d * 1.35e0 / 24e0 * 60e0', 1)} as eta_min from u where coalesce(er_status, '') <> 'diverting')
-    select alert_id, h_id as hospital_id, eta_min, {sql_half_up(f"eta_min + case {CASES} else 10 end + case when er_status = 'busy' then {BUSY} else 0 end", 1)} as rank_score from e""")
+    select alert_id, h_id as hospital_id, eta_min, {sql_half_up(f"eta_min + case {CASES} else 10 end + case when er_status = 'busy' then {BUSY} else 0 end", 1)} as rank_score from e"""
+
+
+def candidate_scores(pool: DataFrame) -> DataFrame:
+    return pool.select(c("p_id").alias("alert_id"), c("h_id").alias("hospital_id"), "eta_min", "rank_score")
+
+
+@query(RANKED)
 def rank_candidates(t):
-    return ranked(t).select(c("p_id").alias("alert_id"), c("h_id").alias("hospital_id"), "eta_min", "rank_score")
+    return candidate_scores(ranked(t, "id % 50 = 0"))
+
+
+@query(RANKED.replace(" and a.id % 50 = 0", ""))
+def rank_candidates_all(t):
+    """Candidates of every open alert."""
+    return candidate_scores(ranked(t))
 
 
 @query()

@@ -54,6 +54,31 @@ def nearest(points: DataFrame, places: DataFrame, k: int) -> DataFrame:
     return points.crossJoin(places).withColumn("km", d).withColumn("place", F.row_number().over(order)).filter(c("place") <= k)
 
 
+def nearest_by_cells(points: DataFrame, places: DataFrame, k: int, size: float = 0.009) -> DataFrame:
+    """As ``nearest``, without the product of points and places; rows without a position go.
+
+    Cells of points meet cells of places, which the city's area bounds. The distance of two rows
+    differs from that of their cells' centres by the cells' radii at most (triangle inequality),
+    so a cell of points can leave out a cell of places whose least distance is beyond a distance
+    that holds ``k`` places for sure; where there are fewer than ``k``, none is left out."""
+    positioned = lambda df, x: cell(df.filter(c(f"{x}_lat").isNotNull() & c(f"{x}_lng").isNotNull()), size, f"{x}_lat", f"{x}_lng", f"{x}_i", f"{x}_j")
+    centre = lambda x: (F.lit(SOUTH) + (c(f"{x}_i") + 0.5) * size, F.lit(WEST) + (c(f"{x}_j") + 0.5) * size)
+    radius = lambda x: F.max(haversine_km(c(f"{x}_lat"), c(f"{x}_lng"), *centre(x))).alias(f"{x}_radius")
+    points, places = positioned(points, "p"), positioned(places, "h")
+    here = points.groupBy("p_i", "p_j").agg(radius("p"))
+    there = places.groupBy("h_i", "h_j").agg(radius("h"), F.count(F.lit(1)).alias("n"))
+    apart, slack = haversine_km(*centre("p"), *centre("h")), c("p_radius") + c("h_radius") + 1e-6
+    met = here.crossJoin(there).withColumn("least", apart - slack).withColumn("most", apart + slack)
+    own = Window.partitionBy("p_i", "p_j")
+    held = F.sum("n").over(own.orderBy("most", "h_i", "h_j").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    bound = F.min(F.when(c("held") >= k, c("most"))).over(own)
+    kept = met.withColumn("held", held).withColumn("bound", bound).filter(c("bound").isNull() | (c("least") <= c("bound"))).select("p_i", "p_j", "h_i", "h_j")
+    near = points.join(kept.join(places, ["h_i", "h_j"]), ["p_i", "p_j"]).drop("p_i", "p_j", "h_i", "h_j")
+    order = Window.partitionBy("p_id").orderBy("km", "h_id")
+    near = near.withColumn("km", haversine_km(c("p_lat"), c("p_lng"), c("h_lat"), c("h_lng")))
+    return near.withColumn("place", F.row_number().over(order)).filter(c("place") <= k)
+
+
 # --- distances and grids ---------------------------------------------------------------
 
 
@@ -306,14 +331,52 @@ def near_candidates(t):
     return pairs.filter((c("a_id") != c("b_id")) & soon).groupBy(c("b_id").alias("id")).agg(F.count(F.lit(1)).alias("near"))
 
 
-@query(f"""
+def near_counts(rows: DataFrame, metres: float, days: int) -> DataFrame:
+    """(id, near): other rows of (id, lat, lng, accident_date) within ``metres`` and, where both are
+    dated, within ``days``; ids are unique, and those with none go.
+
+    Places that many rows share meet once: the exact radius join runs over distinct places, and
+    rows are counted by place and day."""
+    undated = c("accident_date").isNull()
+    places = rows.groupBy("lat", "lng").agg(F.count(F.lit(1)).alias("n"), F.count_if(undated).alias("undated"))
+    met = radius_pairs(side(places, "a", "lat", "lng"), side(places, "b", "lat", "lng", "n", "undated"), metres)
+    always = met.groupBy(c("a_lat").alias("lat"), c("a_lng").alias("lng")).agg(F.sum("b_n").alias("all"), F.sum("b_undated").alias("undated"))
+    dated = rows.filter(~undated).groupBy("lat", "lng", "accident_date").agg(F.count(F.lit(1)).alias("n"))
+    spread = F.explode(F.array(*[F.date_add("accident_date", x) for x in range(-days, days + 1)]))
+    around = dated.select(c("lat").alias("b_lat"), c("lng").alias("b_lng"), spread.alias("day"), "n").groupBy("b_lat", "b_lng", "day").agg(F.sum("n").alias("n"))
+    soon = met.join(around, ["b_lat", "b_lng"]).groupBy(c("a_lat").alias("lat"), c("a_lng").alias("lng"), c("day").alias("accident_date")).agg(F.sum("n").alias("soon"))
+    found = rows.join(always, ["lat", "lng"]).join(soon, ["lat", "lng", "accident_date"], "left")
+    near = F.when(undated, c("all")).otherwise(F.coalesce("soon", F.lit(0)) + c("undated")) - 1
+    return found.select("id", near.alias("near")).filter("near > 0")
+
+
+@query()
+def near_candidates_all(t):
+    """``near_candidates`` of every report."""
+    return near_counts(t.active.select("id", "lat", "lng", "accident_date"), 1500.0, 2)
+
+
+MATRIX = f"""
     with h as (select * from hospitals where emergency_level = 'trauma'), a as (select *, cast(extract(hour from created_at + interval '330' minute) as int) as h from alerts where status = 'new' and priority = 'critical' and id % 20 = 0)
-    select a.id as alert_id, h.id as hospital_id, {sql_half_up(f"{km('a.lat', 'a.lng', 'h.lat', 'h.lng')} * 1.35e0 / 24e0 * 60e0 * {TRAFFIC.replace('h ', 'a.h ')}", 1)} as eta_min from a cross join h""")
+    select a.id as alert_id, h.id as hospital_id, {sql_half_up(f"{km('a.lat', 'a.lng', 'h.lat', 'h.lng')} * 1.35e0 / 24e0 * 60e0 * {TRAFFIC.replace('h ', 'a.h ')}", 1)} as eta_min from a cross join h"""
+
+
+@query(MATRIX)
 def drive_time_matrix(t):
+    return drive_times(t, "id % 20 = 0")
+
+
+@query(MATRIX.replace(" and id % 20 = 0", ""))
+def drive_time_matrix_all(t):
+    """The whole matrix."""
+    return drive_times(t, "true")
+
+
+def drive_times(t, some: str) -> DataFrame:
     from ..functions.geo import drive_minutes
     from ..functions.text import local_hour
 
-    a = side(t.alerts.filter("status = 'new' and priority = 'critical' and id % 20 = 0").withColumn("hour", local_hour(c("created_at"))), "a", "id", "lat", "lng", "hour")
+    a = side(t.alerts.filter("status = 'new' and priority = 'critical'").filter(some).withColumn("hour", local_hour(c("created_at"))), "a", "id", "lat", "lng", "hour")
     h = side(t.hospitals.filter("emergency_level = 'trauma'"), "h", "id", "lat", "lng")
     eta = half_up(drive_minutes(haversine_km(c("a_lat"), c("a_lng"), c("h_lat"), c("h_lng")), traffic_factor(c("a_hour"))), 1)
     return a.crossJoin(h).select(c("a_id").alias("alert_id"), c("h_id").alias("hospital_id"), eta.alias("eta_min"))
