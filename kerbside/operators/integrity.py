@@ -162,20 +162,33 @@ def cosine() -> Column:
     return F.aggregate(F.zip_with("a_v", "b_v", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x) / (c("a_norm") * c("b_norm"))
 
 
-@query(f"""
+ALIKE = f"""
     with x as (select a.vec_id as query_id, b.vec_id, {COSINE} as s from embeddings a join embeddings b on a.vec_id < 10 and a.vec_id <> b.vec_id)
-    select query_id, vec_id, {sql_half_up('s', 4)} + 0e0 as similarity from x qualify row_number() over (partition by query_id order by s desc, vec_id) <= 5""")
-def cosine_topk(t):
-    """Five most similar vectors of each of ten stated queries: one pass over all vectors, and
+    select query_id, vec_id, {sql_half_up('s', 4)} + 0e0 as similarity from x qualify row_number() over (partition by query_id order by s desc, vec_id) <= 5"""
+
+
+def most_alike(t, some: str) -> DataFrame:
+    """Five most similar vectors of each query that ``some`` states: one pass over all vectors, and
     ranks are cut in the tasks."""
     from pyspark.sql import Window
 
-    a = with_unit(t.embeddings.filter("vec_id < 10"), "a")
+    a = with_unit(t.embeddings.filter(some), "a")
     x = with_unit(t.embeddings, "b").crossJoin(F.broadcast(a)).filter("a_id != b_id").withColumn("s", cosine())
     best = x.withColumn("r", F.row_number().over(Window.partitionBy("a_id").orderBy(c("s").desc(), "b_id"))).filter("r <= 5")
     return best.select(c("a_id").alias("query_id"), c("b_id").alias("vec_id"), (half_up(c("s"), 4) + F.lit(0.0)).alias("similarity"))
 
 
+@query(ALIKE)
+def cosine_topk(t):
+    return most_alike(t, "vec_id < 10")
+
+
+@query(ALIKE.replace("a.vec_id < 10", "a.vec_id % 50 = 0"))
+def cosine_topk_searches(t):
+    """The query set of searches, which grows with the table."""
+    return most_alike(t, "vec_id % 50 = 0")
+
+
 @query(f"""
     select a.vec_id as a_id, b.vec_id as b_id, {sql_half_up(COSINE, 4)} as similarity from embeddings a join embeddings b on a.vec_id % 25 = 0 and a.vec_id <> b.vec_id where {COSINE} >= 0.4e0""")
 def text_reuse_pairs(t):
