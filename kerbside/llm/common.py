@@ -5,28 +5,80 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows and bytes of an Arrow batch of texts, and of the slices of it that tasks work on.
+BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
+SLICE_ROWS, SLICE_BYTES = 512, 4 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for what is written between steps: the one that ``spark.checkpoint.dir`` names.
 
-    The folder is the one that the session names in ``spark.checkpoint.dir``; only where
-    that is unset (tests on one machine) a temporary folder is chosen.
+    Only a session on one machine gets a temporary folder where that is unset; on a cluster
+    that would split the rows over the machines, so it is an error there.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if spark.sparkContext.master.split("[")[0] == "local":
+        return f"{tempfile.gettempdir()}/kerbside-{uuid.uuid4().hex[:12]}"
+    raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder and cut its lineage. Spark removes the
+    files once nothing refers to them, if spark.cleaner.referenceTracking.cleanCheckpoints is on."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or f"{tempfile.gettempdir()}/kerbside-checkpoints-{uuid.uuid4().hex[:8]}")
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's bounds of Arrow batches to what tasks over long texts can hold; bounds
+    that are lower already stay. Rows are the same, whatever the bounds."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int(spark.conf.get(key).rstrip("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
+
+
+def slices(batch: pa.RecordBatch, column: str = "text"):
+    """Parts of a batch with a bounded number of rows and bytes; a text is never cut, so a longer
+    one is a part of its own."""
+    sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    low = held = 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > low and (i - low >= SLICE_ROWS or held + n > SLICE_BYTES):
+            yield batch.slice(low, i - low)
+            low, held = i, 0
+        held += n
+    if low < batch.num_rows:
+        yield batch.slice(low)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` doesn't have, in either case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+
+
 def crc_of_id(column: str = "doc_id") -> Column:
     """crc32 of an id written as text."""
     return F.crc32(F.col(column).cast("string").cast("binary"))
@@ -46,7 +98,8 @@ def class_sample(rows: DataFrame, label: str, per_class: int, *keys: str) -> tup
     """About ``per_class`` rows of each label, chosen by a hash of ``keys``.
 
     Returns the sample and the fraction kept of each label. The number of labels must be
-    small (a classifier's classes).
+    small (a classifier's classes). Keys should be distinct: then no more than twice as many
+    rows are chosen, by the law of large numbers; ``bounded`` makes sure of it.
     """
     counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
     kept = {k: min(1.0, per_class / n) for k, n in counts.items() if k is not None}
@@ -54,3 +107,10 @@ def class_sample(rows: DataFrame, label: str, per_class: int, *keys: str) -> tup
     for value, fraction in kept.items():
         rate = F.when(F.col(label) == F.lit(value), F.lit(fraction)).otherwise(rate)
     return rows.filter(unit_hash(*keys) < rate), kept
+
+
+def bounded(rows: DataFrame, most: int) -> DataFrame:
+    """``rows`` if there are at most ``most``, for what is broadcast or collected next."""
+    if (n := rows.count()) > most:
+        raise ValueError(f"{n} rows where at most {most} were expected: ids repeat too often to be sampled")
+    return rows

@@ -17,8 +17,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import checkpoint, crc_of_id
+from .common import checkpoint, crc_of_id, fresh, small_batches, slices
 
 #: Mean distinct digests of a bucket.
 BUCKET_KEYS = 20_000
@@ -35,10 +36,13 @@ def text_digest(text: str | None) -> bytes:
 def with_digest(docs: DataFrame) -> DataFrame:
     """(doc_id, digest) of every row."""
 
+    small_batches(docs.sparkSession)
+
     def digest(batches):
-        for batch in batches:
-            found = [text_digest(t.as_py()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], ["doc_id", "digest"])
+        for whole in batches:
+            for batch in slices(whole):
+                found = [text_digest(t.as_py()) for t in batch.column("text")]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], ["doc_id", "digest"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(digest, "doc_id long, digest binary")
 
@@ -161,21 +165,22 @@ def exact_dedup(docs: DataFrame, is_history: Column | None = None) -> DataFrame:
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` (all its columns) with one row of each group of equal texts: one of those that
-    have the group's largest doc_id."""
-    from pyspark.sql.types import BinaryType, StructField, StructType
-
-    names = docs.columns
-    kept = exact_dedup(docs).filter("kept").select(id_key("doc_id").alias("kept_key"), F.unhex("text_sha256").alias("kept_digest")).distinct()
+    """``docs`` (all its columns, whatever their names) with one row of each group of equal texts:
+    one of those that have the group's largest doc_id. Null texts count as empty; a null id
+    stays only where all of its group are null; of rows that repeat in id and text one stays;
+    texts of any length are compared whole; an empty table gives an empty one."""
+    names, (digest, key, kept_key, kept_digest) = docs.columns, fresh(docs, "digest", "id_key", "kept_key", "kept_digest")
+    kept = exact_dedup(docs).filter("kept").select(id_key("doc_id").alias(kept_key), F.unhex("text_sha256").alias(kept_digest)).distinct()
 
     def tag(batches):
-        for batch in batches:
-            found = pa.array([text_digest(t.as_py()) for t in batch.column("text")], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*names, "__digest"])
-
-    tagged = docs.mapInArrow(tag, StructType([*docs.schema.fields, StructField("__digest", BinaryType())])).withColumn("__key", id_key("doc_id"))
-    once = tagged.join(kept, (F.col("__key") == F.col("kept_key")) & (F.col("__digest") == F.col("kept_digest")), "left_semi")
-    return once.dropDuplicates(["__key", "__digest"]).select(*names)
+        for whole in batches:
+            for batch in slices(whole):
+                found = pa.array([text_digest(t.as_py()) for t in batch.column("text")], pa.binary())
+                yield pa.RecordBatch.from_arrays([*batch.columns, found], [*names, digest])
+
+    tagged = docs.mapInArrow(tag, StructType([*docs.schema.fields, StructField(digest, BinaryType())])).withColumn(key, id_key("doc_id"))
+    once = tagged.join(kept, (F.col(key) == F.col(kept_key)) & (F.col(digest) == F.col(kept_digest)), "left_semi")
+    return once.dropDuplicates([key, digest]).select(*[F.col(f"`{c}`") for c in names])
 
 
 def id_key(column: str) -> Column:

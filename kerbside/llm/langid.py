@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .char_features import DIM, has_letter, ngram_counts, sparse
-from .common import class_sample, held_out
+from .common import class_sample, held_out, small_batches, slices
 from .softmax_ftrl import SoftmaxFTRL, fit_temperature, softmax
 
 
@@ -65,6 +65,7 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
 def fit_language_model(rows: DataFrame, per_class: int = 1500, epochs: int = 3) -> LanguageModel:
     """Learn from (doc_id, text, lang). Document frequencies cover all rows; the weights are
     fitted on a bounded sample of about ``per_class`` rows of each language."""
+    small_batches(rows.sparkSession)
     rows = rows.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
     sample, _ = class_sample(rows, "lang", per_class, "doc_id", "text")
 
@@ -101,23 +102,28 @@ def fit_language_model(rows: DataFrame, per_class: int = 1500, epochs: int = 3)
 def identify_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """Add ``lang_pred`` and ``score`` to (doc_id, held_out, text).
 
-    A null text, or one without a letter, gives ``und`` and 0; repeated rows give equal rows;
-    an empty table gives an empty table.
+    A null text, or one without a letter, gives ``und`` and 0; texts of any length are read whole;
+    of classes that tie the first by name counts; repeated rows give equal rows; an empty table
+    gives an empty table; extra columns are not looked at.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches):
         m = shared.value
-        for batch in batches:
-            pairs = [m.predict(t.as_py()) for t in batch.column("text")]
-            found = pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *found], ["doc_id", "held_out", "lang_pred", "score"])
+        for whole in batches:
+            for batch in slices(whole):
+                pairs = [m.predict(t.as_py()) for t in batch.column("text")]
+                found = pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.float64())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *found], ["doc_id", "held_out", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "held_out", "text").mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def language_id(docs: DataFrame, modulus: int = 3, remainder: int = 1, per_class: int = 1500) -> DataFrame:
-    """Fit on rows outside the held-out fold, then predict every row."""
+    """Fit on rows outside the held-out fold, then predict every row: doc_id, held_out, lang_pred,
+    score. Rows with a null text, language or id are not learnt from; all rows are predicted, as
+    ``identify_languages`` says."""
     rows = docs.select("doc_id", "text", "lang", held_out(modulus, remainder).alias("held_out"))
     model = fit_language_model(rows.filter(~F.col("held_out")), per_class)
     return identify_languages(rows, model)

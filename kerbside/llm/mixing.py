@@ -3,8 +3,8 @@
 A classifier learnt from the labelled table gives each document a posterior over domains.
 Projected-gradient least squares then fits document rates, not negative, so that the expected
 tokens of each domain (rate x tokens x posterior, summed) meet its target. Each step sums one
-number per domain over the documents; a document's rate is a function of these sums, so tasks
-replay the steps and no state of the documents' size is kept.
+number per domain over the documents. A document's rate is a function of these sums: tasks
+replay the last few steps, and every SEGMENT steps the rates so far are written beside the rows.
 """
 
 from __future__ import annotations
@@ -19,11 +19,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from .char_features import DIM, ngram_counts, sparse
-from .common import checkpoint, class_sample, unit_hash
+from .common import bounded, checkpoint, class_sample, fresh, small_batches, slices, unit_hash
 from .softmax_ftrl import SoftmaxFTRL, softmax
 
 ANCHOR = 1e-4
 STEPS = 60
+#: Steps that a task replays at most before the rates are written.
+SEGMENT = 10
 #: Rows of a task of a step.
 STEP_ROWS = 50_000
 
@@ -43,20 +45,25 @@ class DomainModel:
 def fit_domains(docs: DataFrame, labels: DataFrame, per_class: int = 500, epochs: int = 3) -> DomainModel:
     """Learn from about ``per_class`` labelled rows of each domain (language and quality); the
     bias restores the domains' shares. The sample is drawn without texts, and its ids, which
-    are bounded, are broadcast to them."""
-    marks = labels.filter(F.col("quality").isNotNull()).select(F.col("doc_id").alias("label_id"), "quality")
+    are bounded, are broadcast to them. An id labelled twice has its larger quality and
+    language; null texts, languages and qualities are not learnt from; without labelled rows all
+    is one domain."""
+    small_batches(docs.sparkSession)
+    marks = labels.filter(F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("label_id")).agg(F.max("quality").alias("quality"))
     known = docs.select("doc_id", "lang").filter(F.col("lang").isNotNull()).join(marks, F.col("doc_id") == F.col("label_id"))
-    known = known.select("label_id", F.concat_ws("/", "lang", F.concat(F.lit("q"), F.col("quality"))).alias("domain"))
+    known = known.select("label_id", F.concat_ws("/", "lang", F.concat(F.lit("q"), F.col("quality"))).alias("domain")).groupBy("label_id").agg(F.max("domain").alias("domain"))
     chosen, kept = class_sample(known, "domain", per_class, "label_id")
-    chosen = F.broadcast(chosen.limit(2 * per_class * max(1, len(kept))))
-    sample = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("label_id")).filter(F.col("text").isNotNull())
+    most = 4 * per_class * max(1, len(kept))
+    sample = docs.select("doc_id", "text").join(F.broadcast(bounded(chosen, most)), F.col("doc_id") == F.col("label_id")).filter(F.col("text").isNotNull())
 
     def featurise(batches):
         for batch in batches:
             pairs = [sparse(ngram_counts(t, letters_only=False)) for t in batch["text"]]
             yield pd.DataFrame({"domain": batch["domain"], "at": [p[0].tobytes() for p in pairs], "tf": [p[1].tobytes() for p in pairs]})
 
-    found = sample.select("text", "domain").mapInPandas(featurise, "domain string, at binary, tf binary").collect()
+    found = sample.select("text", "domain").mapInPandas(featurise, "domain string, at binary, tf binary").limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} texts have the sampled ids: ids repeat too often to be sampled")
     if not found:
         return DomainModel(["all"], np.zeros((DIM, 1), np.float32), np.zeros(1, np.float32))
     domains = sorted({r["domain"] for r in found})
@@ -70,19 +77,21 @@ def fit_domains(docs: DataFrame, labels: DataFrame, per_class: int = 500, epochs
     return DomainModel(domains, dense[:DIM], dense[DIM] + shift - shift.mean())
 
 
-def with_posteriors(docs: DataFrame, model: DomainModel) -> DataFrame:
-    """``docs`` with __tokens (words between white space) and __posterior."""
+def with_posteriors(docs: DataFrame, model: DomainModel, tokens: str, posterior: str) -> DataFrame:
+    """``docs`` with two columns more: the words between white space, and the posterior."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [*docs.columns, "__tokens", "__posterior"]
-    schema = StructType([*docs.schema.fields, StructField("__tokens", LongType()), StructField("__posterior", ArrayType(DoubleType()))])
+    names = [*docs.columns, tokens, posterior]
+    schema = StructType([*docs.schema.fields, StructField(tokens, LongType()), StructField(posterior, ArrayType(DoubleType()))])
 
     def predict(batches):
         m = shared.value
-        for batch in batches:
-            texts = [t.as_py() for t in batch.column("text")]
-            p = np.array([m.posterior(t) for t in texts]).reshape(len(texts), len(m.domains))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, p.shape[1]), pa.int32()), pa.array(p.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len((t or "").split()) for t in texts], pa.int64()), lists], names)
+        for whole in batches:
+            for batch in slices(whole):
+                texts = batch.column("text").to_pylist()
+                p = np.array([m.posterior(t) for t in texts]).reshape(len(texts), len(m.domains))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, p.shape[1]), pa.int32()), pa.array(p.ravel()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len((t or "").split()) for t in texts], pa.int64()), lists], names)
 
     return docs.mapInArrow(predict, schema)
 
@@ -98,27 +107,36 @@ class RateFit:
     gaps: list[np.ndarray]
 
     def rates(self, p: np.ndarray) -> np.ndarray:
-        """Replay of the accelerated projected-gradient steps for rows of posteriors."""
+        """Rates of rows of posteriors after all steps."""
         return self.replay(p)[0]
 
-    def replay(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        r = np.maximum(np.ones(len(p)), self.least)
-        ahead, momentum = r, 1.0
-        for gap in self.gaps:
-            new = np.maximum(self.least, ahead - self.step * (p @ gap + ANCHOR * (ahead - 1.0)))
+    def replay(self, p: np.ndarray, since: int = 0, state: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The accelerated projected-gradient steps from ``since`` on: (rates, where the next
+        gradient is taken)."""
+        r, ahead = state or (np.maximum(np.ones(len(p)), self.least),) * 2
+        momentum = 1.0
+        for n, gap in enumerate(self.gaps):
             after = (1 + np.sqrt(1 + 4 * momentum * momentum)) / 2
-            ahead = new + (momentum - 1) / after * (new - r)
-            r, momentum = new, after
+            if n >= since:
+                new = np.maximum(self.least, ahead - self.step * (p @ gap + ANCHOR * (ahead - 1.0)))
+                r, ahead = new, new + (momentum - 1) / after * (new - r)
+            momentum = after
         return r, ahead
 
 
+def matrix_of(batch: pa.RecordBatch, column: str, k: int) -> np.ndarray:
+    return batch.column(column).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+
+
 def fit_rates(rows: DataFrame, domains: list[str], targets, least: float = 0.0, steps: int = STEPS, tolerance: float = 1e-4) -> RateFit:
-    """Fit rates to (__tokens, __posterior); ``targets`` maps the available tokens of the
-    domains to those wanted. ``rows`` should be written already: each step reads it."""
+    """Fit rates of ``least`` or more to rows of (tokens, posterior), in this order; ``targets``
+    maps the available tokens of the domains to those wanted. ``rows`` should be written
+    already: each step reads it. Empty rows fit at once."""
     k = len(domains)
-    rows = rows.coalesce(max(1, rows.count() // STEP_ROWS))  # a step is short: few, large tasks
+    tokens, posterior = rows.columns
+    state = rows.select(F.col(tokens).alias("t"), F.col(posterior).alias("p")).coalesce(max(1, rows.count() // STEP_ROWS))  # a step is short: few, large tasks
     sums = lambda df: np.array([x or 0.0 for x in df.first()], float)
-    available = sums(rows.agg(*[F.sum(F.col("__tokens") * F.col("__posterior")[i]).alias(f"s{i}") for i in range(k)]))
+    available = sums(state.agg(*[F.sum(F.col("t") * F.col("p")[i]).alias(f"s{i}") for i in range(k)]))
     wanted = np.asarray(targets(available), float)
     live = (available > 0) & (wanted > 0)
     safe = np.where(live, wanted, 1.0)
@@ -126,20 +144,35 @@ def fit_rates(rows: DataFrame, domains: list[str], targets, least: float = 0.0,
     has = np.where(live, available, 1.0)
     fit = RateFit(domains, available, wanted, 1.0 / (1.0 + ANCHOR), least, [])
 
-    for _ in range(steps):
+    def stand(batch: pa.RecordBatch, fit: RateFit, since: int) -> tuple:
+        p = matrix_of(batch, "p", k)
+        if since == 0:
+            return p, fit.replay(p)
+        return p, fit.replay(p, since, tuple(batch.column(x).to_numpy(zero_copy_only=False) for x in ("r", "ahead")))
+
+    since = 0
+    for n in range(steps):
+        if n and n % SEGMENT == 0:
 
-        def partial(batches, fit=fit):
+            def advance(batches, fit=fit, since=since):
+                for batch in batches:
+                    _, (r, ahead) = stand(batch, fit, since)
+                    yield pa.RecordBatch.from_arrays([batch.column("t"), batch.column("p"), pa.array(r), pa.array(ahead)], ["t", "p", "r", "ahead"])
+
+            state = checkpoint(state.mapInArrow(advance, "t long, p array<double>, r double, ahead double"))
+            since = n
+
+        def partial(batches, fit=fit, since=since):
             total = np.zeros((2, k))
             for batch in batches:
                 if batch.num_rows:
-                    p = batch.column("__posterior").flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
-                    t = batch.column("__tokens").to_numpy(zero_copy_only=False)
-                    now, ahead = fit.replay(p)
+                    t = batch.column("t").to_numpy(zero_copy_only=False)
+                    p, (now, ahead) = stand(batch, fit, since)
                     total += np.array([(t * now) @ p, (t * ahead) @ p])
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total.ravel()], [f"s{i}" for i in range(2 * k)])
 
         shape = ", ".join(f"s{i} double" for i in range(2 * k))
-        total = sums(rows.select("__tokens", "__posterior").mapInArrow(partial, shape).agg(*[F.sum(f"s{i}") for i in range(2 * k)])).reshape(2, k)
+        total = sums(state.mapInArrow(partial, shape).agg(*[F.sum(f"s{i}") for i in range(2 * k)])).reshape(2, k)
         if np.max(np.abs(np.where(live, (total[0] - wanted) / safe, 0.0)), initial=0.0) < tolerance:
             break
         fit.gaps.append(np.where(live, (total[1] - wanted) / has, 0.0))
@@ -160,21 +193,21 @@ def tempered(alpha: float, grow: bool):
     return targets
 
 
-def rated(rows: DataFrame, fit: RateFit) -> DataFrame:
-    """Replace __posterior by rate and domain (the likeliest) and give its posterior."""
+def rated(rows: DataFrame, fit: RateFit, posterior: str, rate: str, domain: str, share: str) -> DataFrame:
+    """``rows`` without its posteriors, and with the rate, the likeliest domain (of ties the
+    first by name) and that domain's posterior."""
     shared = rows.sparkSession.sparkContext.broadcast(fit)
-    kept = [c for c in rows.columns if c != "__posterior"]
-    fields = [f for f in rows.schema.fields if f.name != "__posterior"]
-    schema = StructType([*fields, StructField("__rate", DoubleType()), StructField("__domain", StringType()), StructField("__share", DoubleType())])
+    kept = [f for f in rows.schema.fields if f.name != posterior]
+    names = [*(f.name for f in kept), rate, domain, share]
+    schema = StructType([*kept, StructField(rate, DoubleType()), StructField(domain, StringType()), StructField(share, DoubleType())])
 
     def assign(batches):
         f = shared.value
-        k = len(f.domains)
         for batch in batches:
-            p = batch.column("__posterior").flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+            p = matrix_of(batch, posterior, len(f.domains))
             best = p.argmax(axis=1) if len(p) else np.zeros(0, int)
             more = [pa.array(f.rates(p)), pa.array([f.domains[i] for i in best], pa.string()), pa.array(p[np.arange(len(p)), best])]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *more], [*kept, "__rate", "__domain", "__share"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(x.name) for x in kept), *more], names)
 
     return rows.mapInArrow(assign, schema)
 
@@ -188,24 +221,30 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, alpha: float = 0.5) -> Data
     """One row for every row of ``docs``: doc_id, n_tokens, domain, domain_posterior, rate,
     copies.
 
-    Null and empty texts have no tokens and the prior's posterior; repeated rows have equal
-    rates; an empty table gives an empty one; without labelled rows all is one domain and the
-    rates are 1; extra columns are not looked at.
+    Null and empty texts have no tokens and the prior's posterior; texts of any length are read
+    whole; repeated rows have equal rates; an empty table gives an empty one; without labelled
+    rows all is one domain and the rates are 1; extra columns are not looked at.
     """
     model = fit_domains(docs, labels)
-    rows = checkpoint(with_posteriors(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model).drop("text"))
-    fit = fit_rates(rows, model.domains, tempered(alpha, grow=False))
-    return rated(rows, fit).select(
-        "doc_id", F.col("__tokens").alias("n_tokens"), F.col("__domain").alias("domain"), F.col("__share").alias("domain_posterior"), F.col("__rate").alias("rate"), copies_of(F.col("__rate"), "doc_id").alias("copies")
-    )
+    rows = checkpoint(with_posteriors(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model, "n_tokens", "posterior").drop("text"))
+    fit = fit_rates(rows.select("n_tokens", "posterior"), model.domains, tempered(alpha, grow=False))
+    out = rated(rows, fit, "posterior", "rate", "domain", "domain_posterior")
+    return out.select("doc_id", "n_tokens", "domain", "domain_posterior", "rate", copies_of(F.col("rate"), "doc_id").alias("copies"))
 
 
 def mix_documents(docs: DataFrame, labels: DataFrame, alpha: float = 0.8) -> DataFrame:
-    """``docs`` (all its columns), each row as often as its rate says; domains only grow, so
-    every row stays at least once."""
+    """``docs`` (all its columns, whatever their names), each row as often as its rate says.
+
+    Rates are 0 or more, and targets are such that no domain shrinks. So that no document is
+    lost, rounding gives each at least one copy: a domain ends above its target by what its
+    rates below 1 lack. Null and empty texts have no tokens, so the fit leaves them free and
+    they stay once or as often as their domain's rate says; repeated rows count each; an
+    empty table gives an empty one.
+    """
     model = fit_domains(docs, labels)
-    measured = with_posteriors(docs, model)
-    small = checkpoint(measured.select("__tokens", "__posterior"))
-    fit = fit_rates(small, model.domains, tempered(alpha, grow=True), least=1.0)
-    out = rated(measured, fit).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(F.lit(1).cast("long"), copies_of(F.col("__rate"), "doc_id", "text")))))
-    return out.select(*docs.columns)
+    tokens, posterior, rate, domain, share, copy = fresh(docs, "tokens", "posterior", "rate", "domain", "share", "copy")
+    measured = with_posteriors(docs, model, tokens, posterior)
+    fit = fit_rates(checkpoint(measured.select(tokens, posterior)), model.domains, tempered(alpha, grow=True))
+    one = F.lit(1).cast("long")
+    out = rated(measured, fit, posterior, rate, domain, share).withColumn(copy, F.explode(F.sequence(one, F.greatest(one, copies_of(F.col(rate), "doc_id", "text")))))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -18,9 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches, slices
+
 SEQUENCE = 2048
-#: Parts that a worker remembers, and the longest of them. They set the speed, not the ids.
-WORKER_CACHE = 500_000
+#: Parts that a task remembers, and the longest of them. They set the speed, not the ids.
+TASK_CACHE = 150_000
 LONGEST = 64
 #: A run of ASCII marks, but for apostrophes, from a letter or digit to white space or the end.
 MARK = re.compile(r"([!-&(-/:-@\[-`{-~](?<=[^\W_].)[!-&(-/:-@\[-`{-~]*)(?=\s|$)")
@@ -28,7 +30,9 @@ MARK = re.compile(r"([!-&(-/:-@\[-`{-~](?<=[^\W_].)[!-&(-/:-@\[-`{-~]*)(?=\s|$)"
 ODD_SPACES = "\x1c\x1d\x1e\x1f"
 
 
+@lru_cache(maxsize=1)
 def load_tokenizer(path: str):
+    """A worker reads the vocabulary once."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
     from tokenizers import Tokenizer
 
@@ -63,7 +67,7 @@ class PartIds(dict):
     def learn(self, parts) -> None:
         """Encode the words that aren't known yet together: each word of letters ends with the
         only one of its ids that ends a word."""
-        if len(self) >= WORKER_CACHE:
+        if len(self) >= TASK_CACHE:
             self.clear()
         words = [p for p in parts if p not in self and len(p) <= LONGEST and p.isalpha()]
         for low in range(0, len(words), 2000):
@@ -83,12 +87,6 @@ class PartIds(dict):
         return found
 
 
-@lru_cache(maxsize=1)
-def worker_parts(path: str) -> PartIds:
-    """A worker's cache, which stays from task to task."""
-    return PartIds(path)
-
-
 def ids_of_texts(texts: list, parts: PartIds) -> list[bytes]:
     """Each document's ids: the tokenizer drops white space and never merges across it."""
     words = [plain_words(t or "") for t in texts]
@@ -120,19 +118,20 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, sequen
     """(doc_id, text) to one row per piece.
 
     Output: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, bucket (log2 of
-    the length). Null and empty texts are the end id alone; repeated rows are packed each; null
-    ids stay; an empty table gives an empty one. ``sequence`` must be a power of two.
+    the length). Null and empty texts are the end id alone; texts of any length are cut whole;
+    repeated rows are packed each; null ids stay; an empty table gives an empty one; extra
+    columns are not looked at. ``sequence`` must be a power of two.
     """
     if sequence < 1 or sequence & (sequence - 1):
         raise ValueError("the sequence length must be a power of two")
+    small_batches(docs.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
     def cut(batches):
-        parts = worker_parts(tokenizer_path)
+        parts = PartIds(tokenizer_path)  # what it remembers goes with the task
         for whole in batches:
-            for low in range(0, whole.num_rows, 1024):
-                batch = whole.slice(low, 1024)
+            for batch in slices(whole):
                 rows: list[tuple] = []
                 for doc_id, found in zip(batch.column("doc_id").to_pylist(), ids_of_texts(batch.column("text").to_pylist(), parts)):
                     ids = memoryview(found + end)
@@ -145,3 +144,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, sequen
     pieces = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, ", ".join(f"{n} long" for n in names))
     # one sequence for each piece; ids depend on the scan's partitions only, so a task run again gives them again
     return pieces.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long")).withColumn("bucket", F.log2("length").cast("int"))
+
+
+def write_buckets(pieces: DataFrame, path: str) -> None:
+    """Write pieces into one folder for each length (bucket=0, 1, ...), so that a reader takes
+    batches of equal lengths. Each task writes its own files; no piece moves."""
+    pieces.write.partitionBy("bucket").parquet(path)

@@ -3,7 +3,7 @@
 The model's pieces hold a space only at their start and never a line break, so no merge
 crosses from a character to the space after it, nor a line break: a text's tokens are the
 tokens of its space-led parts. Tier one is a compact broadcast table of frequent parts and
-their lengths; tier two is a cache in each worker, filled by encoding the misses.
+their lengths; tier two is a cache in each task, filled by encoding the misses.
 """
 
 from __future__ import annotations
@@ -16,11 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of the broadcast table and of a worker's cache. They set the speed, not the counts.
+from .common import small_batches, slices, unit_hash
+
+#: Bounds of the broadcast table, of a task's cache and of the rows that the table is drawn
+#: from. They set the speed, not the counts.
 FREQUENT = 20_000
-WORKER_CACHE = 500_000
+TASK_CACHE = 150_000
 SAMPLE_ROWS = 2_000
-SAMPLE_CHARS = 20_000
+SAMPLE_TASKS = 8
 
 
 def load_model(path: str):
@@ -51,7 +54,7 @@ class PartLengths(dict):
         return len(self.model.encode(text, num_threads=1))
 
     def __missing__(self, part: str) -> int:
-        if len(self) >= WORKER_CACHE:
+        if len(self) >= TASK_CACHE:
             self.clear()
             self.update(self.known)
         if part.startswith("\n"):  # the space before is not in the text
@@ -89,13 +92,30 @@ def count_tokens(text: str | None, lengths: PartLengths) -> int:
     return total
 
 
-def frequent_parts(docs: DataFrame, path: str) -> bytes:
-    """The frequent parts of a bounded sample with their lengths, packed.
+def frequent_parts(docs: DataFrame, path: str, rows: int = SAMPLE_ROWS) -> bytes:
+    """The frequent parts with their lengths, packed. They are counted in whole texts of about
+    ``rows`` rows, drawn by a hash from all of the table; a bounded number of tasks each send
+    their most frequent parts.
 
     The sample only warms the table: a part that it misses is encoded where it is met.
     """
-    rows = docs.select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).filter(F.col("text").isNotNull()).limit(SAMPLE_ROWS).collect()
-    counts = Counter(p for r in rows for p in (parts_of(r["text"]) or ()))
+    share = min(1.0, rows / max(1, docs.count()))
+
+    def top(batches):
+        counts: Counter = Counter()
+        for whole in batches:
+            for batch in slices(whole):
+                for t in batch.column("text"):
+                    counts.update(parts_of(t.as_py() or "") or ())
+                if len(counts) > 20 * FREQUENT:  # parts seen once so far make room
+                    counts = Counter({p: n for p, n in counts.items() if n > 1})
+        best = counts.most_common(FREQUENT)
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in best], pa.string()), pa.array([n for _, n in best], pa.int64())], ["part", "n"])
+
+    sample = docs.filter(unit_hash("doc_id", F.col("text")) < share).select("text").coalesce(SAMPLE_TASKS)
+    counts: Counter = Counter()
+    for r in sample.mapInArrow(top, "part string, n long").collect():  # SAMPLE_TASKS * FREQUENT rows at most
+        counts[r["part"]] += r["n"]
     chosen = sorted(p for p, n in counts.most_common(FREQUENT) if n > 1)
     lengths = PartLengths(path)
     sizes = np.array([min(lengths[p], 65535) for p in chosen], np.uint16)
@@ -115,19 +135,22 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFra
     """(doc_id, text) to (doc_id, n_bytes, n_tokens, over_limit) for every row.
 
     Null and empty texts have 0 bytes and tokens; texts of any length are counted whole;
-    repeated rows and null ids stay; an empty table gives an empty one.
+    repeated rows and null ids stay; an empty table gives an empty one; extra columns are not
+    looked at.
     """
+    small_batches(docs.sparkSession)
     if not is_splittable(load_model(model_path)):
         raise ValueError("the model's pieces cross spaces: counting by parts would not be exact")
     shared = docs.sparkSession.sparkContext.broadcast(frequent_parts(docs, model_path))
 
     def count(batches):
         lengths = PartLengths(model_path, unpack_parts(shared.value))
-        for batch in batches:
-            texts = [t.as_py() for t in batch.column("text")]
-            n = [count_tokens(t, lengths) for t in texts]
-            size = [len(t.encode("utf-8")) if t else 0 for t in texts]
-            columns = [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+        for whole in batches:
+            for batch in slices(whole):
+                texts = batch.column("text").to_pylist()
+                n = [count_tokens(t, lengths) for t in texts]
+                size = [len(t.encode("utf-8")) if t else 0 for t in texts]
+                columns = [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
