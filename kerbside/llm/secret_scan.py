@@ -1,14 +1,16 @@
 """Secret scans through a trigram inverted index, in DataFrame functions only.
 
 Each rule's regular expression gives a Boolean query of trigrams that any match must hold.
-The index has a posting (trigram, row) for each trigram of these queries that a text holds;
-postings are intersected per clause, and the rows that satisfy a clause are the rule's
-candidates, which the expression itself then verifies. Rules without mandatory trigrams scan
-every text.
+One pass over a text lists the trigrams of these queries that it holds. Within a scan these
+lists stay beside their rows, so no text moves: a clause is met where the list has all of its
+trigrams, and a rule's expression verifies the rows that meet a clause of it. ``postings``
+turns the lists into a table (trigram, row) for an index that is kept and asked again. Rules
+without mandatory trigrams scan every text.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from re import _constants as op
 from re import _parser
@@ -18,6 +20,10 @@ from pyspark.sql import functions as F
 
 MOST_STRINGS = 96
 MOST_SET = 8
+#: Trigrams of a clause that are looked up: fewer ask for less, so they only widen the candidates.
+CLAUSE_TERMS = 2
+#: Letters that are frequent in prose: trigrams with few of them are looked up first.
+FREQUENT = "etaoinshrdlu "
 
 
 @dataclass(frozen=True)
@@ -160,23 +166,37 @@ def rule_spans(text: Column, rule: Rule, rank: int) -> Column:
     return F.aggregate(zipped, start, step)["spans"]
 
 
-def postings(rows: DataFrame, terms: list[str]) -> DataFrame:
-    """(key, term): the index restricted to the trigrams that some query asks for."""
-    low = F.lower("text")
-    held = F.array_compact(F.array(*[F.when(low.contains(t), F.lit(i)) for i, t in enumerate(terms)]))
-    return rows.select("key", F.explode(held).alias("term"))
+def shortened(clauses: set, most: int = CLAUSE_TERMS) -> list[tuple]:
+    """Of each clause its rarest trigrams, in order."""
+    rare = lambda t: (sum(ch in FREQUENT for ch in t), t)
+    return sorted({tuple(sorted(sorted(c, key=rare)[:most])) for c in clauses})
 
 
-def candidates(rows: DataFrame, queries: dict[int, set]) -> DataFrame:
-    """(key, rules): bits of the rules one of whose clauses the row's postings satisfy."""
-    spark = rows.sparkSession
-    clauses = [(rule, n, clause) for rule, found in queries.items() for n, clause in enumerate(sorted(found, key=sorted))]
-    terms = sorted({t for _, _, clause in clauses for t in clause})
-    asked = [(terms.index(t), rule, n, 1 << bit, (1 << len(clause)) - 1) for rule, n, clause in clauses for bit, t in enumerate(sorted(clause))]
-    # as large as the rules are, whatever the input
-    wanted = F.broadcast(spark.createDataFrame(asked, "term int, rule int, clause int, bit long, full long"))
-    met = postings(rows, terms).join(wanted, "term").groupBy("key", "rule", "clause").agg(F.bit_or("bit").alias("got"), F.first("full").alias("full"))
-    return met.filter("got = full").groupBy("key").agg(F.bit_or(F.expr("shiftleft(1, rule)")).alias("rules"))
+def lookup_pattern(terms: list[str]) -> str:
+    """An expression that matches, without width, where one of the trigrams stands; group 1 is
+    the trigram. Terms share their first letters, so most places are left after one look."""
+    by: dict[str, dict[str, list[str]]] = {}
+    for a, b, c in sorted(terms):
+        by.setdefault(a, {}).setdefault(b, []).append(c)
+    second = lambda m: "|".join(f"{re.escape(b)}[{''.join(map(re.escape, c))}]" for b, c in m.items())
+    return "(?=(" + "|".join(f"{re.escape(a)}(?:{second(m)})" for a, m in by.items()) + "))"
+
+
+def held_terms(text: Column, terms: list[str]) -> Column:
+    """The distinct ones of ``terms`` that a text holds, its letters in lower case."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(lookup_pattern(terms)), F.lit(1)))
+
+
+def terms_of(rules: tuple) -> tuple[dict[int, list[tuple]], list[str]]:
+    """Clauses by rule, without rules that have no mandatory trigram, and all their trigrams."""
+    queries = {i: shortened(q) for i, r in enumerate(rules) if (q := trigram_query(r.pattern)) is not None}
+    return queries, sorted({t for clauses in queries.values() for clause in clauses for t in clause})
+
+
+def postings(docs: DataFrame, rules: tuple = BASE_RULES + MORE_RULES) -> DataFrame:
+    """(term, doc_id): the index over (doc_id, text), restricted to the trigrams that the rules
+    ask for. Null and empty texts have no postings; rows that repeat post again."""
+    return docs.select(F.explode(held_terms(F.coalesce("text", F.lit("")), terms_of(rules)[1])).alias("term"), "doc_id")
 
 
 def scan_secrets(docs: DataFrame, rules: tuple = BASE_RULES + MORE_RULES) -> DataFrame:
@@ -184,20 +204,24 @@ def scan_secrets(docs: DataFrame, rules: tuple = BASE_RULES + MORE_RULES) -> Dat
 
     Null and empty texts have no spans; texts are scanned whole; repeated rows and null ids
     stay; an empty table gives an empty one; extra columns are not looked at. Rules see
-    letters in either case only where their pattern says so (ASCII letters).
+    letters in either case only where their pattern says so (ASCII letters). Spans that start
+    together are in the order of their rules.
     """
-    queries = {i: q for i, r in enumerate(rules) if (q := trigram_query(r.pattern)) is not None}
-    # rows are keyed by a hash: rows that share one only gain candidates, which are verified
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
-    found = candidates(rows, queries).withColumnRenamed("key", "candidate")
-    joined = rows.join(found, F.col("key") == F.col("candidate"), "left")
+    queries, terms = terms_of(rules)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("held", held_terms(F.col("text"), terms) if terms else F.array().cast("array<string>"))
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
-    text = F.col("text")
-    parts = []
+    text, parts = F.col("text"), []
     for i, rule in enumerate(rules):
-        asked = F.col("rules").bitwiseAND(F.lit(1 << i)) != 0 if i in queries else F.lit(True)
+        asked = F.lit(i not in queries)
+        for clause in queries.get(i, ()):
+            met = F.lit(True)
+            for term in clause:
+                met = met & F.array_contains("held", term)
+            asked = asked | met
         parts.append(F.when(asked & text.rlike(rule.pattern), rule_spans(text, rule, i)).otherwise(none))
-    return joined.select("doc_id", F.array_sort(F.concat(*parts)).alias("found"))
+    # the pass over the texts is made once, before the spans are
+    return rows.select("doc_id", F.array_sort(F.concat(*parts)).alias("found"))
 
 
 def written(spans: Column) -> Column:
@@ -205,6 +229,8 @@ def written(spans: Column) -> Column:
 
 
 def secret_digests(docs: DataFrame, rules: tuple = BASE_RULES + MORE_RULES) -> DataFrame:
+    """Counts and digests of ``scan_secrets``, a row for every row; empty texts have the digest
+    of the empty string. Other cases are as there."""
     base = F.filter("found", lambda s: s["rank"] < len(BASE_RULES))
     count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
     return scan_secrets(docs, rules).select(
