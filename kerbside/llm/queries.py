@@ -68,12 +68,13 @@ QUERIES = {f.__name__: f for f in (op1_toxicity, op2_topk_search, op3_chat_forma
 ORACLE_SQL = {
     "op2_topk_search": """
         with v as (
-            select vec_id, list_transform(embedding, lambda x: floor(64e0 * cast(x as double))) as v from embeddings
+            select row_number() over () as row, vec_id, list_transform(embedding, lambda x: floor(64e0 * cast(x as double))) as v from embeddings
+            where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
         ), s as (
-            select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.v, c.v) as bigint) as score
-            from v q join v c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id
+            select q.row, q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.v, c.v) as bigint) as score
+            from v q join v c on q.vec_id % 20 = 0 and q.row <> c.row and len(q.v) = len(c.v)
         ), r as (
-            select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s
+            select *, cast(row_number() over (partition by row order by score desc, vec_id nulls last) as integer) as rank from s
         )
         select query_id, rank, vec_id, score from r where rank <= 20""",
     "op3_chat_format": """
@@ -85,7 +86,8 @@ ORACLE_SQL = {
             select conv_id, count(*) as n_turns,
                 string_agg(role || chr(10) || text || chr(10), '' order by turn) as turns,
                 coalesce(string_agg(text, '' order by turn) filter (where role = 'assistant'), '') as loss,
-                sum(12 + length(role) + 1 + length(text) + (length(text) - length(replace(text, '<|im_', 'im_'))) / 2 + 11) as chars
+                sum(12 + length(role) + 1 + length(text) + 11 + case when contains(text, '<|im_start|>') or contains(text, '<|im_end|>') or regexp_matches(text, '<\\\\+\\|')
+                    then len(regexp_extract_all(text, '<\\\\*\\|')) else 0 end) as chars
             from t group by conv_id
         )
         select conv_id, cast(n_turns as bigint) as n_turns, sha256(turns) as turns_sha256, cast(length(loss) as bigint) as loss_chars,

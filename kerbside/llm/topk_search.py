@@ -1,195 +1,206 @@
 """Exact top-k inner-product search: ball-tree branch and bound in each shard.
 
-Vectors are dealt into shards by a hash of their id. A task builds a ball tree over each of
-its shards, orders the leaves by the upper bound of the inner product with the queries and
-skips those that cannot reach a query's current k-th score. That score carries over from
-shard to shard within a task and starts from a first shard that was searched before.
-Queries go in waves of a bounded size, so that what is broadcast has a proven bound.
+Vectors are dealt into shards, and queries, which are some of the rows, into blocks; each task
+gets one shard and one block. It builds a ball tree, descends it with all queries of the block,
+cuts a subtree for each query whose upper bound of the inner product stays below that query's
+current k-th score, and visits the leaves that are left in the order of their bounds, query by
+query. A first round searches one shard for each block; its k-th scores are then the floors from
+which all other shards start. Shards, blocks and floors are tables: nothing passes the driver.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpoint
 
-#: Vectors with a component beyond this take no part: a score might not fit a long.
-LARGEST = float(1 << 26)
-WAVE = 8192
-SHARD = 8192
-LEAF = 256
-NONE = np.iinfo(np.int64).min
+#: Rows of a shard, of a block of queries and of a leaf.
+SHARD, BLOCK, LEAF = 16_384, 4_096, 256
+#: Below any score that a long can hold, and so that its negative is a long too.
+NONE = -(2**63 - 1)
+#: Stands for a null vec_id, which loses all ties.
+NO_ID = 2**63 - 1
+#: Vectors up to this component go into trees; their scores are sums of longs.
+LARGE = float(1 << 26)
 
 
 class BallTree:
-    """Leaves of a tree that halves the points across their widest direction."""
+    """Balls around halves of the points, down to leaves; nodes stand after their parents."""
 
-    def __init__(self, points: np.ndarray, ids: np.ndarray, leaf: int = LEAF):
-        self.leaves: list[tuple[np.ndarray, np.ndarray]] = []
-        centres, radii, todo = [], [], [np.arange(len(points))]
+    def __init__(self, points: np.ndarray, leaf: int = LEAF):
+        self.centres, self.radii, self.parents, self.leaves = [], [], [], []
+        todo = [(np.arange(len(points)), -1)]
         while todo:
-            at = todo.pop()
+            at, parent = todo.pop()
             part = points[at]
             centre = part.mean(axis=0)
             away = ((part - centre) ** 2).sum(axis=1)
+            node = len(self.centres)
+            self.centres.append(centre)
+            self.radii.append(np.sqrt(away.max()))
+            self.parents.append(parent)
             if len(at) <= leaf or away.max() == 0:
-                centres.append(centre)
-                radii.append(np.sqrt(away.max()))
-                self.leaves.append((part, ids[at]))
+                self.leaves.append((node, at))
                 continue
             pole = part[away.argmax()]
             other = part[((part - pole) ** 2).sum(axis=1).argmax()]
-            side = part @ (other - pole)
-            order = np.argsort(side, kind="stable")
-            todo += [at[order[: len(at) // 2]], at[order[len(at) // 2 :]]]
-        self.centres, self.radii = np.array(centres), np.array(radii)
-
-    def bounds(self, queries: np.ndarray, norms: np.ndarray) -> np.ndarray:
-        """Upper bounds of inner products, (queries, leaves), a little loose against rounding."""
-        exact = queries @ self.centres.T + norms[:, None] * self.radii[None, :]
-        return exact + 1e-6 * (1.0 + np.abs(exact))
+            order = np.argsort(part @ (other - pole), kind="stable")
+            todo += [(at[order[: len(at) // 2]], node), (at[order[len(at) // 2 :]], node)]
+
+    def leaf_bounds(self, queries: np.ndarray, floor: np.ndarray) -> np.ndarray:
+        """Descend with all queries: upper bounds of the inner products in each leaf, -inf where
+        the leaf or a ball around it can't reach the query's floor."""
+        norms = np.sqrt((queries * queries).sum(axis=1))
+        raw = queries @ np.array(self.centres).T + norms[:, None] * np.array(self.radii)[None, :]
+        bounds = raw + 1e-6 * (1.0 + np.abs(raw))  # a little loose against rounding
+        for node, parent in enumerate(self.parents):
+            if parent >= 0:
+                np.minimum(bounds[:, node], bounds[:, parent], out=bounds[:, node])
+            bounds[bounds[:, node] < floor, node] = -np.inf
+        return bounds[:, [node for node, _ in self.leaves]]
 
 
 class Best:
-    """The k best (score, smaller id first) of each query so far, at least ``floor``."""
+    """The k best (score, then smaller id) of each query so far, none below ``floor``."""
 
-    def __init__(self, queries: int, k: int, floor: np.ndarray):
-        self.k, self.floor = k, floor
-        self.scores = np.full((queries, k), NONE)
-        self.ids = np.full((queries, k), np.iinfo(np.int64).max)
+    def __init__(self, k: int, floor: np.ndarray):
+        self.floor = floor
+        self.scores = np.full((len(floor), k), NONE)
+        self.ids = np.full((len(floor), k), NO_ID)
 
     def kth(self) -> np.ndarray:
         return np.maximum(self.scores[:, -1], self.floor)
 
     def offer(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
-        width = scores.shape[1]
-        all_scores = np.concatenate([self.scores[rows], scores], axis=1)
-        all_ids = np.concatenate([self.ids[rows], np.broadcast_to(ids, (len(rows), width))], axis=1)
-        order = np.lexsort((all_ids, -all_scores.astype(np.float64) if abs(all_scores[all_scores > NONE]).max(initial=0) < 2**53 else -all_scores), axis=1)[:, : self.k]
+        k = self.scores.shape[1]
+        live = (scores >= self.kth()[rows, None]) & (scores > NONE)
+        some = live.any(axis=1)
+        if not some.any():
+            return
+        rows, scores, columns = rows[some], scores[some], live[some].any(axis=0)
+        all_scores = np.concatenate([self.scores[rows], scores[:, columns]], axis=1)
+        all_ids = np.concatenate([self.ids[rows], np.broadcast_to(ids[columns], (len(rows), int(columns.sum())))], axis=1)
+        order = np.lexsort((all_ids, -all_scores), axis=1)[:, :k]
         self.scores[rows] = np.take_along_axis(all_scores, order, axis=1)
         self.ids[rows] = np.take_along_axis(all_ids, order, axis=1)
 
 
 def inner_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer products; floats carry them while all sums stay under 2^53."""
+    """Exact integer products of whole numbers; floats carry them while all sums stay under 2^53."""
     if np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * max(1, a.shape[1]) < 2.0**53:
         return (a @ b.T).astype(np.int64)
     return a.astype(np.int64) @ b.astype(np.int64).T
 
 
-def search_tree(tree: BallTree, queries: np.ndarray, query_ids: np.ndarray, best: Best) -> int:
-    """Offer all that can matter; returns the number of products that were made."""
-    norms = np.sqrt((queries * queries).sum(axis=1))
-    bounds = tree.bounds(queries, norms)
-    made = 0
-    for leaf in np.argsort(-bounds.max(axis=0)):
-        rows = np.flatnonzero(bounds[:, leaf] >= best.kth())
-        points, ids = tree.leaves[leaf]
-        for at in range(0, len(points), 4096):
-            part, part_ids = points[at : at + 4096], ids[at : at + 4096]
-            for start in range(0, len(rows), 2048):
-                some = rows[start : start + 2048]
-                scores = inner_products(queries[some], part)
-                made += scores.size
-                scores[query_ids[some][:, None] == part_ids[None, :]] = NONE
-                kth = best.kth()[some]
-                live = scores.max(axis=1) >= kth
-                if live.any():
-                    keep = min(best.k, scores.shape[1])
-                    chosen = scores[live]
-                    if scores.shape[1] > 4 * keep:  # ids ascend, so equal scores keep the smaller ones
-                        least = -np.partition(-chosen, keep - 1, axis=1)[:, keep - 1]
-                        column = (chosen >= least[:, None]).any(axis=0)
-                        best.offer(some[live], chosen[:, column], part_ids[column])
-                    else:
-                        best.offer(some[live], chosen, part_ids)
+def search_tree(points: np.ndarray, keys: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, best: Best, leaf: int = LEAF) -> int:
+    """Offer all that can matter to ``best``; a point whose key is the query's own is left out.
+    Returns the number of products that were made."""
+    tree = BallTree(points, leaf)
+    bounds = tree.leaf_bounds(queries, best.kth())
+    order = np.argsort(-bounds, axis=1)
+    rows, made = np.arange(len(queries)), 0
+    for turn in range(bounds.shape[1]):
+        # a query's leaves come by falling bounds: once one fails, all the rest do
+        bound = bounds[rows, order[rows, turn]]
+        rows = rows[(bound > -np.inf) & (bound >= best.kth()[rows])]
+        if len(rows) == 0:
+            break
+        now = order[rows, turn]
+        by_leaf = np.argsort(now, kind="stable")
+        for group in np.split(rows[by_leaf], np.flatnonzero(np.diff(now[by_leaf])) + 1):
+            members = tree.leaves[order[group[0], turn]][1]
+            for at in range(0, len(members), 4096):  # equal points make leaves of any size
+                part = members[at : at + 4096]
+                for low in range(0, len(group), 1024):
+                    some = group[low : low + 1024]
+                    scores = inner_products(queries[some], points[part])
+                    scores[own[some][:, None] == keys[part][None, :]] = NONE
+                    made += scores.size
+                    best.offer(some, scores, ids[part])
     return made
 
 
-def whole_vectors(rows: DataFrame, scale: int) -> DataFrame:
-    """(vec_id, v array<double>) with v = floor(scale * x); unusable vectors and null ids go,
-    and of repeated ids the smallest vector stays."""
-    x = F.transform("embedding", lambda c: F.floor(F.lit(float(scale)) * c.cast("double")).cast("double"))
-    usable = F.col("embedding").isNotNull() & F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) <= LARGEST / scale))
-    good = rows.filter(F.col("vec_id").isNotNull() & F.coalesce(usable, F.lit(False)))
-    return good.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+def exact_products(queries: np.ndarray, points: np.ndarray, own: np.ndarray, keys: np.ndarray, ids: np.ndarray, k: int) -> list[tuple]:
+    """(query row, id, score) of each query's k best, in whole numbers of any size."""
+    whole = [[int(x) for x in p] for p in points]
+    out = []
+    for row, q in enumerate(queries):
+        q = [int(x) for x in q]
+        scored = sorted((-sum(map(int.__mul__, q, p)), i) for p, key, i in zip(whole, keys.tolist(), ids.tolist()) if key != own[row])
+        out += [(row, i, -s) for s, i in scored[:k]]
+    return out
+
+
+def usable() -> Column:
+    return F.coalesce(F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf"))), F.lit(False))
 
 
-def top_k(rows: DataFrame, k: int = 20, every: int = 20, scale: int = 64) -> DataFrame:
+def top_k(rows: DataFrame, k: int = 20, every: int = 20, scale: int = 64, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """The ``k`` best other rows of each query (a row whose vec_id ``every`` divides).
 
-    Input (vec_id, embedding); extra columns are not looked at. Null vectors, and those with
-    null, non-finite or huge components, take no part; so do null ids; vectors meet only those
-    of their own length; of repeated ids one row counts; an empty table gives no rows.
-    Output: query_id, rank from 1, vec_id, score; ties go to the smaller vec_id.
+    Input (vec_id, embedding); extra columns are not looked at. Components count as
+    floor(scale * x). Null vectors, and those with null or non-finite components, take no
+    part; vectors meet only those of their own length. Rows are told apart, not ids: of rows
+    that repeat an id each is a candidate, and each query row gets results of its own under that
+    id. A row with a null id is a candidate, not a query. An empty table gives no rows.
+    Output: query_id, rank from 1, vec_id, score; ties go to the smaller vec_id, nulls last. A score
+    beyond a long is written as the nearest long, and ranks by its value as a double.
     """
-    vectors = checkpoint(whole_vectors(rows.select("vec_id", "embedding"), scale))
-    spark = rows.sparkSession
-    n = vectors.count()
-    shards = max(1, -(-n // SHARD))
-    dealt = vectors.repartition(max(shards, spark.sparkContext.defaultParallelism), "vec_id")
+    x = F.transform("embedding", lambda c: c.cast("double") * float(scale))
+    drawn = rows.select("vec_id", "embedding").filter(usable()).select(F.monotonically_increasing_id().alias("key"), F.col("vec_id").cast("long").alias("vec_id"), x.alias("v"))
+    vectors = checkpoint(drawn.withColumn("v", F.transform("v", lambda c: F.when(F.abs(c) < 2.0**52, F.floor(c).cast("double")).otherwise(c))).withColumn("d", F.size("v")))
     asked = vectors.filter(F.col("vec_id") % every == 0)
-    waves = max(1, -(-asked.count() // (WAVE * 3 // 4)))
-    found = None
-    for wave in range(waves):
-        part = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(waves)) == wave).collect()  # one wave, bounded
-        for some in (part[at : at + WAVE] for at in range(0, len(part), WAVE)):
-            rows_of_wave = search_wave(dealt, some, k, n)
-            found = rows_of_wave if found is None else found.unionByName(rows_of_wave)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def search_wave(vectors: DataFrame, wave: list, k: int, total: int) -> DataFrame:
-    by_length: dict[int, list] = {}
-    for r in wave:
-        by_length.setdefault(len(r["v"]), []).append(r)
-    queries = {d: (np.array([r["vec_id"] for r in rs]), np.array([r["v"] for r in rs], float).reshape(len(rs), d)) for d, rs in by_length.items()}
-    context = vectors.sparkSession.sparkContext
-    # k-th scores of a first shard, a bounded share of the rows, start all others
-    share = min(1.0, SHARD / max(total, 1))
-    first = vectors.filter(F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    floors = {d: np.full(len(q[0]), NONE) for d, q in queries.items()}
-    if share < 1.0:
-        at = {int(i): (d, row) for d, q in queries.items() for row, i in enumerate(q[0])}
-        kth = first.mapInPandas(searcher(context.broadcast((queries, floors)), k), "query_id long, vec_id long, score long")
-        order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-        for r in kth.withColumn("at", F.row_number().over(order)).filter(F.col("at") == k).collect():  # a row of each query
-            d, row = at[r["query_id"]]
-            floors[d][row] = r["score"]
-    return vectors.mapInPandas(searcher(context.broadcast((queries, floors)), k), "query_id long, vec_id long, score long")
-
-
-def searcher(shared, k: int):
-    def search(batches):
-        queries, floors = shared.value
-        best = {d: Best(len(q[0]), k, floors[d]) for d, q in queries.items()}
-        held: list[pd.DataFrame] = []
-
-        def shard(rows: pd.DataFrame):
-            rows = rows.sort_values("vec_id")
-            lengths = rows["v"].map(len).to_numpy()
-            for d in np.unique(lengths):
-                if int(d) in queries:
-                    own = rows[lengths == d]
-                    points = np.array(own["v"].tolist(), float).reshape(len(own), int(d))
-                    search_tree(BallTree(points, own["vec_id"].to_numpy()), queries[int(d)][1], queries[int(d)][0], best[int(d)])
-
-        for batch in batches:
-            for at in range(0, len(batch), SHARD):
-                held.append(batch.iloc[at : at + SHARD])
-                if sum(map(len, held)) >= SHARD:
-                    shard(pd.concat(held))
-                    held.clear()
-        if held:
-            shard(pd.concat(held))
-        for d, b in best.items():
-            row, column = np.nonzero(b.scores > NONE)
-            yield pd.DataFrame({"query_id": queries[d][0][row], "vec_id": b.ids[row, column], "score": b.scores[row, column]})
-
-    return search
+    n, m = vectors.count(), asked.count()
+    shards, blocks = max(1, -(-n // shard)), max(1, -(-m // block))
+    dealt = vectors.select("d", F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "key", F.coalesce("vec_id", F.lit(NO_ID)).alias("vec_id"), "v")
+    queries = asked.select("d", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(blocks)).alias("block"), "key", "vec_id", "v", F.lit(NONE).cast("long").alias("floor"))
+    first = checkpoint(search(dealt, queries, F.col("block") % shards, k, shards, blocks))
+    kth = first.groupBy(F.col("q_key").alias("of")).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth")).filter(F.col("n") >= k)
+    floored = queries.drop("floor").join(kth, F.col("key") == F.col("of"), "left").select("d", "block", "key", "vec_id", "v", F.coalesce("kth", F.lit(NONE).cast("long")).alias("floor"))
+    found = first
+    if shards > 1:
+        found = first.unionByName(search(dealt, checkpoint(floored), None, k, shards, blocks))
+    order = Window.partitionBy("q_key").orderBy(F.col("score").desc(), F.col("approx").desc(), "vec_id")
+    best = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return best.select("query_id", "rank", F.when(F.col("vec_id") != NO_ID, F.col("vec_id")).alias("vec_id"), "score")
+
+
+def search(dealt: DataFrame, queries: DataFrame, one: Column | None, k: int, shards: int, blocks: int) -> DataFrame:
+    """(q_key, query_id, vec_id, score, approx) of each pair of shard and block: those where the
+    shard is ``one`` of the block, or all others."""
+    of_block = F.array(one) if one is not None else F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != F.col("block") % shards)
+    of_shard = F.filter(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: (b % shards == F.col("shard")) if one is not None else (b % shards != F.col("shard")))
+    right = queries.select(F.explode(of_block.cast("array<long>")).alias("q_shard"), F.col("block").cast("long").alias("q_block"), F.col("d").alias("q_d"), F.col("key").alias("q_key"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "floor")
+    left = dealt.select("shard", F.explode(of_shard.cast("array<long>")).alias("block"), "d", "key", "vec_id", "v")
+
+    def pair(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        out = {c: np.zeros(0, np.int64) for c in ("q_key", "query_id", "vec_id", "score")} | {"approx": np.zeros(0)}
+        if len(rows) == 0 or len(asked) == 0:
+            return pd.DataFrame(out)
+        matrix = lambda column, d: np.array(column.tolist(), float).reshape(len(column), d)
+        d = int(rows["d"].iloc[0])
+        points, queries = matrix(rows["v"], d), matrix(asked["q"], d)
+        keys, ids, own = (x.to_numpy() for x in (rows["key"], rows["vec_id"], asked["q_key"]))
+        best = Best(k, asked["floor"].to_numpy())
+        plain_p, plain_q = (np.abs(x).max(axis=1, initial=0) <= LARGE for x in (points, queries))
+        p_at, q_at = np.flatnonzero(plain_p), np.flatnonzero(plain_q)
+        if len(p_at) and len(q_at):
+            part = Best(k, best.floor[q_at])
+            search_tree(points[p_at], keys[p_at], ids[p_at], queries[q_at], own[q_at], part)
+            best.scores[q_at], best.ids[q_at] = part.scores, part.ids
+        row, column = np.nonzero(best.scores > NONE)
+        made = [pd.DataFrame({"row": row, "vec_id": best.ids[row, column], "score": best.scores[row, column], "approx": best.scores[row, column].astype(float)})]
+        huge_p, huge_q = np.flatnonzero(~plain_p), np.flatnonzero(~plain_q)
+        for q_some, p_some in ((q_at, huge_p), (huge_q, np.arange(len(points)))):
+            if len(q_some) and len(p_some):
+                found = exact_products(queries[q_some], points[p_some], own[q_some], keys[p_some], ids[p_some], k)
+                made.append(pd.DataFrame([(q_some[r], i, min(max(s, NONE), 2**63 - 1), float(s)) for r, i, s in found], columns=["row", "vec_id", "score", "approx"]))
+        found = pd.concat([m for m in made if len(m)] or made[:1])
+        at = found["row"].to_numpy(int)
+        return pd.DataFrame({"q_key": own[at], "query_id": asked["query_id"].to_numpy()[at], "vec_id": found["vec_id"].to_numpy(), "score": found["score"].to_numpy(), "approx": found["approx"].to_numpy()})
+
+    groups = left.groupBy("d", "shard", "block").cogroup(right.groupBy("q_d", "q_shard", "q_block"))
+    return groups.applyInPandas(pair, "q_key long, query_id long, vec_id long, score long, approx double")

@@ -106,20 +106,45 @@ def test_near_duplicates_awkward(spark, awkward):
     assert near_dup.near_duplicates(awkward.limit(0)).count() == 0
 
 
+def brute_top_k(rows, k=20, every=20):
+    whole = [(i, None if x is None or any(c is None or not np.isfinite(c) for c in x) else [int(np.floor(64 * c)) if abs(c) < 2**46 else int(c) * 64 for c in x]) for i, x in rows]
+    out = []
+    for at, (q, v) in enumerate(whole):
+        if v is not None and q is not None and q % every == 0:
+            scored = sorted((-sum(a * b for a, b in zip(v, w)), 2**63 if o is None else o) for n, (o, w) in enumerate(whole) if n != at and w is not None and len(w) == len(v))
+            out += [(q, r + 1, None if o == 2**63 else o, max(min(-s, 2**63 - 1), topk_search.NONE)) for r, (s, o) in enumerate(scored[:k])]
+    return sorted(out, key=str)
+
+
 def test_top_k_brute(spark):
     nan = float("nan")
-    rows = [(i, [float((i * 7 + k * 3) % 11) / 8 - 0.6 for k in range(6)]) for i in range(300)] + [(400, None), (420, [nan] * 6), (440, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (None, [1.0] * 6), (460, [1.0] * 4)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("v", F.lit(1))
-    v = {i: np.floor(64 * np.array(x, np.float32).astype(float)) for i, x in rows[:300]}
-    want = set()
-    for q in v:
-        if q % 20 == 0:
-            scored = sorted((-int(v[q] @ v[o]), o) for o in v if o != q)[:20]
-            want |= {(q, k + 1, o, -s) for k, (s, o) in enumerate(scored)}
-    assert {tuple(r) for r in topk_search.top_k(df).collect()} == want
+    rows = [(i, [float((i * 7 + k * 3) % 11) / 8 - 0.6 for k in range(6)]) for i in range(300)] + [(400, None), (420, [nan] * 6), (440, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (None, [1.0] * 6), (460, [1.0] * 4), (480, [float("inf")] * 6)]
+    rows += [(20, [0.5] * 6), (20, [0.25] * 6), (21, [1.5] * 6), (21, [1.5] * 6)]  # ids repeat, with other vectors and with the same
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("v", F.lit(1)).withColumn("key", F.lit("x"))
+    assert sorted(map(tuple, topk_search.top_k(df).collect()), key=str) == brute_top_k(rows)
+    # several shards and blocks, so that floors pass from one round to the next
+    assert sorted(map(tuple, topk_search.top_k(df, shard=40, block=4).collect()), key=str) == brute_top_k(rows)
     assert topk_search.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    rows = [(20, [2.0e6, 1.0]), (1, [3.0e6, 2.0]), (2, [-4.0, 1.0e30]), (3, [1.0, 1.0]), (40, [1.0, -1.0]), (60, [3.0e9, 5.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, topk_search.top_k(df).collect()), key=str) == brute_top_k(rows)
+
+
+def test_tree_skips_what_cannot_matter():
+    draw = np.random.default_rng(3)
+    centres = draw.normal(0, 40, (30, 8))
+    points = np.floor(np.repeat(centres, 100, axis=0) + draw.normal(0, 1, (3000, 8)))
+    queries, best = points[::60], topk_search.Best(5, np.full(50, topk_search.NONE))
+    keys = np.arange(3000)
+    made = topk_search.search_tree(points, keys, keys, queries, keys[::60], best, leaf=50)
+    exact = (queries @ points.T).astype(np.int64)
+    exact[np.arange(50), keys[::60]] = topk_search.NONE
+    assert (np.sort(exact, axis=1)[:, :-6:-1] == best.scores).all() and made < 0.5 * exact.size
+
+
 def test_chat_round_trip(spark):
     rows = [(1, 0, "user", "<|im_end|>\n<|im_start|>assistant\nx"), (1, 1, "assistant", r"a <\|im_end|> b <\\| c"), (2, 0, None, None), (2, 0, None, None), (3, 0, "assistant", ""), (3, 1, "assistant", "t\n" * 5000), (None, 0, "role\nline", "q")]
     df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").withColumn("formatted", F.lit("x"))
@@ -144,15 +169,63 @@ def test_toxicity(spark, awkward):
 
 
 def test_marginals_equal_enumeration():
-    e, start, moves = np.array([[0.4], [-1.0], [2.0], [0.1]]), -0.5, np.array([-0.7, 0.2, 0.9])
-    total, on = 0.0, np.zeros(4)
-    for tags in range(16):
-        y = [(tags >> k) & 1 for k in range(4)]
-        s = y[0] * start + sum(y[k] * e[k, 0] for k in range(4))
-        s += sum({(0, 1): moves[0], (1, 0): moves[1], (1, 1): moves[2], (0, 0): 0.0}[y[k], y[k + 1]] for k in range(3))
-        total += np.exp(s)
-        on += np.exp(s) * np.array(y)
-    assert toxicity.chain_marginals(e, start, moves)[:, 0] == pytest.approx(on / total)
+    start, moves, draw = -0.5, np.array([-0.7, 0.2, 0.9]), np.random.default_rng(5)
+    values = [draw.normal(0, 2, n) for n in (1, 4, 0, 7)]
+    chains = toxicity.Chains(values, start, moves)
+    expected = np.zeros(3)
+    for e, p in zip(values, chains.of_chains(chains.marginals())):
+        total, on, moved = 0.0, np.zeros(len(e)), np.zeros(3)
+        for tags in range(1 << len(e) if len(e) else 0):
+            y = [(tags >> k) & 1 for k in range(len(e))]
+            steps = [{(0, 1): 0, (1, 0): 1, (1, 1): 2}.get((y[k], y[k + 1])) for k in range(len(e) - 1)]
+            w = np.exp(y[0] * start + np.dot(y, e) + sum(moves[m] for m in steps if m is not None))
+            total, on = total + w, on + w * np.array(y)
+            for m in steps:
+                if m is not None:
+                    moved[m] += w
+        if len(e):
+            assert p == pytest.approx(on / total)
+            expected += moved / total
+    assert chains.moves() == pytest.approx(expected)
+
+
+def test_one_chain_across_columns():
+    """A chain of several columns has the marginals of the plain recursion."""
+    draw = np.random.default_rng(6)
+    start, moves = -0.3, np.array([-1.0, 0.4, 1.1])
+    up, down, stay = np.exp(moves)
+    for n in (63, 64, 65, 640, 1000):
+        e = draw.normal(0, 2, n)
+        forward, back = np.zeros((n, 2)), np.ones((n, 2))
+        forward[0] = 1.0, np.exp(e[0] + start)
+        for t in range(1, n):
+            o, x = forward[t - 1] / forward[t - 1].sum()
+            forward[t] = o + down * x, np.exp(e[t]) * (up * o + stay * x)
+        for t in range(n - 1, 0, -1):
+            o, x = back[t] / back[t].sum()
+            back[t - 1] = o + up * np.exp(e[t]) * x, down * o + stay * np.exp(e[t]) * x
+        both = forward * back
+        chains = toxicity.Chains([e[:1], e], start, moves)
+        assert chains.of_chains(chains.marginals())[1] == pytest.approx(both[:, 1] / both.sum(axis=1))
+
+
+def test_offsets_are_those_of_the_text(spark):
+    model = toxicity.TaggerModel(np.zeros(1 << toxicity.BITS, np.float32), -3.0, np.array([-3.0, 0.0, 0.0]), -3.0, (-6.0, 1.0, 0.0))
+    for w in ("badword",):
+        model.weights[toxicity.feature_ids(w)[0]] = 30.0
+    df = spark.createDataFrame([(1, "İİİ badword x BADWORD badword"), (2, None), (3, "ok " * 5000 + "badword")], "doc_id long, text string").withColumn("score", F.lit(9))
+    out = {r["doc_id"]: r for r in toxicity.score_toxicity(df, model).collect()}
+    assert out[1]["toxic_spans"] == "4:11,14:29" and out[2]["toxic_spans"] == "" and out[3]["toxic_spans"] == "15000:15007"
+    assert out[1]["score"] == 9 and out[1]["score_"] > 0.5 and out[1]["predicted"] == 1
+
+
+def test_rejected_rows_go(spark, awkward):
+    model = toxicity.TaggerModel(np.zeros(1 << toxicity.BITS, np.float32), -3.0, np.array([-3.0, 0.0, 0.0]), -3.0, (-6.0, 1.0, 0.0))
+    model.weights[toxicity.feature_ids("here")[0]] = 30.0
+    kept = toxicity.reject_toxic(awkward, model)
+    assert kept.columns == awkward.columns
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(i) for i, t, _ in ROWS if "here" not in (t or "").lower())
+    assert toxicity.reject_toxic(awkward.limit(0), model).count() == 0
 
 
 def test_language(spark, awkward):
@@ -168,10 +241,10 @@ def test_language(spark, awkward):
 def test_mixing_meets_targets(spark, awkward):
     docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
     model = mixing.fit_domains(docs, labels)
-    rows = mixing.with_posteriors(docs.select("doc_id", "text"), model).drop("text").persist()
+    rows = mixing.with_posteriors(docs.select("doc_id", "text"), model, "tokens", "posterior").select("tokens", "posterior").persist()
     fit = mixing.fit_rates(rows, model.domains, mixing.tempered(0.5, grow=False))
-    p = np.array([r["__posterior"] for r in rows.collect()])
-    t = np.array([r["__tokens"] for r in rows.collect()])
+    p = np.array([r["posterior"] for r in rows.collect()])
+    t = np.array([r["tokens"] for r in rows.collect()])
     rates = fit.rates(p)
     assert (rates >= 0).all()
     assert (t * rates) @ p == pytest.approx(fit.targets, rel=0.05)
