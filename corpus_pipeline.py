@@ -6,13 +6,12 @@ the last return the columns of documents.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kerbside.llm.common import table
+from kerbside.llm.common import shared_folder, table
 from kerbside.llm.exact_dedup import drop_repeats
 from kerbside.llm.mixing import mix_documents
 from kerbside.llm.near_dup import keep_one_of_each_class
@@ -21,27 +20,32 @@ from kerbside.llm.toxicity import fit_toxicity, reject_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the tagger doesn't reject."""
+    """Documents that the tagger doesn't reject. Null and empty texts stay; equal texts share their
+    fate; other columns pass through."""
     return reject_toxic(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts."""
+    """One row of each group of equal texts, that of the largest doc_id; null texts are empty ones,
+    and only one row of these stays. Other columns pass through."""
     return drop_repeats(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates."""
+    """One document of each class of near duplicates, that of the smallest doc_id. Texts without
+    words, and rows without an id, all stay. Other columns pass through."""
     return keep_one_of_each_class(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their rates say; none goes."""
+    """Documents as often as their rates say, each at least once, so that none goes; null and empty
+    texts have no tokens. Other columns pass through."""
     return mix_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents, each a sequence of a power-of-two length."""
+    """Pieces of the documents, each a sequence of a power-of-two length; a null or empty text is its
+    end id alone, and repeated rows are packed each."""
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -52,11 +56,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what each returns is written as Parquet and read again."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kerbside-")
+    """All stages over documents; what each returns is written as Parquet, in the folder that the
+    session shares, and read again. An empty table goes through all stages as such."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for n, (name, stage) in enumerate(STAGES):
-        path = f"{folder}/pipeline-{uuid.uuid4().hex}/{n}-{name}"
+        path = f"{folder}/{n}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

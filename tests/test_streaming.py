@@ -4,6 +4,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
+from kerbside import operators  # noqa: F401  registers the queries
 from kerbside.plans.bindings import Tables
 from kerbside.plans.registry import callables
 from kerbside.streaming.dispatch import lifecycles, rate_limited
