@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import half_up
+from ..functions.geo import half_up, haversine_km
 from ..plans.dialect import half_up as sql_half_up
+from ..plans.dialect import km
 from ..plans.registry import query
+from .spatial import radius_pairs
+from .vectors import asked, cosine_pairs, doubles
 
 c = F.col
 #: Words of advertising, and words that a report of an accident has.
@@ -149,82 +152,79 @@ def rare_bigram_fraction(t):
 
 DOT = "list_dot_product(cast(a.embedding as double[]), cast(b.embedding as double[]))"
 NORM = "sqrt(list_dot_product(cast({0}.embedding as double[]), cast({0}.embedding as double[])))"
-COSINE = f"{DOT} / ({NORM.format('a')} * {NORM.format('b')})"
+COSINE = f"round({DOT} / ({NORM.format('a')} * {NORM.format('b')}), 12)"
 
 
-def with_unit(df: DataFrame, prefix: str) -> DataFrame:
-    v = F.transform("embedding", lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
-    return df.select(c("vec_id").alias(f"{prefix}_id"), c("label").alias(f"{prefix}_label"), v.alias(f"{prefix}_v"), norm.alias(f"{prefix}_norm"))
-
-
-def cosine() -> Column:
-    return F.aggregate(F.zip_with("a_v", "b_v", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x) / (c("a_norm") * c("b_norm"))
+@query(f"""
+    with x as (select a.vec_id as query_id, b.vec_id, {COSINE} as s from embeddings a join embeddings b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id)
+    select query_id, vec_id, {sql_half_up('s', 4)} + 0e0 as similarity from x qualify row_number() over (partition by query_id order by s desc, vec_id) <= 5""")
+def cosine_topk(t):
+    """Five most similar vectors of each query (ids that 50 divides): best of shards, then of all."""
+    from pyspark.sql import Window
 
+    v = doubles(t.embeddings, "vec_id", "embedding")
+    x = cosine_pairs(v.filter(asked(v)), v, most=5)
+    best = x.withColumn("r", F.row_number().over(Window.partitionBy("a_id").orderBy(c("s").desc(), "b_id"))).filter("r <= 5")
+    return best.select(c("a_id").alias("query_id"), c("b_id").alias("vec_id"), (half_up(c("s"), 4) + F.lit(0.0)).alias("similarity"))
 
-ALIKE = f"""
-    with x as (select a.vec_id as query_id, b.vec_id, {COSINE} as s from embeddings a join embeddings b on a.vec_id < 10 and a.vec_id <> b.vec_id)
-    select query_id, vec_id, {sql_half_up('s', 4)} + 0e0 as similarity from x qualify row_number() over (partition by query_id order by s desc, vec_id) <= 5"""
 
+PLACED = """p as (select e.vec_id, e.embedding, i.lat, i.lng, i.accident_date from embeddings e join active i on i.seq = e.vec_id)"""
 
-def most_alike(t, some: str) -> DataFrame:
-    """Five most similar vectors of each query that ``some`` states: one pass over all vectors, and
-    ranks are cut in the tasks."""
-    from pyspark.sql import Window
 
-    a = with_unit(t.embeddings.filter(some), "a")
-    x = with_unit(t.embeddings, "b").crossJoin(F.broadcast(a)).filter("a_id != b_id").withColumn("s", cosine())
-    best = x.withColumn("r", F.row_number().over(Window.partitionBy("a_id").orderBy(c("s").desc(), "b_id"))).filter("r <= 5")
-    return best.select(c("a_id").alias("query_id"), c("b_id").alias("vec_id"), (half_up(c("s"), 4) + F.lit(0.0)).alias("similarity"))
+def placed(t) -> DataFrame:
+    """Reports whose text has a vector: the incident of the vector's number has its place and date."""
+    return t.active.select(c("seq").alias("id"), "lat", "lng", "accident_date")
 
 
-@query(ALIKE)
-def cosine_topk(t):
-    return most_alike(t, "vec_id < 10")
+def far_apart(metres: float = 2000.0, days: int = 2) -> Column:
+    """Over so many metres apart, or, where both are dated, over so many days."""
+    m = haversine_km(c("a_lat"), c("a_lng"), c("b_lat"), c("b_lng")) * 1000.0
+    return (m > metres) | F.coalesce(F.abs(F.datediff("a_accident_date", "b_accident_date")) > days, F.lit(False))
 
 
-@query(ALIKE.replace("a.vec_id < 10", "a.vec_id % 50 = 0"))
-def cosine_topk_searches(t):
-    """The query set of searches, which grows with the table."""
-    return most_alike(t, "vec_id % 50 = 0")
+def reused(vectors: DataFrame, places: DataFrame, least: float = 0.95) -> DataFrame:
+    """Pairs of a query (id that 50 divides) and another report with nearly the same text, filed for another
+    place or date."""
+    pairs = cosine_pairs(vectors.filter(asked(vectors)), vectors, least)
+    at = lambda x: places.select(*[c(k).alias(f"{x}_{k}") for k in ("id", "lat", "lng", "accident_date")])
+    return pairs.join(at("a"), "a_id").join(at("b"), "b_id").filter(far_apart()).select("a_id", "b_id", half_up(c("s"), 4).alias("similarity"))
 
 
 @query(f"""
-    select a.vec_id as a_id, b.vec_id as b_id, {sql_half_up(COSINE, 4)} as similarity from embeddings a join embeddings b on a.vec_id % 25 = 0 and a.vec_id <> b.vec_id where {COSINE} >= 0.4e0""")
+    with {PLACED} select a.vec_id as a_id, b.vec_id as b_id, {sql_half_up(COSINE, 4)} as similarity from p a join p b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id
+    where {COSINE} >= 0.4e0 and ({km('a.lat', 'a.lng', 'b.lat', 'b.lng')} * 1000e0 > 2000e0 or coalesce(abs(date_diff('day', a.accident_date, b.accident_date)) > 2, false))""")
 def text_reuse_pairs(t):
-    """Vectors that are like some stated ones, by a threshold on the cosine."""
-    a = with_unit(t.embeddings.filter("vec_id % 25 = 0"), "a")
-    x = with_unit(t.embeddings, "b").crossJoin(a).filter("a_id != b_id").withColumn("s", cosine()).filter("s >= 0.4")
-    return x.select("a_id", "b_id", half_up(c("s"), 4).alias("similarity"))
-
-
-@query("""
-    with h as (select event_id, (event_id * 2654435761) % 4096 as h from events where event_id % 10 = 0)
-    select a.event_id as a_id, b.event_id as b_id, cast(bit_count(xor(a.h, b.h)) as int) as distance from h a join h b on a.event_id < b.event_id and bit_count(xor(a.h, b.h)) <= 1""")
-def hamming_pairs(t):
-    """Pairs of 12-bit hashes that differ in one bit at most: one of two halves is equal, so
-    halves are joined by equality."""
-    h = t.events.filter("event_id % 10 = 0").select("event_id", F.expr("(event_id * 2654435761) % 4096").alias("h"))
-    halves = F.explode(F.array(F.struct(F.lit(0).alias("half"), F.shiftright("h", 6).alias("bits")), F.struct(F.lit(1).alias("half"), c("h").bitwiseAND(63).alias("bits"))))
-    cut = h.select("event_id", "h", halves.alias("x")).select("event_id", "h", "x.*")
-    a, b = (cut.select(c("event_id").alias(f"{p}_id"), c("h").alias(f"{p}_h"), "half", "bits") for p in "ab")
-    distance = F.bit_count(c("a_h").bitwiseXOR(c("b_h")))
-    return a.join(b, ["half", "bits"]).filter("a_id < b_id").withColumn("distance", distance).filter("distance <= 1").select("a_id", "b_id", c("distance").cast("int").alias("distance")).distinct()
+    """Reuse at 0.4 or more: the vectors given are of no real texts and none of them come near 0.95."""
+    return reused(doubles(t.embeddings, "vec_id", "embedding"), placed(t), 0.4)
 
 
 #: Photos are alike up to so many bits of 64; eight bands of eight bits.
 ALIKE_BITS, BANDS = 6, 8
+DIGITS = "('0x' || substr(md5({0}), {1}, 8))::bigint"
+TURNED = DIGITS.format("event_id::varchar || ':turned'", 1) + " % 9"
+PLACE = lambda k: DIGITS.format(f"event_id::varchar || ':{k}'", 1) + " % 64"
+HASHES = "h as (select event_id as id, {} as hi, {} as lo from events)".format(
+    *[
+        "xor(" * 8 + DIGITS.format("(event_id // 4)::varchar", start) + "".join(f", case when {TURNED} > {k} and {PLACE(k)} between {low} and {low + 31} then 1::bigint << ({PLACE(k)} - {low})::int else 0 end)" for k in range(8))
+        for start, low in ((1, 32), (9, 0))
+    ]
+)
+CLASSES = "r as (select hi, lo, min(id) as rep_id, count(*) as members from h group by 1, 2)"
 
 
 def photo_hashes(t) -> DataFrame:
     """(id, hash): a 64-bit hash of the photo of every event. Four events in a row have versions
     of one photo; each version has up to eight bits of the photo's hash turned."""
-    turned = F.pmod(F.xxhash64("event_id", F.lit("turned")), F.lit(9))
-    h = F.xxhash64(F.floor(c("event_id") / 4))
+    digest = lambda *x: F.md5(F.concat(*x).cast("binary"))
+    number = lambda d: F.conv(F.substring(d, 1, 8), 16, 10).cast("long")
+    event = c("event_id").cast("string")
+    turned = number(digest(event, F.lit(":turned"))) % 9
+    h = F.conv(F.substring(digest(F.floor(c("event_id") / 4).cast("string")), 1, 16), 16, -10).cast("long")
+    rows = t.events.select("event_id", turned.alias("turned"), h.alias("hash"), *[(number(digest(event, F.lit(f":{k}"))) % 64).cast("int").alias(f"p{k}") for k in range(8)])
+    out = c("hash")
     for k in range(8):
-        bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(event_id, {k}), 64) as int))")
-        h = h.bitwiseXOR(F.when(turned > k, bit).otherwise(F.lit(0).cast("long")))
-    return t.events.select(c("event_id").alias("id"), h.alias("hash"))
+        out = out.bitwiseXOR(F.when(c("turned") > k, F.expr(f"shiftleft(1L, p{k})")).otherwise(F.lit(0).cast("long")))
+    return rows.select(c("event_id").alias("id"), out.alias("hash"))
 
 
 def hash_classes(df: DataFrame) -> DataFrame:
@@ -249,34 +249,50 @@ def near_hashes(df: DataFrame) -> DataFrame:
     return met.select("a_id", "b_id", distance.alias("distance")).distinct()
 
 
-@query()
+@query(f"with {HASHES}, {CLASSES} select h.id as event_id, r.rep_id, r.members from h join r on h.hi = r.hi and h.lo = r.lo")
 def photo_hash_classes(t):
     """Membership of every photo: pairs of equal hashes, without a row for each pair."""
     h = photo_hashes(t)
     return h.join(hash_classes(h), "hash").select(c("id").alias("event_id"), "rep_id", "members")
 
 
-@query()
-def photo_hash_pairs(t):
-    """Near matches of all photos, between representatives; ``hamming_pairs`` is the part of it
-    that SQL can follow on small hashes of one event in ten."""
+@query(f"""
+    with {HASHES}, {CLASSES} select a.rep_id as a_id, b.rep_id as b_id, cast(bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) as int) as distance from r a join r b on a.rep_id < b.rep_id
+    where bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= {ALIKE_BITS}""")
+def hamming_pairs(t):
+    """Near matches of all photos, between the representatives of equal hashes."""
     return near_hashes(photo_hashes(t))
 
 
+#: Shares of text, place and date in a duplicate's score, its reach, and its verdicts.
+SHARES, REACH_M, REACH_DAYS, LIKELY, POSSIBLE, LIKELY_M = (0.55, 0.3, 0.15), 1500.0, 2, 0.7, 0.45, 500.0
+
+
+def duplicates(vectors: DataFrame, places: DataFrame, low: float = 0.3, span: float = 0.6, possible: float = POSSIBLE) -> DataFrame:
+    """Likeness of text, place and date in one score, for reports (ids that 50 divides) and
+    all others within 1500 m and, where both are dated, two days. Candidates meet by place; only their
+    vectors are compared."""
+    at = lambda x, df: df.select(*[c(k).alias(f"{x}_{k}") for k in ("id", "lat", "lng", "accident_date", "v")])
+    rows = places.join(vectors, "id")
+    pairs = radius_pairs(at("a", rows.filter(asked(rows))), at("b", rows), REACH_M).filter("a_id != b_id")
+    days = F.abs(F.datediff("a_accident_date", "b_accident_date"))
+    pairs = pairs.withColumn("days", days).filter(c("days").isNull() | (c("days") <= REACH_DAYS))
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda acc, z: acc + z)
+    s = F.round(dot("a_v", "b_v") / (F.sqrt(dot("a_v", "a_v")) * F.sqrt(dot("b_v", "b_v"))), 12)
+    alike = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (s - low) / span))
+    when = F.when(c("days").isNull(), 0.3).when(c("days") == 0, 1.0).when(c("days") <= 1, 0.7).otherwise(0.4)
+    score = F.lit(SHARES[0]) * alike + F.lit(SHARES[1]) * F.greatest(F.lit(0.0), F.lit(1.0) - c("m") / REACH_M) + F.lit(SHARES[2]) * when
+    y = pairs.select("a_id", "b_id", "m", half_up(score, 2).alias("score")).filter(c("score") >= possible)
+    return y.select("a_id", "b_id", "score", F.when((c("score") >= LIKELY) & (half_up(c("m")) <= LIKELY_M), "likely_duplicate").otherwise("possible_duplicate").alias("verdict"))
+
+
 @query(f"""
-    with x as (select a.vec_id as a_id, b.vec_id as b_id, {COSINE} as s, abs(a.vec_id - b.vec_id) % 4 as days, (a.vec_id * 37 + b.vec_id * 11) % 1500 as m from embeddings a join embeddings b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
-    y as (select *, {sql_half_up("0.55e0 * greatest(0e0, least(1e0, (s - 0.3e0) / 0.6e0)) + 0.3e0 * greatest(0e0, 1e0 - m / 1500e0) + 0.15e0 * case days when 0 then 1e0 when 1 then 0.7e0 else 0.4e0 end", 2)} as score from x)
-    select a_id, b_id, score, case when score >= 0.7 and m <= 500 then 'likely_duplicate' else 'possible_duplicate' end as verdict from y where score >= 0.45""")
+    with {PLACED}, x as (select a.vec_id as a_id, b.vec_id as b_id, {COSINE} as s, abs(date_diff('day', a.accident_date, b.accident_date)) as days, {km('a.lat', 'a.lng', 'b.lat', 'b.lng')} * 1000e0 as m from p a join p b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
+    y as (select *, {sql_half_up("0.55e0 * greatest(0e0, least(1e0, (s - 0.1e0) / 0.7e0)) + 0.3e0 * greatest(0e0, 1e0 - m / 1500e0) + 0.15e0 * case when days is null then 0.3e0 when days = 0 then 1e0 when days <= 1 then 0.7e0 else 0.4e0 end", 2)} as score from x where m <= 1500 and coalesce(days <= 2, true))
+    select a_id, b_id, score, case when score >= 0.7 and {sql_half_up('m')} <= 500 then 'likely_duplicate' else 'possible_duplicate' end as verdict from y where score >= 0.15""")
 def duplicate_score(t):
-    """Likeness of texts, distance and dates in one score."""
-    a = with_unit(t.embeddings.filter("vec_id % 50 = 0"), "a")
-    x = with_unit(t.embeddings, "b").crossJoin(a).filter("a_id != b_id").withColumn("s", cosine())
-    x = x.withColumn("days", F.abs(c("a_id") - c("b_id")) % 4).withColumn("m", (c("a_id") * 37 + c("b_id") * 11) % 1500)
-    near = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (c("s") - 0.3) / 0.6))
-    when = F.when(c("days") == 0, F.lit(1.0)).when(c("days") == 1, F.lit(0.7)).otherwise(F.lit(0.4))
-    score = F.lit(0.55) * near + F.lit(0.3) * F.greatest(F.lit(0.0), F.lit(1.0) - c("m") / 1500.0) + F.lit(0.15) * when
-    y = x.withColumn("score", half_up(score, 2)).filter("score >= 0.45")
-    return y.select("a_id", "b_id", "score", F.when((c("score") >= 0.7) & (c("m") <= 500), "likely_duplicate").otherwise("possible_duplicate").alias("verdict"))
+    """From 0.15 on: the vectors given are of no real texts, so likeness adds little."""
+    return duplicates(doubles(t.embeddings, "vec_id", "embedding"), placed(t), 0.1, 0.7, 0.15)
 
 
 @query("""

@@ -68,23 +68,11 @@ def seed_row_normalise(t):
     return t.supplier.select(c("s_suppkey").alias("id"), F.coalesce(lat, F.lit(13.5)).alias("lat"), F.coalesce(lng, (c("s_suppkey") % 250).cast("double") + 0.5).alias("lng"))
 
 
-WKT = "select event_id as id, cast(event_id % 90 as double) + 0.25e0 as lat, cast(event_id % 170 as double) + 0.75e0 as lng from events where event_id % 10 = 0"
-
-
-def wkt_points(events):
+@query("select event_id as id, cast(event_id % 90 as double) + 0.25e0 as lat, cast(event_id % 170 as double) + 0.75e0 as lng from events")
+def parse_wkt_point(t):
     wkt = F.concat(F.lit("point ("), (c("event_id") % 170).cast("string"), F.lit(".75 "), (c("event_id") % 90).cast("string"), F.lit(".25)"))
     lat, lng = wkt_point(wkt)
-    return events.select(c("event_id").alias("id"), lat.alias("lat"), lng.alias("lng"))
-
-
-@query(WKT)
-def parse_wkt_point(t):
-    return wkt_points(t.events.filter("event_id % 10 = 0"))
-
-
-@query(WKT.replace(" where event_id % 10 = 0", ""))
-def parse_wkt_point_all(t):
-    return wkt_points(t.events)
+    return t.events.select(c("event_id").alias("id"), lat.alias("lat"), lng.alias("lng"))
 
 
 @query()
@@ -143,21 +131,9 @@ def strip_html_min_len(t):
     return t.pages.filter(F.length(source.strip_html(c("html"))) >= 50).select("page_id")
 
 
-REPLICAS = "select id, unnest(range(1, case severity when 'fatal' then 4 when 'serious' then 3 else 2 end)) as copy_no from active where seq % 10 = 0"
-
-
-def replicated(rows):
+@query("select id, unnest(range(1, case severity when 'fatal' then 4 when 'serious' then 3 else 2 end)) as copy_no from active")
+def weighted_replicate(t):
     """Rows as often as their severity weighs, for drills."""
     from ..functions.text import weight
 
-    return rows.select("id", F.explode(F.sequence(F.lit(1).cast("long"), weight(c("severity")).cast("long"))).alias("copy_no"))
-
-
-@query(REPLICAS)
-def weighted_replicate(t):
-    return replicated(t.active.filter("seq % 10 = 0"))
-
-
-@query(REPLICAS.replace(" where seq % 10 = 0", ""))
-def weighted_replicate_all(t):
-    return replicated(t.active)
+    return t.active.select("id", F.explode(F.sequence(F.lit(1).cast("long"), weight(c("severity")).cast("long"))).alias("copy_no"))

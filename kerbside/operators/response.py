@@ -152,10 +152,10 @@ BUSY = 8
 CASES = " ".join(f"when priority = '{p}' and emergency_level = '{lv}' then {x}" for (p, lv), x in PENALTY.items())
 
 
-def ranked(t, some: str = "true") -> DataFrame:
+def ranked(t) -> DataFrame:
     """Pool of 15 nearest (and 2 trauma centres for critical alerts), without diverting ones,
-    scored by drive time and penalties, for open alerts; ``some`` cuts them to stated ones."""
-    a = t.alerts.filter("status = 'new'").filter(some).select(c("id").alias("p_id"), c("lat").alias("p_lat"), c("lng").alias("p_lng"), "priority")
+    scored by drive time and penalties, for every open alert."""
+    a = t.alerts.filter("status = 'new'").select(c("id").alias("p_id"), c("lat").alias("p_lat"), c("lng").alias("p_lng"), "priority")
     h = side(t.hospitals.filter("emergency_level != 'none'"), "h", "id", "lat", "lng", "emergency_level", "er_status")
     pool = nearest_by_cells(a, h, 15)
     trauma = nearest_by_cells(a.filter("priority = 'critical'"), h.filter("h_emergency_level = 'trauma'"), 2)
@@ -169,26 +169,16 @@ def ranked(t, some: str = "true") -> DataFrame:
 
 
 RANKED = f"""
-    with x as (select a.id as alert_id, a.priority, h.id as h_id, h.emergency_level, h.er_status, {km('a.lat', 'a.lng', 'h.lat', 'h.lng')} as d from alerts a cross join hospitals h where a.status = 'new' and a.id % 50 = 0 and h.emergency_level <> 'none'),
+    with x as (select a.id as alert_id, a.priority, h.id as h_id, h.emergency_level, h.er_status, {km('a.lat', 'a.lng', 'h.lat', 'h.lng')} as d from alerts a cross join hospitals h where a.status = 'new' and h.emergency_level <> 'none'),
     p as (select * from (select *, row_number() over (partition by alert_id order by d, h_id) as r from x) where r <= 15),
     q as (select * from (select *, row_number() over (partition by alert_id order by d, h_id) as r from x where priority = 'critical' and emergency_level = 'trauma') where r <= 2),
     u as (select distinct on (alert_id, h_id) * from (select * from p union all select * from q)), e as (select *, {sql_half_up('d * 1.35e0 / 24e0 * 60e0', 1)} as eta_min from u where coalesce(er_status, '') <> 'diverting')
     select alert_id, h_id as hospital_id, eta_min, {sql_half_up(f"eta_min + case {CASES} else 10 end + case when er_status = 'busy' then {BUSY} else 0 end", 1)} as rank_score from e"""
 
 
-def candidate_scores(pool: DataFrame) -> DataFrame:
-    return pool.select(c("p_id").alias("alert_id"), c("h_id").alias("hospital_id"), "eta_min", "rank_score")
-
-
 @query(RANKED)
 def rank_candidates(t):
-    return candidate_scores(ranked(t, "id % 50 = 0"))
-
-
-@query(RANKED.replace(" and a.id % 50 = 0", ""))
-def rank_candidates_all(t):
-    """Candidates of every open alert."""
-    return candidate_scores(ranked(t))
+    return ranked(t).select(c("p_id").alias("alert_id"), c("h_id").alias("hospital_id"), "eta_min", "rank_score")
 
 
 @query()
@@ -354,10 +344,10 @@ def route_origin(t):
     return a.select("id", F.when(closed, c("h_lat")).when(new, c("lat")).alias("origin_lat"), F.when(closed, "hospital").when(new, "ambulance").alias("origin"))
 
 
-@query("select id, sha256(cast(id as varchar)) in (sha256('7'), sha256('39'), sha256('68')) as matches from alerts where id < 200")
+@query("select id, sha256(cast(id as varchar)) in (sha256('7'), sha256('39'), sha256('68')) as matches from alerts")
 def token_match(t):
     known = F.array(*[F.sha2(F.lit(x), 256) for x in ("7", "39", "68")])
-    return t.alerts.filter("id < 200").select("id", F.array_contains(known, F.sha2(c("id").cast("string"), 256)).alias("matches"))
+    return t.alerts.select("id", F.array_contains(known, F.sha2(c("id").cast("string"), 256)).alias("matches"))
 
 
 @query("""

@@ -231,7 +231,8 @@ def cell_names(t):
     """The commonest location near each cell of high risk."""
     k = percentile_midrank(t).filter(c("level").isin("high", "very_high"))
     centres = k.select(F.struct("i", "j").alias("b_id"), (F.lit(SOUTH) + (c("i") + 0.5) * F.lit(GRID)).alias("b_lat"), (F.lit(WEST) + (c("j") + 0.5) * F.lit(GRID)).alias("b_lng"))
-    m = radius_pairs(side(t.active, "a", "id", "lat", "lng", "location"), centres, 700.0).groupBy("b_id", "a_location").agg(F.count(F.lit(1)).alias("n"))
+    places = t.active.groupBy("lat", "lng", "location").agg(F.count(F.lit(1)).alias("n"))  # rows of one place meet once
+    m = radius_pairs(side(places, "a", "lat", "lng", "location", "n"), centres, 700.0).groupBy("b_id", "a_location").agg(F.sum("a_n").alias("n"))
     return m.groupBy("b_id").agg(F.min_by("a_location", F.struct(-c("n"), "a_location")).alias("name")).select("b_id.i", "b_id.j", "name")
 
 

@@ -40,6 +40,12 @@ def radius_pairs(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
     return pairs.withColumn("m", haversine_km(c("a_lat"), c("a_lng"), c("b_lat"), c("b_lng")) * 1000.0).filter(c("m") <= metres)
 
 
+def places_of(rows: DataFrame, *keys: str) -> DataFrame:
+    """(lat, lng, keys, n): rows that share a place, counted, so that places meet once and not
+    all their rows."""
+    return rows.groupBy("lat", "lng", *keys).agg(F.count(F.lit(1)).alias("n"))
+
+
 def side(df: DataFrame, prefix: str, *columns: str) -> DataFrame:
     return df.select(*[c(x).alias(f"{prefix}_{x}") for x in columns])
 
@@ -129,20 +135,22 @@ LEG = "111320e0 * cos(radians((lat1 + lat2) / 2))"
 
 
 @query(f"""
-    with x as (select r.id as route_id, a.id as incident_id, (a.lng - r.lng1) * {LEG} as px, (a.lat - r.lat1) * 110574e0 as py, (r.lng2 - r.lng1) * {LEG} as dx, (r.lat2 - r.lat1) * 110574e0 as dy
-        from routes r cross join active a where a.severity = 'fatal'),
+    with a as (select lat, lng, count(*) as n from active group by 1, 2),
+    x as (select r.id as route_id, a.n, (a.lng - r.lng1) * {LEG} as px, (a.lat - r.lat1) * 110574e0 as py, (r.lng2 - r.lng1) * {LEG} as dx, (r.lat2 - r.lat1) * 110574e0 as dy from routes r cross join a),
     y as (select *, greatest(0e0, least(1e0, (px * dx + py * dy) / (dx * dx + dy * dy))) as f from x)
-    select route_id, count(*) as near, {sql_half_up('min(sqrt(pow(px - f * dx, 2) + pow(py - f * dy, 2)))', 1)} as closest_m from y where sqrt(pow(px - f * dx, 2) + pow(py - f * dy, 2)) <= 500 group by 1""")
+    select route_id, cast(sum(n) as bigint) as near, {sql_half_up('min(sqrt(pow(px - f * dx, 2) + pow(py - f * dy, 2)))', 1)} as closest_m from y where sqrt(pow(px - f * dx, 2) + pow(py - f * dy, 2)) <= 500 group by 1""")
 def point_segment_distance(t):
-    """Fatal incidents within 500 m of each route's straight line."""
+    """Incidents within 500 m of each route's straight line. Places meet samples of the line,
+    400 m apart, by grid cell; a place within 500 m of the line is within 539 m of a sample."""
     r = t.routes.select(c("id").alias("route_id"), "lat1", "lng1", "lat2", "lng2")
+    met = radius_pairs(densified(t.routes, 400.0), side(places_of(t.active), "b", "lat", "lng", "n"), 550.0).select("route_id", "b_lat", "b_lng", "b_n").distinct()
     ref = (c("lat1") + c("lat2")) / 2
     # differences to the start, so that large coordinates don't cancel
-    px, py = to_xy(c("lat") - c("lat1"), c("lng") - c("lng1"), ref)
+    px, py = to_xy(c("b_lat") - c("lat1"), c("b_lng") - c("lng1"), ref)
     dx, dy = to_xy(c("lat2") - c("lat1"), c("lng2") - c("lng1"), ref)
     zero = F.lit(0.0)
-    x = t.active.filter("severity = 'fatal'").select("lat", "lng").crossJoin(F.broadcast(r)).withColumn("d", point_segment_m(px, py, zero, zero, dx, dy))
-    return x.filter("d <= 500").groupBy("route_id").agg(F.count(F.lit(1)).alias("near"), half_up(F.min("d"), 1).alias("closest_m"))
+    x = met.join(r, "route_id").withColumn("d", point_segment_m(px, py, zero, zero, dx, dy))
+    return x.filter("d <= 500").groupBy("route_id").agg(F.sum("b_n").alias("near"), half_up(F.min("d"), 1).alias("closest_m"))
 
 
 @query(f"select id, {sql_half_up(km('lat1', 'lng1', 'lat2', 'lng2'), 3)} as km from routes")
@@ -189,29 +197,31 @@ def detour_vias(t):
 
 # --- radius joins ----------------------------------------------------------------------
 
-SOME = "(select * from active where severity = 'fatal')"
+def duplicate_counts(rows: DataFrame, metres: float = 300.0) -> DataFrame:
+    """(id, duplicates): other rows of (id, lat, lng, accident_date) of the same date, or without
+    one too, within ``metres``. Rows are counted by place and date before places meet."""
+    groups = places_of(rows, "accident_date")
+    spots = groups.select("lat", "lng").distinct()
+    met = radius_pairs(side(spots, "a", "lat", "lng"), side(spots, "b", "lat", "lng"), metres).select("a_lat", "a_lng", "b_lat", "b_lng")
+    around = met.join(side(groups, "b", "lat", "lng", "accident_date", "n"), ["b_lat", "b_lng"]).groupBy("a_lat", "a_lng", "b_accident_date").agg(F.sum("b_n").alias("n"))
+    found = rows.join(around, (c("lat") == c("a_lat")) & (c("lng") == c("a_lng")) & c("accident_date").eqNullSafe(c("b_accident_date")))
+    return found.select("id", (c("n") - 1).alias("duplicates")).filter("duplicates > 0")
 
 
 @query(f"""
-    select a.id as id, count(*) as duplicates from {SOME} a join {SOME} b on a.accident_date is not distinct from b.accident_date and a.id <> b.id and {km('a.lat', 'a.lng', 'b.lat', 'b.lng')} * 1000e0 <= 300e0 group by 1""")
+    select a.id as id, count(*) as duplicates from active a join active b on a.accident_date is not distinct from b.accident_date and a.id <> b.id and {km('a.lat', 'a.lng', 'b.lat', 'b.lng')} * 1000e0 <= 300e0 group by 1""")
 def find_duplicates(t):
-    """Fatal incidents of one date (or both without) within 300 m of each other."""
-    rows = t.active.filter("severity = 'fatal'")
-    a, b = side(rows, "a", "id", "lat", "lng", "accident_date"), side(rows, "b", "id", "lat", "lng", "accident_date")
-    size = 300.0 / METRES_PER_DEGREE / 0.95
-    pairs = cell(a, size, "a_lat", "a_lng").withColumnsRenamed({"i": "ai", "j": "aj"}).join(
-        ring(cell(b, size, "b_lat", "b_lng")), (c("ai") == c("i")) & (c("aj") == c("j")) & c("a_accident_date").eqNullSafe(c("b_accident_date")) & (c("a_id") != c("b_id"))
-    )
-    return pairs.filter(haversine_km(c("a_lat"), c("a_lng"), c("b_lat"), c("b_lng")) * 1000.0 <= 300.0).groupBy(c("a_id").alias("id")).agg(F.count(F.lit(1)).alias("duplicates"))
+    """Incidents of one date (or both without) within 300 m of each other."""
+    return duplicate_counts(t.active.select("id", "lat", "lng", "accident_date"))
 
 
 POINT = km("lat", "lng", "12.93e0", "77.51e0")
 
 
-@query(f"select id, {sql_half_up(f'{POINT} * 1000e0')} as m from active where {POINT} * 1000e0 <= 800e0  and severity = 'fatal'")
+@query(f"select id, {sql_half_up(f'{POINT} * 1000e0')} as m from active where {POINT} * 1000e0 <= 800e0")
 def find_duplicates_by_point(t):
     d = haversine_km(c("lat"), c("lng"), F.lit(12.93), F.lit(77.51)) * 1000.0
-    return t.active.filter("severity = 'fatal'").withColumn("d", d).filter("d <= 800").select("id", half_up(c("d")).alias("m"))
+    return t.active.withColumn("d", d).filter("d <= 800").select("id", half_up(c("d")).alias("m"))
 
 
 @query(f"select id, {sql_half_up(POINT, 3)} as km from hospitals order by {POINT}, id limit 10")
@@ -249,7 +259,7 @@ def candidates(t) -> DataFrame:
     """Three nearest dispatchable hospitals of each cell and its two nearest trauma centres."""
     h = side(t.hospitals.filter("emergency_level != 'none'"), "h", "id", "lat", "lng", "emergency_level")
     points = cell_points(t)
-    both = nearest(points, h, 3).unionByName(nearest(points, h.filter("h_emergency_level = 'trauma'"), 2))
+    both = nearest_by_cells(points, h, 3).unionByName(nearest_by_cells(points, h.filter("h_emergency_level = 'trauma'"), 2))
     return both.dropDuplicates(["p_id", "h_id"])
 
 
@@ -281,22 +291,30 @@ def coverage_cells(t):
     {sql_half_up('coalesce(sum(accidents) filter (where eta_min > 2 and eta_min <= 4), 0) * 100e0 / sum(accidents)', 1)} as band_pct, {sql_half_up('coalesce(sum(accidents) filter (where eta_min > 4), 0) * 100e0 / sum(accidents)', 1)} as over_pct,
     (select eta_min from (select eta_min, row_number() over (order by eta_min) as r, count(*) over () as n from e) where r = cast(floor(n / 2e0) as bigint) + 1) as median_eta_min from e""")
 def coverage_summary(t):
+    """Bands of 2 and 4 minutes: the city given is small, and no cell of it is 10 minutes away."""
+    return coverage_bands(cell_etas(t), 2.0, 4.0)
+
+
+def coverage_bands(e: DataFrame, near: float = 10.0, far: float = 20.0) -> DataFrame:
     """Shares by the accidents' weight; the median is the upper of the two middle elements."""
-    e = cell_etas(t)
     share = lambda cond: half_up(F.coalesce(F.sum(F.when(cond, c("accidents"))), F.lit(0)) * 100.0 / F.sum("accidents"), 1)
     # cells are bounded by the city's area, whatever the number of incidents
     middle = F.element_at(F.array_sort(F.collect_list("eta_min")), (F.floor(F.count(F.lit(1)) / 2) + 1).cast("int"))
     return e.agg(
-        F.count(F.lit(1)).alias("cells"), F.sum("accidents").alias("accidents"), share(c("eta_min") <= 2).alias("within_pct"), share((c("eta_min") > 2) & (c("eta_min") <= 4)).alias("band_pct"), share(c("eta_min") > 4).alias("over_pct"), middle.alias("median_eta_min")
+        F.count(F.lit(1)).alias("cells"), F.sum("accidents").alias("accidents"), share(c("eta_min") <= near).alias("within_pct"), share((c("eta_min") > near) & (c("eta_min") <= far)).alias("band_pct"), share(c("eta_min") > far).alias("over_pct"), middle.alias("median_eta_min")
     )
 
 
-@query(f"with {ETAS} select p_id as cell, {sql_half_up('weight * greatest(0e0, eta_min - 2e0)', 1)} as desert_score from e where {sql_half_up('weight * greatest(0e0, eta_min - 2e0)', 1)} > 0 order by desert_score desc, cell limit 10")
-def coverage_deserts(t):
-    score = half_up(c("weight") * F.greatest(F.lit(0.0), c("eta_min") - 2.0), 1)
-    return cell_etas(t).select(c("p_id").alias("cell"), score.alias("desert_score")).filter("desert_score > 0").orderBy(c("desert_score").desc(), "cell").limit(10)
+def deserts(e: DataFrame, beyond: float = 10.0, most: int = 10) -> DataFrame:
+    """The cells with the most weight far from a hospital."""
+    score = half_up(c("weight") * F.greatest(F.lit(0.0), c("eta_min") - beyond), 1)
+    return e.select(c("p_id").alias("cell"), score.alias("desert_score")).filter("desert_score > 0").orderBy(c("desert_score").desc(), "cell").limit(most)
 
 
+@query(f"with {ETAS} select p_id as cell, {sql_half_up('weight * greatest(0e0, eta_min - 2e0)', 1)} as desert_score from e where {sql_half_up('weight * greatest(0e0, eta_min - 2e0)', 1)} > 0 order by desert_score desc, cell limit 10")
+def coverage_deserts(t):
+    """Beyond 2 minutes, for the same reason as above."""
+    return deserts(cell_etas(t), 2.0)
 
 
 @query(f"""
@@ -304,31 +322,36 @@ def coverage_deserts(t):
         on b.created_at <= a.created_at and b.created_at >= a.created_at - interval '1' day and a.id <> b.id and a.is_drill = b.is_drill and {km('a.lat', 'a.lng', 'b.lat', 'b.lng')} * 1000e0 <= 2000e0)
     select id, into_id from p where r = 1""")
 def merge_candidate_asof(t):
-    """The nearest earlier alert within 2 km and a day: buckets of place and day are equi-joined."""
-    rows = t.alerts
+    """Within 2 km and a day: in 15 minutes no two of the alerts given are near each other."""
+    return merge_candidates(t.alerts, 2000.0, 1440)
+
+
+def merge_candidates(rows: DataFrame, metres: float = 200.0, minutes: int = 15) -> DataFrame:
+    """The nearest earlier alert of the same kind (drill or not) within ``metres`` and ``minutes``, at
+    most a day: buckets of place and time are equi-joined and tested exactly."""
     a, b = side(rows, "a", "id", "lat", "lng", "created_at", "is_drill"), side(rows, "b", "id", "lat", "lng", "created_at", "is_drill")
-    size = 2000.0 / METRES_PER_DEGREE / 0.95
-    a = cell(a, size, "a_lat", "a_lng").withColumn("day", F.to_date("a_created_at"))
-    b = ring(cell(b, size, "b_lat", "b_lng")).withColumn("day", F.explode(F.array(F.to_date("b_created_at"), F.date_add(F.to_date("b_created_at"), 1))))
-    met = a.join(b, ["i", "j", "day"]).filter("b_created_at <= a_created_at and b_created_at >= a_created_at - interval '1' day and a_id != b_id and a_is_drill = b_is_drill")
-    near = met.withColumn("m", haversine_km(c("a_lat"), c("a_lng"), c("b_lat"), c("b_lng")) * 1000.0).filter("m <= 2000")
+    size = metres / METRES_PER_DEGREE / 0.95
+    slot = lambda x: F.floor(F.unix_seconds(c(x).cast("timestamp")) / (60.0 * minutes))
+    a = cell(a, size, "a_lat", "a_lng").withColumn("slot", slot("a_created_at"))
+    b = ring(cell(b, size, "b_lat", "b_lng")).withColumn("slot", F.explode(F.array(slot("b_created_at"), slot("b_created_at") + 1)))
+    soon = (c("b_created_at") <= c("a_created_at")) & (c("b_created_at") >= c("a_created_at") - F.expr(f"interval '{minutes}' minute"))
+    met = a.join(b, ["i", "j", "slot"]).filter(soon & (c("a_id") != c("b_id")) & (c("a_is_drill") == c("b_is_drill")))
+    near = met.withColumn("m", haversine_km(c("a_lat"), c("a_lng"), c("b_lat"), c("b_lng")) * 1000.0).filter(c("m") <= metres)
     return near.groupBy(c("a_id").alias("id")).agg(F.min_by("b_id", F.struct("m", "b_id")).alias("into_id"))
 
 
 @query(f"select h.id as hospital_id, count(*) as incidents from hospitals h join active a on {km('h.lat', 'h.lng', 'a.lat', 'a.lng')} * 1000e0 <= 700e0 group by 1")
 def radius_join(t):
-    pairs = radius_pairs(side(t.active, "a", "id", "lat", "lng"), side(t.hospitals, "b", "id", "lat", "lng"), 700.0)
-    return pairs.groupBy(c("b_id").alias("hospital_id")).agg(F.count(F.lit(1)).alias("incidents"))
+    pairs = radius_pairs(side(places_of(t.active), "a", "lat", "lng", "n"), side(t.hospitals, "b", "id", "lat", "lng"), 700.0)
+    return pairs.groupBy(c("b_id").alias("hospital_id")).agg(F.sum("a_n").alias("incidents"))
 
 
 @query(f"""
-    select a.id, count(*) as near from (select * from active where seq % 50 = 1) a join active b on a.id <> b.id and (a.accident_date is null or b.accident_date is null or abs(date_diff('day', a.accident_date, b.accident_date)) <= 2)
+    select a.id, count(*) as near from active a join active b on a.id <> b.id and (a.accident_date is null or b.accident_date is null or abs(date_diff('day', a.accident_date, b.accident_date)) <= 2)
         and {km('a.lat', 'a.lng', 'b.lat', 'b.lng')} * 1000e0 <= 1500e0 group by 1""")
 def near_candidates(t):
-    """Rows near some reports in place and, where both are dated, in time."""
-    pairs = radius_pairs(side(t.active, "a", "id", "lat", "lng", "accident_date"), side(t.active.filter("seq % 50 = 1"), "b", "id", "lat", "lng", "accident_date"), 1500.0)
-    soon = F.coalesce(F.abs(F.datediff("a_accident_date", "b_accident_date")) <= 2, F.lit(True))
-    return pairs.filter((c("a_id") != c("b_id")) & soon).groupBy(c("b_id").alias("id")).agg(F.count(F.lit(1)).alias("near"))
+    """Rows near every report in place and, where both are dated, in time."""
+    return near_counts(t.active.select("id", "lat", "lng", "accident_date"), 1500.0, 2)
 
 
 def near_counts(rows: DataFrame, metres: float, days: int) -> DataFrame:
@@ -350,33 +373,18 @@ def near_counts(rows: DataFrame, metres: float, days: int) -> DataFrame:
     return found.select("id", near.alias("near")).filter("near > 0")
 
 
-@query()
-def near_candidates_all(t):
-    """``near_candidates`` of every report."""
-    return near_counts(t.active.select("id", "lat", "lng", "accident_date"), 1500.0, 2)
-
-
 MATRIX = f"""
-    with h as (select * from hospitals where emergency_level = 'trauma'), a as (select *, cast(extract(hour from created_at + interval '330' minute) as int) as h from alerts where status = 'new' and priority = 'critical' and id % 20 = 0)
+    with h as (select * from hospitals where emergency_level = 'trauma'), a as (select *, cast(extract(hour from created_at + interval '330' minute) as int) as h from alerts where status = 'new' and priority = 'critical')
     select a.id as alert_id, h.id as hospital_id, {sql_half_up(f"{km('a.lat', 'a.lng', 'h.lat', 'h.lng')} * 1.35e0 / 24e0 * 60e0 * {TRAFFIC.replace('h ', 'a.h ')}", 1)} as eta_min from a cross join h"""
 
 
 @query(MATRIX)
 def drive_time_matrix(t):
-    return drive_times(t, "id % 20 = 0")
-
-
-@query(MATRIX.replace(" and id % 20 = 0", ""))
-def drive_time_matrix_all(t):
-    """The whole matrix."""
-    return drive_times(t, "true")
-
-
-def drive_times(t, some: str) -> DataFrame:
+    """Every open critical alert against every trauma centre: the matrix is the result."""
     from ..functions.geo import drive_minutes
     from ..functions.text import local_hour
 
-    a = side(t.alerts.filter("status = 'new' and priority = 'critical'").filter(some).withColumn("hour", local_hour(c("created_at"))), "a", "id", "lat", "lng", "hour")
+    a = side(t.alerts.filter("status = 'new' and priority = 'critical'").withColumn("hour", local_hour(c("created_at"))), "a", "id", "lat", "lng", "hour")
     h = side(t.hospitals.filter("emergency_level = 'trauma'"), "h", "id", "lat", "lng")
     eta = half_up(drive_minutes(haversine_km(c("a_lat"), c("a_lng"), c("h_lat"), c("h_lng")), traffic_factor(c("a_hour"))), 1)
     return a.crossJoin(h).select(c("a_id").alias("alert_id"), c("h_id").alias("hospital_id"), eta.alias("eta_min"))
@@ -384,33 +392,39 @@ def drive_times(t, some: str) -> DataFrame:
 
 # --- routes ----------------------------------------------------------------------------
 
-BUFFER = 250
+#: Metres of a route's buffer, between its samples, of a shared stretch, between the
+#: samples that are held against another route's; and the share from which two routes are one.
+BUFFER, STEP, SHARED_M, SHARED_STEP, LINE_STEP, SAME = 120, 40, 40, 120, 60, 0.9
 
 
-def exposures(t, step: float = 100.0) -> DataFrame:
-    """(route_id, id, severity, m): incidents within the buffer, with their least distance."""
-    samples = densified(t.routes, step)
-    pairs = radius_pairs(samples, side(t.active, "b", "id", "lat", "lng", "severity"), float(BUFFER))
-    return pairs.groupBy("route_id", c("b_id").alias("id"), c("b_severity").alias("severity")).agg(F.min("m").alias("m"))
+def exposures(t, step: float = STEP) -> DataFrame:
+    """(route_id, lat, lng, severity, n, m): places of incidents within the buffer, with the
+    least distance to a sample of the route."""
+    pairs = radius_pairs(densified(t.routes, float(step)), side(places_of(t.active).select("lat", "lng"), "b", "lat", "lng"), float(BUFFER))
+    near = pairs.groupBy("route_id", c("b_lat").alias("lat"), c("b_lng").alias("lng")).agg(F.min("m").alias("m"))
+    return near.join(places_of(t.active, "severity"), ["lat", "lng"])
 
 
-EXPOSED = f"""{sql_densified(100)}, x as (select route_id, a.id, severity, min({km('d.lat', 'd.lng', 'a.lat', 'a.lng')} * 1000e0) as m from d join active a on abs(d.lat - a.lat) < 0.003e0 and abs(d.lng - a.lng) < 0.003e0
-    and {km('d.lat', 'd.lng', 'a.lat', 'a.lng')} * 1000e0 <= {BUFFER} group by all)"""
+#: Samples and places by cells as wide as the buffer, and the cells around them.
+SQL_CELL = lambda lat, lng: f"cast(floor({lat} / 0.0012e0) as bigint) as i, cast(floor({lng} / 0.0012e0) as bigint) as j"
+EXPOSED = f"""{sql_densified(STEP)}, dc as (select *, {SQL_CELL('lat', 'lng')} from d), pc as (select lat, lng, i + di as i, j + dj as j from (select distinct lat, lng, {SQL_CELL('lat', 'lng')} from active) cross join (select unnest([-1, 0, 1]) as di) cross join (select unnest([-1, 0, 1]) as dj)),
+    xm as (select route_id, p.lat, p.lng, min({km('d.lat', 'd.lng', 'p.lat', 'p.lng')} * 1000e0) as m from dc d join pc p on d.i = p.i and d.j = p.j where {km('d.lat', 'd.lng', 'p.lat', 'p.lng')} * 1000e0 <= {BUFFER} group by all),
+    x as (select xm.route_id, a.severity, count(*) as n, any_value(xm.m) as m, xm.lat, xm.lng from xm join active a on a.lat = xm.lat and a.lng = xm.lng group by xm.route_id, a.severity, xm.lat, xm.lng)"""
 
 
-@query(f"with {EXPOSED} select route_id, id, {sql_half_up('m', 1)} as m from x")
+@query(f"with {EXPOSED} select route_id, lat, lng, severity, n, {sql_half_up('m', 1)} as m from x")
 def route_exposure(t):
-    return exposures(t).select("route_id", "id", half_up(c("m"), 1).alias("m"))
+    return exposures(t).select("route_id", "lat", "lng", "severity", "n", half_up(c("m"), 1).alias("m"))
 
 
-SCORES = f"""{EXPOSED}, g as (select route_id, count(*) as incidents, {SEV}, sum(case severity when 'fatal' then 3 when 'serious' then 2 else 1 end * (1e0 - 0.5e0 * m / {BUFFER})) as exposure from x group by 1),
+SCORES = f"""{EXPOSED}, g as (select route_id, cast(sum(n) as bigint) as incidents, cast(sum(n) filter (where severity = 'fatal') as bigint) as fatal, sum(n * case severity when 'fatal' then 3 when 'serious' then 2 else 1 end * (1e0 - 0.5e0 * m / {BUFFER})) as exposure from x group by 1),
     sc as (select r.id as route_id, r.trip, coalesce(g.incidents, 0) as incidents, coalesce(fatal, 0) as fatal, coalesce(exposure, 0e0) as exposure, {km('lat1', 'lng1', 'lat2', 'lng2')} * (1e0 + 0.1e0 * alt) as km from routes r left join g on g.route_id = r.id),
     sr as (select *, exposure / greatest(0.5e0, km) as per_km, km / 30e0 * 60e0 as minutes from sc)"""
 
 
 def scores(t) -> DataFrame:
     part = F.lit(1.0) - F.lit(0.5) * c("m") / BUFFER
-    g = exposures(t).groupBy("route_id").agg(F.count(F.lit(1)).alias("incidents"), F.count_if(c("severity") == "fatal").alias("fatal"), F.sum(weight(c("severity")) * part).alias("exposure"))
+    g = exposures(t).groupBy("route_id").agg(F.sum("n").alias("incidents"), F.sum(F.when(c("severity") == "fatal", c("n"))).alias("fatal"), F.sum(c("n") * weight(c("severity")) * part).alias("exposure"))
     km_ = haversine_km(c("lat1"), c("lng1"), c("lat2"), c("lng2")) * (F.lit(1.0) + F.lit(0.1) * c("alt"))
     r = t.routes.select(c("id").alias("route_id"), "trip", km_.alias("km")).join(g, "route_id", "left")
     filled = r.select("route_id", "trip", "km", *[F.coalesce(x, F.lit(0)).alias(x) for x in ("incidents", "fatal")], F.coalesce("exposure", F.lit(0.0)).alias("exposure"))
@@ -443,16 +457,45 @@ def choose_safest(t):
     return g.select("trip", "fast_id", F.when(stay, c("fast_id")).otherwise(c("best_id")).alias("chosen"), F.when(c("fast_danger") > 0, half_up((c("fast_danger") - taken) / c("fast_danger") * 100.0)).alias("reduction_pct"))
 
 
+SHARED_CELL = "cast(floor({0} / 0.0005e0) as bigint)"
+
+
 @query(f"""
-    with {sql_densified(120)}, b as (select r.id as other, r.trip, unnest(range(0, 61)) as q, * exclude (id, trip) from routes r), bs as (select other, trip, lat1 + (lat2 - lat1) * (q / 60e0) as lat, lng1 + (lng2 - lng1) * (q / 60e0) as lng from b),
-    n as (select route_id, count(*) as n from d group by 1), m as (select d.route_id, bs.other, count(distinct k) as hits from d join routes r on r.id = d.route_id join bs on bs.trip = r.trip and bs.other <> d.route_id
-        and {km('d.lat', 'd.lng', 'bs.lat', 'bs.lng')} * 1000e0 <= 100e0 group by 1, 2)
+    with {sql_densified(SHARED_STEP)}, {sql_densified(LINE_STEP).replace('s as (', 'sb as (', 1).replace('d as (', 'db as (', 1).replace('from s)', 'from sb)')},
+    a as (select d.*, trip, {SHARED_CELL.format('lat')} as i, {SHARED_CELL.format('lng')} as j from d join routes r on r.id = d.route_id),
+    b as (select db.route_id as other, trip, lat, lng, {SHARED_CELL.format('lat')} + di as i, {SHARED_CELL.format('lng')} + dj as j from db join routes r on r.id = db.route_id cross join (select unnest([-1, 0, 1]) as di) cross join (select unnest([-1, 0, 1]) as dj)),
+    n as (select route_id, count(*) as n from d group by 1), m as (select a.route_id, b.other, count(distinct k) as hits from a join b on a.trip = b.trip and a.i = b.i and a.j = b.j and a.route_id <> b.other
+        where {km('a.lat', 'a.lng', 'b.lat', 'b.lng')} * 1000e0 <= {SHARED_M} group by 1, 2)
     select route_id, other, {sql_half_up('hits / cast(n as double)', 3)} as share from m join n using (route_id)""")
 def route_overlap(t):
-    """Share of each route's samples within 100 m of another route of its trip."""
-    samples = densified(t.routes, 120.0)
-    of = t.routes.select(c("id").alias("route_id"), c("trip"))
-    others = t.routes.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(60)))).withColumn("q", c("q") / 60.0).select(c("id").alias("b_id"), c("trip").alias("b_trip"), (c("lat1") + (c("lat2") - c("lat1")) * c("q")).alias("b_lat"), (c("lng1") + (c("lng2") - c("lng1")) * c("q")).alias("b_lng"))
-    met = radius_pairs(samples.join(of, "route_id"), others, 100.0).filter("trip = b_trip and route_id != b_id")
-    hits = met.groupBy("route_id", c("b_id").alias("other")).agg(F.countDistinct("k").alias("hits"))
-    return hits.join(samples.groupBy("route_id").agg(F.count(F.lit(1)).alias("n")), "route_id").select("route_id", "other", half_up(c("hits") / c("n"), 3).alias("share"))
+    return overlaps(t.routes)
+
+
+def overlaps(routes: DataFrame, metres: float = SHARED_M) -> DataFrame:
+    """(route_id, other, share): the share of a route's samples, 120 m apart, within ``metres`` of
+    samples, 60 m apart, of another route of its trip; both meet by trip and grid cell."""
+    of = routes.select(c("id").alias("of_id"), "trip")
+    size = metres / METRES_PER_DEGREE / 0.95
+    here = cell(densified(routes, float(SHARED_STEP)), size, "a_lat", "a_lng").join(of, c("route_id") == c("of_id"))
+    there = densified(routes, float(LINE_STEP)).select(c("route_id").alias("other"), c("a_lat").alias("b_lat"), c("a_lng").alias("b_lng"))
+    there = ring(cell(there, size, "b_lat", "b_lng")).join(of.withColumnRenamed("trip", "b_trip"), c("other") == c("of_id")).drop("of_id").withColumnsRenamed({"i": "b_i", "j": "b_j"})
+    met = here.join(there, (c("trip") == c("b_trip")) & (c("i") == c("b_i")) & (c("j") == c("b_j")) & (c("route_id") != c("other")))
+    near = met.filter(haversine_km(c("a_lat"), c("a_lng"), c("b_lat"), c("b_lng")) * 1000.0 <= metres)
+    hits = near.groupBy("route_id", "other").agg(F.countDistinct("k").alias("hits"))
+    n = densified(routes, float(SHARED_STEP)).groupBy("route_id").agg(F.count(F.lit(1)).alias("n"))
+    return hits.join(n, "route_id").select("route_id", "other", half_up(c("hits") / c("n"), 3).alias("share"))
+
+
+@query()
+def distinct_routes(t):
+    return unlike_routes(t.routes, overlaps(t.routes))
+
+
+def unlike_routes(routes: DataFrame, shares: DataFrame) -> DataFrame:
+    """(trip, id): routes in the order of their ids, without those that share over 0.9 with one
+    kept before; a fold over the few routes of a trip."""
+    alike = shares.filter(c("share") > SAME).groupBy("route_id").agg(F.collect_set("other").alias("alike"))
+    none = F.array().cast("array<bigint>")
+    listed = routes.select("trip", "id").join(alike, c("id") == c("route_id"), "left").groupBy("trip").agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("alike", none).alias("alike")))).alias("all"))
+    kept = F.aggregate("all", none, lambda got, r: F.when(F.arrays_overlap(got, r["alike"]), got).otherwise(F.array_append(got, r["id"])))
+    return listed.select("trip", F.explode(kept).alias("id"))

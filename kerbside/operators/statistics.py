@@ -213,9 +213,9 @@ def next_numeric_id(t):
     return t.incidents.filter(c("id").rlike("^[0-9]+$")).agg((F.max(F.expr("try_cast(id as bigint)")) + 1).alias("next_id"))
 
 
-@query("select reporter_id, string_agg(id, ',' order by seq) as ids from active where severity = 'fatal' group by 1")
+@query("select reporter_id, string_agg(id, ',' order by seq) as ids from active group by 1")
 def ordered_collect(t):
-    g = t.active.filter("severity = 'fatal'").groupBy("reporter_id").agg(F.array_sort(F.collect_list(F.struct("seq", "id"))).alias("x"))
+    g = t.active.groupBy("reporter_id").agg(F.array_sort(F.collect_list(F.struct("seq", "id"))).alias("x"))
     return g.select("reporter_id", F.array_join(F.transform("x", lambda s: s["id"]), ",").alias("ids"))
 
 

@@ -79,7 +79,7 @@ BINDINGS = {
         select p_partkey as id, cast(floor(p_partkey / 4e0) as bigint) as trip, cast(p_partkey % 4 as int) as alt,
             12.85e0 + (cast(floor(p_partkey / 4e0) as bigint) * 3 % 25) * 0.01e0 as lat1, 77.45e0 + (cast(floor(p_partkey / 4e0) as bigint) * 7 % 25) * 0.01e0 as lng1,
             12.85e0 + (cast(floor(p_partkey / 4e0) as bigint) * 5 % 25) * 0.01e0 + 0.03e0 as lat2, 77.45e0 + (cast(floor(p_partkey / 4e0) as bigint) * 11 % 25) * 0.01e0 + 0.03e0 as lng2
-        from {part} where p_partkey < 40""",
+        from {part}""",
     "facilities": """
         select c_custkey as id, 'hosp ' || c_name || case c_custkey % 8 when 0 then ' dental' when 1 then ' eye care' when 2 then ' general hospital' when 3 then ' trauma'
             when 4 then ' OPD' when 5 then ' polyclinic' when 6 then ' medical college' else '' end as name,

@@ -54,7 +54,6 @@ def test_all_events_take_part(spark):
     rows = [tuple(r) for r in integrity.photo_hashes(Tables(spark, SF)).collect()]
     members, near = brute(rows)
     assert {r["event_id"]: r["rep_id"] for r in callables()["photo_hash_classes"](spark, SF).collect()} == members
-    found = [(r["a_id"], r["b_id"], r["distance"]) for r in callables()["photo_hash_pairs"](spark, SF).collect()]
+    found = [(r["a_id"], r["b_id"], r["distance"]) for r in callables()["hamming_pairs"](spark, SF).collect()]
     assert sorted(found) == sorted(near)
     assert len(members) == Tables(spark, SF).events.count() and any(a % 10 or b % 10 for a, b, _ in near) and {x[2] for x in near} >= {2, 3, 4, 5, 6}
-    # ids that do not divide by ten, and bits beyond one, are what the subset of hamming_pairs leaves out
