@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import half_up, haversine_km
+from ..functions.letters import KEY_TRIPLES, LETTERS, shares_of_letters
 from ..plans.dialect import half_up as sql_half_up
 from ..plans.dialect import km
 from ..plans.registry import query
@@ -16,50 +17,67 @@ c = F.col
 #: Words of advertising, and words that a report of an accident has.
 PROMO = r"\b(buy|discount|offer|sale|cheap|click|subscribe|whats\s?app|telegram|loan|crypto|bitcoin|casino|betting|earn money|work from home|free gift|follow me|dm me|promo|coupon|investment|lottery|win cash|visit (our|my) (site|page))\b"
 ACCIDENT = r"accident|collid|collision|crash|hit\b|hit by|knock|overturn|skid|injur|dead|died|death|killed|bike|motorcycl|scooter|car\b|cab\b|bus\b|bmtc|ksrtc|truck|lorry|tipper|tanker|auto\b|autorickshaw|pedestrian|two[- ]wheeler|vehicle|rammed|run over|fell|flyover|junction|signal|ambulance|hospital|pothole|rider|driver|helmet|highway|road"
+#: Links, telephone numbers and e-mail addresses.
 LINK = r"(?i)https?://|www\.|\.(com|in|net|xyz|ly)\b"
 CONTACT = r"(\+91[\s-]?)?\b[6-9]\d{9}\b|[\w.+-]+@[\w-]+\.[\w.]+"
-KEY_ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
-KEY_TRIPLES = [row[i : i + 3] for row in KEY_ROWS for i in range(len(row) - 2)]
-#: A run of six equal characters; the second dialect has no back-references.
-REPEATED = r"([a-z0-9 .!?=*#_-])\1{5,}"
-REPEATED_PLAIN = "|".join(f"[{x}]{{6,}}" for x in "abcdefghijklmnopqrstuvwxyz0123456789 .!?=*#_") + "|-{6,}"
-
-#: Weights of the signals.
-WEIGHTS = {"link": 0.35, "contact_info": 0.2, "promotional": 0.35, "shouting": 0.1, "repeated_chars": 0.1, "low_text_ratio": 0.15, "repetitive": 0.15}
-
-
-def count_of(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern))
-
-
-def signals(df: DataFrame) -> DataFrame:
-    """(doc_id, text) with a flag for each sign of spam."""
-    text = F.coalesce("text", F.lit(""))
-    letters, caps = count_of(text, "[A-Za-z]"), count_of(text, "[A-Z]")
-    packed = F.length(F.regexp_replace(text, r"\s", ""))
-    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))
+PHONE, EMAIL = r"\b[6-9]\d{9}\b", r"[\w.+-]+@[\w-]+\.[\w.]+"
+
+#: Weights of the signals, and what makes a text gibberish.
+WEIGHTS = {"link": 0.35, "contact_info": 0.2, "promotional": 0.35, "shouting": 0.1, "repeated_chars": 0.1, "low_text_ratio": 0.15, "repetitive": 0.15, "gibberish": 0.65}
+MASH, RARE, LEARNT, SEEN = 0.35, 0.12, 2000, 3
+OFF_TOPIC, FLOOD, HASTE = 0.35, (8, 0.35), (4, 0.2)
+ASCII = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def without(text: Column, characters: str) -> Column:
+    return F.length(text) - F.length(F.translate(text, characters, ""))
+
+
+def signals(df: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(doc_id, text) with a flag for each sign of spam; ``pairs`` is one row, the letter pairs that
+    titles know (null: too few titles to tell). Texts are folded once; costly patterns run only
+    where a plain search finds what they need."""
+    text, low = F.coalesce("text", F.lit("")), c("low")
+    rows = df.crossJoin(F.broadcast(pairs)).select(*df.columns, shares_of_letters(text, c("pairs")).alias("letters"), text.alias("whole"), F.lower(text).alias("low"))
+    rows = rows.withColumn("words", F.split(F.trim(F.regexp_replace(low, "[^a-z\u0c80-\u0cff\u0900-\u097f]+", " ")), " "))
+    caps = without(c("whole"), ASCII)
+    letters = without(c("whole"), ASCII + ASCII.lower())
+    packed = F.length(F.regexp_replace("whole", r"\s+", ""))
+    other = F.length(F.regexp_replace("whole", r"[\s\p{L}]+", ""))
     flags = {
-        "link": text.rlike(LINK),
-        "contact_info": text.rlike(CONTACT),
-        "promotional": text.rlike("(?i)" + PROMO),
+        "link": (low.contains("://") | low.contains(".")) & low.rlike(LINK),
+        "contact_info": (low.contains("@") & c("whole").rlike(EMAIL)) | c("whole").rlike(PHONE),
+        "promotional": low.rlike(PROMO),
         "shouting": (letters > 20) & (caps * 2 > letters),
-        "repeated_chars": F.lower(text).rlike(REPEATED),
-        "low_text_ratio": (packed > 15) & (count_of(text, r"\p{L}") * 10 < packed * 6),
-        "repetitive": (F.size(words) >= 10) & (F.size(F.array_distinct(words)) * 100 < F.size(words) * 35),
+        "repeated_chars": c("whole").rlike(r"(.)\1{5,}"),
+        "low_text_ratio": (packed > 15) & ((packed - other) * 10 < packed * 6),
+        "repetitive": (F.size("words") >= 10) & (F.size(F.array_distinct("words")) * 100 < F.size("words") * 35),
+        "gibberish": (c("letters.mash") >= MASH) | F.coalesce(c("letters.rare") >= RARE, F.lit(False)),
     }
-    return df.select("doc_id", *[f.alias(k) for k, f in flags.items()])
+    return rows.select(*[x for x in df.columns if x != "text"], *[f.alias(k) for k, f in flags.items()])
 
 
-SIGNALS = f"""s as (select doc_id, coalesce(text, '') as text, length(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')) as letters, length(regexp_replace(coalesce(text, ''), '[^A-Z]', '', 'g')) as caps,
-        length(regexp_replace(coalesce(text, ''), '\\s', '', 'g')) as packed, regexp_extract_all(lower(coalesce(text, '')), '[a-z]+') as words from documents),
-    g as (select doc_id, regexp_matches(text, '{LINK}') as link, regexp_matches(text, '{CONTACT}') as contact_info, regexp_matches(text, '(?i){PROMO}') as promotional, letters > 20 and caps * 2 > letters as shouting,
-        regexp_matches(lower(text), '{REPEATED_PLAIN}') as repeated_chars, packed > 15 and length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) * 10 < packed * 6 as low_text_ratio,
-        len(words) >= 10 and len(list_distinct(words)) * 100 < len(words) * 35 as repetitive from s)"""
+RUNS = "len(list_filter(list_distinct(string_split(text, '')), lambda ch: ch <> chr(10) and ch <> chr(13) and contains(text, repeat(ch, 6)))) > 0"
+MASHED = f"""mw as (select doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{{4,}}')) as w from documents),
+    mr as (select doc_id, sum(length(w)) as letters, sum(length(w) - 2) as triples, sum(list_sum(list_transform(regexp_extract_all(w, '[^aeiouy]{{5,}}'), lambda x: length(x)))) as runs,
+        sum(len(list_filter(range(1, length(w) - 1), lambda i: substr(w, i, 3) in ({", ".join(f"'{x}'" for x in KEY_TRIPLES)})))) as keys from mw group by 1),
+    mash as (select doc_id, case when letters < 12 then 0e0 else greatest(coalesce(runs, 0) / cast(letters as double), keys / cast(triples as double) * 1.5e0) end as g from mr)"""
+BIGRAMS = "(select {key}, unnest(list_transform(range(1, length(w) + 2), lambda i: substr('^' || w || '$', i, 2))) as pair from (select {key}, unnest(regexp_extract_all(lower({text}), '[a-z]{{2,}}')) as w from {rel}))"
+TITLES = BIGRAMS.replace("{key}", "id").replace("{text}", "concat_ws(' ', title, location, area)").replace("{rel}", "active").replace("{{2,}}", "{2,}")
+DOCS = BIGRAMS.replace("{key}", "doc_id").replace("{text}", "coalesce(text, '')").replace("{rel}", "documents").replace("{{2,}}", "{2,}")
+ODD = f"""tp as (select pair, count(*) as n from {TITLES} group by 1), known as (select pair from tp where n >= {SEEN} and (select sum(n) from tp) >= {LEARNT}),
+    odd as (select doc_id, count(*) filter (where known.pair is null) / cast(count(*) as double) as rare from {DOCS} d left join known using (pair) where (select sum(n) from tp) >= {LEARNT} group by 1 having count(*) >= {LETTERS})"""
+SIGNALS = f"""{MASHED}, {ODD}, s as (select doc_id, coalesce(text, '') as text, length(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')) as letters, length(regexp_replace(coalesce(text, ''), '[^A-Z]', '', 'g')) as caps,
+        length(regexp_replace(coalesce(text, ''), '\\s', '', 'g')) as packed, regexp_extract_all(lower(coalesce(text, '')), '[a-z\u0c80-\u0cff\u0900-\u097f]+') as words from documents),
+    g as (select s.doc_id, regexp_matches(text, '{LINK}') as link, regexp_matches(text, '{CONTACT}') as contact_info, regexp_matches(text, '(?i){PROMO}') as promotional, letters > 20 and caps * 2 > letters as shouting,
+        {RUNS} as repeated_chars, packed > 15 and length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) * 10 < packed * 6 as low_text_ratio,
+        len(words) >= 10 and len(list_distinct(words)) * 100 < len(words) * 35 as repetitive, coalesce(g >= {MASH}, false) or coalesce(rare >= {RARE}, false) as gibberish
+        from s left join mash on mash.doc_id = s.doc_id left join odd on odd.doc_id = s.doc_id)"""
 
 
 @query(f"with {SIGNALS} select * from g")
 def spam_signals(t):
-    return signals(t.documents)
+    return signals(t.documents.select("doc_id", "text"), known_pairs(t))
 
 
 def noisy_or_of(weights: Column) -> Column:
@@ -71,14 +89,18 @@ NOISY = " * ".join(f"(1e0 - case when {k} then {w}e0 else 0e0 end)" for k, w in
 SPAM = sql_half_up(f"1e0 - {NOISY}", 2)
 
 
-def spam_scores(df: DataFrame) -> DataFrame:
-    weights = F.array(*[F.when(c(k), F.lit(w)).otherwise(F.lit(0.0)) for k, w in WEIGHTS.items()])
-    return signals(df).select("doc_id", half_up(noisy_or_of(weights), 2).alias("spam_score"))
+def weights_of(signals: dict[str, float]) -> Column:
+    return F.array(*[F.when(c(k), F.lit(w)).otherwise(F.lit(0.0)) for k, w in signals.items()])
+
+
+def spam_scores(t) -> DataFrame:
+    found = signals(t.documents.select("doc_id", "text"), known_pairs(t))
+    return found.select("doc_id", half_up(noisy_or_of(weights_of(WEIGHTS)), 2).alias("spam_score"))
 
 
 @query(f"with {SIGNALS} select doc_id, {SPAM} as spam_score from g")
 def noisy_or(t):
-    return spam_scores(t.documents)
+    return spam_scores(t)
 
 
 VERDICT = "case when spam_score >= 0.6 then 'likely_spam' when spam_score >= 0.3 then 'review' else 'ok' end"
@@ -87,7 +109,7 @@ VERDICT = "case when spam_score >= 0.6 then 'likely_spam' when spam_score >= 0.3
 @query(f"with {SIGNALS} select doc_id, {VERDICT} as verdict from (select doc_id, {SPAM} as spam_score from g)")
 def integrity_verdict(t):
     s = c("spam_score")
-    return spam_scores(t.documents).select("doc_id", F.when(s >= 0.6, "likely_spam").when(s >= 0.3, "review").otherwise("ok").alias("verdict"))
+    return spam_scores(t).select("doc_id", F.when(s >= 0.6, "likely_spam").when(s >= 0.3, "review").otherwise("ok").alias("verdict"))
 
 
 @query(f"select doc_id, not regexp_matches(coalesce(text, ''), '(?i){ACCIDENT}') as off_topic from documents")
@@ -95,40 +117,30 @@ def off_topic(t):
     return t.documents.select("doc_id", (~F.coalesce("text", F.lit("")).rlike("(?i)" + ACCIDENT)).alias("off_topic"))
 
 
-@query(f"""
-    with w as (select doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{{4,}}')) as w from documents),
-    r as (select doc_id, sum(length(w)) as letters, sum(length(w) - 2) as triples, sum(list_sum(list_transform(regexp_extract_all(w, '[^aeiouy]{{5,}}'), lambda x: length(x)))) as runs,
-        sum(len(list_filter(range(1, length(w) - 1), lambda i: substr(w, i, 3) in ({", ".join(f"'{x}'" for x in KEY_TRIPLES)})))) as keys from w group by 1)
-    select d.doc_id, case when coalesce(letters, 0) < 12 then 0e0 else {sql_half_up("greatest(coalesce(runs, 0) / cast(letters as double), keys / cast(triples as double) * 1.5e0)", 3)} end as score from documents d left join r on r.doc_id = d.doc_id""")
+@query(f"with {MASHED} select d.doc_id, coalesce({sql_half_up('g', 3)}, 0e0) as score from documents d left join mash on mash.doc_id = d.doc_id")
 def gibberish_score(t):
-    """Share of letters in runs of five consonants or more, or of triples of neighbouring keys,
-    all within the row's own words."""
-    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]{4,}"), F.lit(0))
-    total = lambda f: F.aggregate("words", F.lit(0).cast("long"), lambda acc, w: acc + f(w).cast("long"))
-    runs = lambda w: F.length(w) - F.length(F.regexp_replace(w, "[^aeiouy]{5,}", ""))
-    keys = F.array(*map(F.lit, KEY_TRIPLES))
-    hits = lambda w: F.size(F.filter(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.array_contains(keys, F.substring(w, i, 3))))
-    d = t.documents.select("doc_id", words.alias("words"))
-    d = d.select("doc_id", total(F.length).alias("letters"), total(runs).alias("runs"), total(hits).alias("keys"), total(lambda w: F.length(w) - 2).alias("triples"))
-    score = F.greatest(c("runs") / c("letters"), c("keys") / c("triples") * 1.5)
-    return d.select("doc_id", F.when(c("letters") < 12, F.lit(0.0)).otherwise(half_up(score, 3)).alias("score"))
+    return letter_scores(t).select("doc_id", half_up(c("x.mash"), 3).alias("score"))
 
 
-BIGRAMS = "(select {key}, unnest(list_transform(range(1, length(w) + 2), lambda i: substr('^' || w || '$', i, 2))) as pair from (select {key}, unnest(regexp_extract_all(lower({text}), '[a-z]{{2,}}')) as w from {rel}))"
-TITLES = BIGRAMS.replace("{key}", "id").replace("{text}", "title || ' ' || location").replace("{rel}", "active").replace("{{2,}}", "{2,}")
-DOCS = BIGRAMS.replace("{key}", "doc_id").replace("{text}", "coalesce(text, '')").replace("{rel}", "documents").replace("{{2,}}", "{2,}")
+def letter_scores(t) -> DataFrame:
+    d = t.documents.crossJoin(F.broadcast(known_pairs(t)))
+    return d.select("doc_id", shares_of_letters(F.coalesce("text", F.lit("")), c("pairs")).alias("x"))
 
 
-def bigrams(df: DataFrame, key: str, text: Column) -> DataFrame:
-    """(key, pair): letter pairs of each word with its start ^ and end $."""
-    words = F.explode(F.regexp_extract_all(F.lower(text), F.lit("[a-z]{2,}"), F.lit(0)))
+def title_pairs(t) -> DataFrame:
+    """(pair, n): letter pairs of the words of titles and places, with each word's start ^ and end $."""
+    words = F.explode(F.regexp_extract_all(F.lower(F.concat_ws(" ", "title", "location", "area")), F.lit("[a-z]{2,}"), F.lit(0)))
+    counted = t.active.select(words.alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))  # words repeat, so pairs are made once for each
     marked = F.concat(F.lit("^"), "w", F.lit("$"))
     pairs = F.transform(F.sequence(F.lit(1), F.length(marked) - 1), lambda i: F.substring(marked, i, 2))
-    return df.select(key, words.alias("w")).select(key, F.explode(pairs).alias("pair"))
+    return counted.select(F.explode(pairs).alias("pair"), "n").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
-def title_pairs(t) -> DataFrame:
-    return bigrams(t.active, "id", F.concat_ws(" ", "title", "location")).groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
+def known_pairs(t) -> DataFrame:
+    """One row, ``pairs``: the letter pairs that titles have three times or more, joined; null if they
+    have fewer than 2000 pairs in all. There are at most 27 x 27 pairs."""
+    known = F.array_join(F.array_sort(F.collect_list(F.when(c("n") >= SEEN, c("pair")))), "")
+    return title_pairs(t).agg(F.when(F.sum("n") >= LEARNT, known).alias("pairs"))
 
 
 @query(f"select pair, count(*) as n from {TITLES} group by 1")
@@ -136,16 +148,10 @@ def bigram_model(t):
     return title_pairs(t)
 
 
-@query(f"""
-    with m as (select pair from {TITLES} group by 1 having count(*) >= 3)
-    select doc_id, {sql_half_up('count(*) filter (where m.pair is null) / cast(count(*) as double)', 3)} as rare from {DOCS} d left join m using (pair) group by 1 having count(*) >= 12""")
+@query(f"with {ODD} select doc_id, {sql_half_up('rare', 3)} as rare from odd")
 def rare_bigram_fraction(t):
-    """Share of a text's letter pairs that are rare in the titles: pairs are counted per text
-    before they meet the model, which has at most 28 x 28 rows."""
-    model = title_pairs(t).filter("n >= 3").select("pair", F.lit(True).alias("known"))
-    own = bigrams(t.documents, "doc_id", F.coalesce("text", F.lit(""))).groupBy("doc_id", "pair").agg(F.count(F.lit(1)).alias("k"))
-    g = own.join(F.broadcast(model), "pair", "left").groupBy("doc_id").agg(F.sum(F.when(c("known").isNull(), c("k")).otherwise(0)).alias("odd"), F.sum("k").alias("k"))
-    return g.filter("k >= 12").select("doc_id", half_up(c("odd") / c("k"), 3).alias("rare"))
+    """Share of a text's letter pairs that are rare in the titles."""
+    return letter_scores(t).select("doc_id", half_up(c("x.rare"), 3).alias("rare")).filter("rare is not null")
 
 
 # --- likeness --------------------------------------------------------------------------
@@ -295,26 +301,61 @@ def duplicate_score(t):
     return duplicates(doubles(t.embeddings, "vec_id", "embedding"), placed(t), 0.1, 0.7, 0.15)
 
 
-@query("""
-    with w as (select item_id as id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) as w from benchmark), b as (select id, (('0x' || substr(md5(w), 1, 8))::bigint) % 1024 as bucket, case when ('0x' || substr(md5(w), 9, 1))::bigint >= 8 then -1 else 1 end as sign from w)
-    select id, bucket, cast(sum(sign) as bigint) as weight from b group by 1, 2 having sum(sign) <> 0""")
+#: Slots of a hashed vector, its alphabet, and the weights of words and of character triples.
+SLOTS, OTHER, WORD_WEIGHT, TRIPLE_WEIGHT = 1024, "[^a-z0-9\u0c80-\u0cff\u0900-\u097f ]+", 1.0, 0.5
+
+
+def hashed_vectors(df: DataFrame, key: str) -> DataFrame:
+    """(key, slot, weight): signed counts of words of three letters or more and of character triples
+    in 1024 hashed slots, as sparse rows. Tokens are counted before they are hashed."""
+    folded = F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), OTHER, " "), " +", " "))
+    rows = df.select(key, F.concat(F.lit(" "), folded, F.lit(" ")).alias("s"))
+    words = F.transform(F.filter(F.split(F.trim("s"), " "), lambda w: F.length(w) > 2), lambda w: F.concat(F.lit("w:"), w))
+    triples = F.transform(F.regexp_extract_all("s", F.lit("(?=(...))"), F.lit(1)), lambda x: F.concat(F.lit("c:"), x))
+    counted = rows.select(key, F.explode(F.concat(words, triples)).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
+    h = F.md5(c("token").cast("binary"))
+    # the digest's first four bytes as a little-endian number, and the lowest bit of its fifth
+    number = F.conv(F.concat(*[F.substring(h, k, 2) for k in (7, 5, 3, 1)]), 16, 10).cast("long")
+    sign = F.when(F.conv(F.substring(h, 10, 1), 16, 10).cast("int") % 2 == 1, 1).otherwise(-1)
+    each = F.when(c("token").startswith("w:"), WORD_WEIGHT).otherwise(TRIPLE_WEIGHT)
+    slots = counted.select(key, (number % SLOTS).alias("slot"), (sign * each * c("n")).alias("w"))
+    return slots.groupBy(key, "slot").agg(F.sum("w").alias("weight")).filter("weight != 0")
+
+
+@query(f"""
+    with s as (select item_id as id, ' ' || trim(regexp_replace(regexp_replace(lower(text), '{OTHER}', ' ', 'g'), ' +', ' ', 'g')) || ' ' as s from benchmark),
+    k as (select id, 'w:' || w as token, 1e0 as each from (select id, unnest(string_split(trim(s), ' ')) as w from s) where length(w) > 2
+        union all select id, 'c:' || x, 0.5e0 from (select id, unnest(list_transform(range(1, length(s) - 1), lambda i: substr(s, i, 3))) as x from s)),
+    h as (select id, md5(token) as h, each from k)
+    select id, ('0x' || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2))::bigint % 1024 as slot, sum(case when ('0x' || substr(h, 10, 1))::bigint % 2 = 1 then each else -each end) as weight from h group by 1, 2 having weight <> 0""")
 def hashed_tf(t):
-    """Signed word counts in 1024 hashed slots, as sparse rows."""
-    w = t.benchmark.select(c("item_id").alias("id"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))).alias("w")).withColumn("h", F.md5(c("w").cast("binary")))
-    number = lambda x: F.conv(x, 16, 10).cast("long")
-    b = w.select("id", (number(F.substring("h", 1, 8)) % 1024).alias("bucket"), F.when(number(F.substring("h", 9, 1)) >= 8, -1).otherwise(1).alias("sign"))
-    return b.groupBy("id", "bucket").agg(F.sum("sign").alias("weight")).filter("weight != 0")
+    return hashed_vectors(t.benchmark.select(c("item_id").alias("id"), "text"), "id")
 
 
-@query()
+REPORTS = f"""{SIGNALS}, v as (select event_id, count(*) over (partition by user_id order by epoch(ts) range between 86400 preceding and current row) as recent from events),
+    rp as (select g.*, not regexp_matches(coalesce(d.text, ''), '(?i){ACCIDENT}') as off_topic, coalesce(v.recent, 0) >= 8 as flood, coalesce(v.recent, 0) between 4 and 7 as haste from g join documents d on d.doc_id = g.doc_id left join v on v.event_id = g.doc_id)"""
+REPORTED = {**WEIGHTS, "off_topic": OFF_TOPIC, "flood": FLOOD[1], "haste": HASTE[1]}
+REPORT_SCORE = sql_half_up("1e0 - " + " * ".join(f"(1e0 - case when {k} then {w}e0 else 0e0 end)" for k, w in REPORTED.items()), 2)
+
+
+@query(f"""
+    with {REPORTS}, sc as (select doc_id, {REPORT_SCORE} as spam_score, concat_ws(',', {", ".join(f"case when {k} then '{k}' end" for k in REPORTED)}) as signals from rp)
+    select doc_id, spam_score, signals, {VERDICT} as verdict from sc""")
 def integrity_report(t):
-    """Spam score, relevance and verdict of every report in one row."""
+    """Signals of the text, its topic and its reporter's haste in one score and verdict. A report
+    is a document, filed as the event of its number; the last day's reports of that user count."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id").orderBy("at").rangeBetween(-86400_000_000, 0)
+    recent = t.events.select("user_id", "event_id", F.unix_micros(c("ts").cast("timestamp")).alias("at")).select("event_id", F.count(F.lit(1)).over(w).alias("recent"))
     text = F.coalesce("text", F.lit(""))
-    topic = t.documents.select("doc_id", (~text.rlike("(?i)" + ACCIDENT)).alias("off_topic"))
-    s = spam_scores(t.documents).join(topic, "doc_id")
-    score = F.lit(1.0) - (F.lit(1.0) - c("spam_score")) * F.when(c("off_topic"), F.lit(0.65)).otherwise(F.lit(1.0))
-    s = s.withColumn("score", half_up(score, 2))
-    return s.select("doc_id", "score", "off_topic", F.when(c("score") >= 0.6, "likely_spam").when(c("score") >= 0.3, "review").otherwise("ok").alias("verdict"))
+    d = t.documents.select("doc_id", "text", (~text.rlike("(?i)" + ACCIDENT)).alias("off_topic"))
+    rows = signals(d, known_pairs(t)).join(recent, c("doc_id") == c("event_id"), "left")
+    n = F.coalesce("recent", F.lit(0))
+    rows = rows.withColumns({"flood": n >= FLOOD[0], "haste": (n >= HASTE[0]) & (n < FLOOD[0])})
+    score = half_up(noisy_or_of(weights_of(REPORTED)), 2)
+    s = rows.select("doc_id", score.alias("spam_score"), F.concat_ws(",", *[F.when(c(k), k) for k in REPORTED]).alias("signals"))
+    return s.select("doc_id", "spam_score", "signals", F.when(c("spam_score") >= 0.6, "likely_spam").when(c("spam_score") >= 0.3, "review").otherwise("ok").alias("verdict"))
 
 
 @query()

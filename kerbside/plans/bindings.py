@@ -92,6 +92,17 @@ BINDINGS = {
 }
 
 
+#: Tables whose rows hold long texts.
+TEXTS = ("documents", "pages")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt to all cores where the files are read in fewer parts than half of them, as one
+    file of one row group is: reading is cheap, and what is done with a text is not."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 class Tables:
     """Raw tables and bindings as DataFrames, each made once."""
 
@@ -105,7 +116,8 @@ class Tables:
         made = self.__dict__["made"]
         if name not in made:
             if name in RAW:
-                made[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+                rows = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+                made[name] = spread(rows) if name in TEXTS else rows
             else:
                 sql = BINDINGS[name]
                 needs = {n: getattr(self, n) for n in re.findall(r"\{(\w+)\}", sql)}
