@@ -10,13 +10,16 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.bindings import spread
+
 #: Rows and bytes of an Arrow batch of texts, and of the slices of it that tasks work on.
 BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
 SLICE_ROWS, SLICE_BYTES = 512, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name == "documents" else rows
 
 
 def shared_folder(spark: SparkSession) -> str:
