@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import half_up
@@ -33,7 +33,21 @@ FACILITY = (
 NO_EMERGENCY = ("veterinary", "dental", "eye", "ayush", "diagnostic", "skin", "maternity", "cancer", "mental_health", "rehab", "specialty", "clinic")
 SUB_UNIT = r"\bopd\b|out-?patient|screening|physiother|rehabilit|psychiatr|department|\bdept\b|pharmacy|blood bank|hostel|quarters|\badmin|nursing college|college of nursing|mortuary"
 EMERGENCY_UNIT = "emergency|casualty|trauma"
-EMERGENCY_NAME = r"multi-?special|super-?special|general hospital|government hospital|govt\.? hospital|district hospital|taluk|\bchc\b|community health|medical college|institute of medical sciences|trauma|emergency|casualty|24 ?hrs?\b|accident"
+EMERGENCY_NAME = r"multi-?special|super-?special|general hospital|government hospital|govt\.? hospital|district hospital|taluk|\bchc\b|community health|medical college|institute of medical sciences|trauma|emergency|casualty|24\s*[x×*]\s*7|24 ?hrs?\b|accident"
+#: Hospitals known for a trauma centre, and for a casualty department, by name.
+CURATED_TRAUMA = (
+    "victoria hospital", "sanjay gandhi", "nimhans|national institute of mental health", "bowring", r"\bst\.? ?john'?s", "ramaiah", "manipal hospital|manipal (north ?side|whitefield)",
+    "narayana (health|hrudayalaya|multi|institute)|mazumdar shaw", r"\bfortis\b", "apollo (hospital|speciality|multi)", r"\baster (cmi|rv|whitefield|hospital)", r"\bsakra\b", "gleneagles|bgs global", "^sparsh hospital",
+    "columbia asia", "vydehi", "kempegowda institute", r"\bk\.? ?c\.? general", "jayanagar general",
+)
+CURATED_EMERGENCY = (
+    r"st\.? ?philomena", "baptist hospital", "^mallya hospital", "hosmat", "bhagwan mahaveer jain", r"\besi (model )?hospital|\besic\b", "sagar hospital", "rajarajeswari medical", "sapthagiri (institute|hospital|medical)",
+    r"\bmvj\b", "vikram hospital", "chinmaya mission hospital", "brookefield hospital",
+)
+#: Kinds that a curated name doesn't override.
+NOT_CURATED = ("veterinary", "dental", "eye", "ayush", "diagnostic", "skin", "maternity", "clinic")
+CURATED = (("trauma", "|".join(CURATED_TRAUMA)), ("emergency", "|".join(CURATED_EMERGENCY)))
+#: Zones by the names of their places; the first that is found counts.
 ZONES = (
     ("East", "east|whitefield|kr puram|indiranagar|marathahalli|varthur|kadubeesanahalli|hopefarm|kadugodi|sarjapur|domlur|carmelaram|mahadevapura|bellandur|hsr|koramangala"),
     ("North", "north|hebbal|yelahanka|jakkur|kodigehalli|bellary|tumkur|peenya|mathikere|rt nagar|yeshwanthpur|nagavara|manyata|kamanahalli|banaswadi"),
@@ -57,20 +71,32 @@ def classify_facility(t):
 NONE = ", ".join(f"'{x}'" for x in NO_EMERGENCY)
 
 
+NO_CURE = ", ".join(f"'{x}'" for x in NOT_CURATED)
+
+
 @query(f"""
-    with f as (select *, {sql_first('name', FACILITY, 'hospital')} as facility_type, regexp_matches(name, '(?i){SUB_UNIT}') and not regexp_matches(name, '(?i){EMERGENCY_UNIT}') as part from facilities)
-    select id, facility_type, case when part then 'none' when emergency_tag = 'no' then 'none' when facility_type in ({NONE}) then 'none' when emergency_tag = 'yes' then 'emergency'
+    with k as (select *, {sql_first('name', FACILITY, 'hospital')} as kind, regexp_matches(name, '(?i){SUB_UNIT}') and not regexp_matches(name, '(?i){EMERGENCY_UNIT}') as part from named_facilities),
+    f as (select *, case when kind not in ({NO_CURE}) and not part then {sql_first('name', CURATED)} end as curated from k),
+    g as (select *, case when curated is not null and kind <> 'pediatric' then 'hospital' else kind end as facility_type from f)
+    select id, facility_type, case when part then 'none' when curated is not null then curated when emergency_tag = 'no' then 'none' when facility_type in ({NONE}) then 'none' when emergency_tag = 'yes' then 'emergency'
         when regexp_matches(name, '(?i){EMERGENCY_NAME}') or beds >= 50 then 'emergency' else 'general' end as level,
-        case when part then 'name-rule' when emergency_tag = 'no' then 'osm' when facility_type in ({NONE}) then 'name-rule' when emergency_tag = 'yes' then 'osm' else 'name-rule' end as level_source from f""")
+        case when part then 'name-rule' when curated is not null then 'curated' when emergency_tag = 'no' then 'osm' when facility_type in ({NONE}) then 'name-rule' when emergency_tag = 'yes' then 'osm' else 'name-rule' end as level_source from g""")
 def classify_hospital(t):
-    """Level and where it comes from: a part of a campus, the map's tag, the kind, the name, the beds."""
-    kind, tag, name = c("facility_type"), F.coalesce("emergency_tag", F.lit("")), c("name")
-    f = t.facilities.withColumn("facility_type", first_match(name, FACILITY, "hospital"))
+    return hospital_levels(t.named_facilities).select("id", "facility_type", "level", "level_source")
+
+
+def hospital_levels(rows: DataFrame) -> DataFrame:
+    """``rows`` (name, emergency_tag, beds) with facility_type, level and where the level comes from: a
+    part of a campus, a curated name, the map's tag, the kind, the name, the beds."""
+    kind, tag, name = c("facility_type"), F.coalesce("emergency_tag", F.lit("")), F.coalesce("name", F.lit(""))
     part = name.rlike("(?i)" + SUB_UNIT) & ~name.rlike("(?i)" + EMERGENCY_UNIT)
-    none = kind.isin(*NO_EMERGENCY)
-    level = F.when(part | (tag == "no") | none, "none").when(tag == "yes", "emergency").when(name.rlike("(?i)" + EMERGENCY_NAME) | (c("beds") >= 50), "emergency").otherwise("general")
-    origin = F.when(part, "name-rule").when(tag == "no", "osm").when(none, "name-rule").when(tag == "yes", "osm").otherwise("name-rule")
-    return f.select("id", "facility_type", level.alias("level"), origin.alias("level_source"))
+    f = rows.withColumn("facility_type", first_match(name, FACILITY, "hospital")).withColumn("part", part)
+    f = f.withColumn("curated", F.when(~kind.isin(*NOT_CURATED) & ~c("part"), first_match(name, CURATED)))
+    f = f.withColumn("facility_type", F.when(c("curated").isNotNull() & (kind != "pediatric"), "hospital").otherwise(kind))
+    none, curated = kind.isin(*NO_EMERGENCY), c("curated")
+    level = F.when(c("part"), "none").when(curated.isNotNull(), curated).when((tag == "no") | none, "none").when(tag == "yes", "emergency").when(name.rlike("(?i)" + EMERGENCY_NAME) | (c("beds") >= 50), "emergency").otherwise("general")
+    origin = F.when(c("part"), "name-rule").when(curated.isNotNull(), "curated").when(tag == "no", "osm").when(none, "name-rule").when(tag == "yes", "osm").otherwise("name-rule")
+    return f.withColumn("level", level).withColumn("level_source", origin).drop("part", "curated")
 
 
 def folded_name(name: Column) -> Column:

@@ -196,6 +196,65 @@ def campus_greedy_pick(t):
     return pool.select("p_id", F.posexplode(picks).alias("at", "x")).select(c("p_id").alias("alert_id"), (c("at") + 1).alias("place"), c("x.h_id").alias("hospital_id"), c("x.rank_score").alias("rank_score"))
 
 
+#: Hospitals of a round, rounds, seconds of a round, and the size of the pools.
+ROUND, ROUNDS, ROUND_S, POOL, TRAUMA_POOL, CAMPUS_KM = 3, 3, 90, 15, 2, 0.25
+PICK = "struct<rank_score:double,h_id:bigint,lat:double,lng:double,round_no:int>"
+
+
+def costs(eta: Column) -> Column:
+    cost = F.lit(10)
+    for (priority, level), minutes in PENALTY.items():
+        cost = F.when((c("priority") == priority) & (c("h_emergency_level") == level), minutes).otherwise(cost)
+    return half_up(eta + cost + F.when(c("h_er_status") == "busy", BUSY).otherwise(0), 1)
+
+
+def escalations(alerts: DataFrame, hospitals: DataFrame) -> DataFrame:
+    """(alert_id, round_no, place, hospital_id, rank_score, due_at): whom each open alert would reach if no
+    one accepted. Each round takes the 15 nearest hospitals that were not notified (and two trauma
+    centres for critical alerts), drops diverting ones, and picks the three best, none within 250 m of one
+    picked before; a round with no one left ends it. A fold over at most 21 + 8 hospitals of an alert."""
+    a = alerts.filter("status = 'new'").select(c("id").alias("p_id"), c("lat").alias("p_lat"), c("lng").alias("p_lng"), "priority", "created_at")
+    h = side(hospitals.filter("emergency_level != 'none'"), "h", "id", "lat", "lng", "emergency_level", "er_status")
+    taken = ROUND * (ROUNDS - 1)  # by the last round so many are out
+    pool = nearest_by_cells(a, h, POOL + taken).unionByName(nearest_by_cells(a.filter("priority = 'critical'"), h.filter("h_emergency_level = 'trauma'"), TRAUMA_POOL + taken)).dropDuplicates(["p_id", "h_id"])
+    eta = half_up(c("km") * 1.35 / 24.0 * 60.0, 1)
+    item = F.struct("km", c("h_id").alias("h_id"), costs(eta).alias("rank_score"), c("h_lat").alias("lat"), c("h_lng").alias("lng"), (c("h_emergency_level") == "trauma").alias("trauma"), (F.coalesce("h_er_status", F.lit("")) == "diverting").alias("diverting"))
+    all_of = pool.groupBy("p_id", "priority", "created_at").agg(F.array_sort(F.collect_list(item)).alias("all"))
+    none = F.array().cast(f"array<{PICK}>")
+
+    def add(n: Column, picked: Column, x: Column) -> Column:
+        near = F.exists(picked, lambda y: haversine_km(y["lat"], y["lng"], x["lat"], x["lng"]) < CAMPUS_KM)
+        full = F.size(F.filter(picked, lambda y: y["round_no"] == n)) >= ROUND
+        one = F.struct(x["rank_score"], x["h_id"], x["lat"], x["lng"], n.alias("round_no")).cast(PICK)
+        return F.when(near | full, picked).otherwise(F.array_append(picked, one))
+
+    def one_round(picked: Column, n: Column) -> Column:
+        left = F.filter("all", lambda x: ~F.exists(picked, lambda y: y["h_id"] == x["h_id"]))
+        trauma = F.when(c("priority") == "critical", F.slice(F.filter(left, lambda x: x["trauma"]), 1, TRAUMA_POOL)).otherwise(F.slice(left, 1, 0))
+        pool = F.filter(F.array_distinct(F.concat(F.slice(left, 1, POOL), trauma)), lambda x: ~x["diverting"])
+        best = F.array_sort(F.transform(pool, lambda x: F.struct(x["rank_score"].alias("rank_score"), x["h_id"].alias("h_id"), x["lat"].alias("lat"), x["lng"].alias("lng"))))
+        ended = (n > 1) & ~F.exists(picked, lambda y: y["round_no"] == n - 1)
+        return F.when(ended, picked).otherwise(F.aggregate(best, picked, lambda acc, x: add(n, acc, x)))
+
+    picks = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), none, one_round)
+    rows = all_of.select("p_id", "created_at", F.posexplode(picks).alias("at", "x"))
+    place = F.row_number().over(Window.partitionBy("p_id", "x.round_no").orderBy("at"))
+    due = c("created_at") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (c("x.round_no") * ROUND_S).cast("decimal(18,6)"))
+    return rows.select(c("p_id").alias("alert_id"), c("x.round_no").alias("round_no"), place.alias("place"), c("x.h_id").alias("hospital_id"), c("x.rank_score").alias("rank_score"), due.alias("due_at"))
+
+
+@query()
+def escalation_plan(t):
+    return escalations(t.alerts, t.hospitals)
+
+
+@query()
+def escalation_outcome(t):
+    """Of each open alert that no one accepts: rounds, hospitals, and when and why it is exhausted."""
+    g = escalations(t.alerts, t.hospitals).groupBy("alert_id").agg(F.max("round_no").alias("rounds"), n("notified"), F.max("due_at").alias("exhausted_at"))
+    return g.withColumn("reason", F.when(c("rounds") == ROUNDS, "no hospital accepted in time").otherwise("no emergency-capable hospital left in range"))
+
+
 NEARBY = km("lat", "lng", "12.93e0", "77.51e0")
 
 

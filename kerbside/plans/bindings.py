@@ -87,7 +87,16 @@ BINDINGS = {
             12.85e0 + (c_custkey % 50) * 0.002e0 as lat, 77.45e0 + (c_custkey % 40) * 0.002e0 as lng, case when c_custkey % 3 = 0 then ' 080 1234; 080 9 ' else null end as phone,
             case when c_custkey % 2 = 0 then cast(c_custkey as string) || ' beds' end as beds_raw
         from {customer}""",
+    "named_facilities": """
+        select id, case id % 10 when 0 then 'Victoria Hospital ' || name when 1 then 'St. John''s ' || name when 2 then 'Sagar Hospital ' || name when 3 then 'City 24x7 ' || name when 4 then 'Fortis OPD' else name end as name, beds, emergency_tag from {facilities}""",
     "questions": "select conv_id, turn, text from {conversations} where role = 'user'",
+    "asked": """
+        select seq as id, case seq % 11
+            when 0 then 'How many fatal accidents in ' || area || ' in 202' || cast(seq % 7 as string) || '?' when 1 then 'Compare ' || area || ' and Area ' || cast(seq % 25 as string) || ' after 9 pm'
+            when 2 then 'Where are the worst junctions near ' || area when 3 then 'Most dangerous places in the ' || lower(zone) || ' zone' when 4 then 'List recent serious crashes between 6 and 9 pm at ' || area
+            when 5 then 'Is the number of deaths growing per year?' when 6 then 'What time of day is worst past 5?' when 7 then 'Predict next month for ' || area when 8 then 'minor ones at night, by zone: which are the worst?'
+            when 9 then 'Trend of incidents by month in 2024' else title end as text
+        from {incidents}""",
     "report_text": "select doc_id, text, lang from {documents}",
 }
 
