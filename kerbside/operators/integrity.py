@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import half_up, haversine_km
 from ..functions.letters import KEY_TRIPLES, LETTERS, shares_of_letters
+from ..plans.bindings import spread
 from ..plans.dialect import half_up as sql_half_up
 from ..plans.dialect import km
 from ..plans.registry import query
@@ -226,7 +227,7 @@ def photo_hashes(t) -> DataFrame:
     event = c("event_id").cast("string")
     turned = number(digest(event, F.lit(":turned"))) % 9
     h = F.conv(F.substring(digest(F.floor(c("event_id") / 4).cast("string")), 1, 16), 16, -10).cast("long")
-    rows = t.events.select("event_id", turned.alias("turned"), h.alias("hash"), *[(number(digest(event, F.lit(f":{k}"))) % 64).cast("int").alias(f"p{k}") for k in range(8)])
+    rows = spread(t.events.select("event_id")).select("event_id", turned.alias("turned"), h.alias("hash"), *[(number(digest(event, F.lit(f":{k}"))) % 64).cast("int").alias(f"p{k}") for k in range(8)])
     out = c("hash")
     for k in range(8):
         out = out.bitwiseXOR(F.when(c("turned") > k, F.expr(f"shiftleft(1L, p{k})")).otherwise(F.lit(0).cast("long")))
