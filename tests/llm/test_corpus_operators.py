@@ -274,3 +274,56 @@ def test_pipeline_stages(spark, tmp_path):
 
 def test_queries_are_registered():
     assert [int(q[2:].split("_")[0]) for q in queries.QUERIES] == list(range(1, 11))
+
+
+def test_added_kinds_and_postings_brute(spark):
+    draw = __import__("random").Random(4)
+    kinds = {"private_key": r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", "forge_token": r"gh[pousr]_[A-Za-z0-9]{36,}", "chat_token": r"xox[abprs]-[A-Za-z0-9-]{10,}"}
+    bits = ["-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----", "-----begin private key-----", "ghp_" + "aB3" * 13, "ghx_" + "a" * 40, "gho_" + "z" * 35, "xoxb-" + "1a-" * 5, "xoxz-123456789012", " ", "\U0001f600", "x"]
+    rows = [(i, "".join(draw.choices(bits, k=draw.randint(0, 6)))) for i in range(200)] + [(None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("held", F.lit(1)).withColumn("found", F.lit("x"))
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["found"] if s["kind"] in kinds] for r in secret_scan.scan_secrets(df).collect()}
+    for i, text in rows:
+        want = sorted((m.start(), n, k, m.end()) for n, (k, p) in enumerate(kinds.items()) for m in re.finditer(p, text or ""))
+        assert got[i] == [(k, a, b) for a, _, k, b in want]
+    terms = secret_scan.terms_of(secret_scan.BASE_RULES + secret_scan.MORE_RULES)[1]
+    posted = sorted((r["term"], r["doc_id"]) for r in secret_scan.postings(df).collect())
+    assert posted == sorted((t, i) for i, text in rows if text for t in terms if t in text.lower())
+
+
+def test_rates_against_least_squares():
+    """Rates meet targets that nonnegative rates can meet, and stay near 1 where targets leave them free."""
+    draw = np.random.default_rng(2)
+    p, t = draw.dirichlet(np.ones(3), 400), draw.integers(1, 50, 400).astype(float)
+    a = p.T * t  # domains x rows
+    want = a @ draw.uniform(0.2, 2.0, 400)
+    r = np.ones(400)  # plain projected gradient, to the end
+    for _ in range(20_000):
+        r = np.maximum(0.0, r - (a.T @ ((a @ r - want) / want**2)) / np.linalg.norm(a / want[:, None], 2) ** 2)
+    fit = mixing.RateFit(["a", "b", "c"], a.sum(axis=1), want, 1.0 / (1.0 + mixing.ANCHOR), 0.0, [])
+    for _ in range(60):
+        fit.gaps.append((a @ fit.replay(p)[1] - want) / a.sum(axis=1))
+    assert (fit.rates(p) >= 0).all() and a @ fit.rates(p) == pytest.approx(want, rel=1e-3) and a @ r == pytest.approx(want, rel=1e-3)
+    # replays from a written state go on as replays from the start do
+    state = mixing.RateFit(fit.domains, fit.available, want, fit.step, 0.0, fit.gaps[:25]).replay(p)
+    assert fit.replay(p, 25, state)[0] == pytest.approx(fit.rates(p))
+
+
+def test_ids_that_repeat_keep_their_texts_apart(spark):
+    words = [f"w{i}" for i in range(60)]
+    a, b, c = " ".join(words), " ".join(words[:59] + ["other"]), " ".join(reversed(words))
+    df = spark.createDataFrame([(3, a), (5, b), (5, c), (7, None), (None, a), (9, c + " tail")], "doc_id long, text string").withColumn("gone", F.lit("x")).withColumn("text_key", F.lit(1))
+    kept = near_dup.keep_one_of_each_class(df)
+    assert kept.columns == df.columns
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect() if r["text"]) == sorted([("3", a), ("5", c), ("None", a)]) and kept.filter("text is null").count() == 1
+
+
+def test_buckets_hold_equal_lengths(spark, tmp_path):
+    import public_tokenizers
+
+    from kerbside.llm import packing
+
+    df = spark.createDataFrame([(i, "word " * (37 * i)) for i in range(6)], "doc_id long, text string")
+    packing.write_buckets(packing.pack_documents(df, public_tokenizers.path("word_bpe_49k.json")), f"{tmp_path}/b")
+    rows = spark.read.parquet(f"{tmp_path}/b").select("bucket", "length").distinct().collect()
+    assert rows and all(1 << r["bucket"] == r["length"] for r in rows)
