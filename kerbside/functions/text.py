@@ -20,9 +20,13 @@ def fold_place(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
 
 
+#: Fixed value: an hour and its minutes.
+HOUR = r"(?:^|[T\s])([01]?\d|2[0-3]):[0-5]\d"
+
+
 def hour_of(text: Column) -> Column:
     """Hour 0-23 of the first hh:mm in a text, else null."""
-    hour = F.regexp_extract(text, r"(?:^|[T\s])([01]?\d|2[0-3]):[0-5]\d", 1)
+    hour = F.regexp_extract(text, HOUR, 1)
     return F.nullif(hour, F.lit("")).cast("int")
 
 

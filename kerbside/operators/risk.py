@@ -15,7 +15,10 @@ from ..plans.registry import query
 from .spatial import GRID, SOUTH, WEST, cell, radius_pairs, ring, side
 
 c = F.col
-ROAD = r"highway|\bnh\b|flyover|outer ring|\borr\b|expressway|elevated|bypass|toll|ring road|road 1"
+#: Fixed value: names of major roads.
+MAJOR_ROAD = r"highway|\bnh\b|flyover|outer ring|\borr\b|expressway|elevated|bypass|toll|ring road"
+#: With the roads of the tables given whose numbers begin with 1, since these have no such names.
+ROAD = MAJOR_ROAD + "|road 1"
 #: Fixed value: the ridge penalty on each slope.
 PENALTY = 50.0
 FEATURES = ("log_own", "log_ring1", "log_ring2", "fatal_share", "road_share", "dist")

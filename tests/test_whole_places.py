@@ -64,7 +64,7 @@ def test_duplicate_counts_brute(spark):
     assert dict(map(tuple, duplicate_counts(df).collect())) == {i: n for i, n in want.items() if n}
 
 
-def test_merges_keep_to_the_reference_window(spark):
+def test_merges_keep_to_the_default_window(spark):
     rows = [(1, 12.9, 77.5, "2024-01-01 00:00:00"), (2, 12.901, 77.5, "2024-01-01 00:14:00"), (3, 12.9, 77.5, "2024-01-01 00:15:00"), (4, 12.91, 77.5, "2024-01-01 00:16:00"), (5, 12.9, 77.5, "2024-01-01 00:31:00")]
     df = spark.createDataFrame(rows, "id long, lat double, lng double, at string").selectExpr("id", "lat", "lng", "cast(at as timestamp) created_at", "false is_drill")
     assert sorted(map(tuple, merge_candidates(df).collect())) == [(2, 1), (3, 1)]
