@@ -22,7 +22,7 @@ from .common import small_batches, slices
 
 SEQUENCE = 2048
 #: Parts that a task remembers, and the longest of them. They set the speed, not the ids.
-TASK_CACHE = 150_000
+TASK_CACHE = 400_000
 LONGEST = 64
 #: A run of ASCII marks, but for apostrophes, from a letter or digit to white space or the end.
 MARK = re.compile(r"([!-&(-/:-@\[-`{-~](?<=[^\W_].)[!-&(-/:-@\[-`{-~]*)(?=\s|$)")
