@@ -109,3 +109,59 @@ def array_union_ids(t):
 def union_user_reports(t):
     local = t.incidents.filter("status = 'pending' and reporter_id = 7").select(F.concat(F.lit("local-"), "id").alias("id"), "severity", F.lit("local").alias("origin"))
     return t.active.select("id", "severity", F.lit("feature").alias("origin")).unionByName(local)
+
+
+def append(df: DataFrame, new: DataFrame, status: str) -> DataFrame:
+    """``df`` and the new rows, these with ``status``; columns that they lack are null."""
+    return df.unionByName(new.withColumn("status", F.lit(status)), allowMissingColumns=True).select(*df.columns)
+
+
+@query("""
+    select id, title, description, status from incidents union all
+    select 'report-' || cast(conv_id as varchar) || '-' || cast(turn as varchar), null, nullif(trim(text), ''), 'pending' from questions where nullif(trim(text), '') is not null""")
+def append_reports(t):
+    """Texts that users sent, as reports that wait for a decision; empty ones are refused."""
+    said = F.nullif(F.trim("text"), F.lit(""))
+    new = t.questions.filter(said.isNotNull()).select(F.concat(F.lit("report-"), c("conv_id").cast("string"), F.lit("-"), c("turn").cast("string")).alias("id"), said.alias("description"))
+    return append(t.incidents.select("id", "title", "description", "status"), new, "pending")
+
+
+def updated_rows(df: DataFrame, changes: DataFrame, key: str, column: str) -> DataFrame:
+    """The rows that ``changes`` (key, new value) alters, with the value before; rows whose
+    value stays are not among them."""
+    new = changes.select(key, c(column).alias("__new"))
+    met = df.select(key, c(column).alias(f"old_{column}")).join(new, key)
+    return met.filter(~c(f"old_{column}").eqNullSafe(c("__new"))).withColumnRenamed("__new", column)
+
+
+@query("""
+    with n as (select alert_id as id, arg_max(kind, stage) as status from alert_events group by 1)
+    select a.id, a.status as old_status, n.status from alerts a join n on a.id = n.id where a.status is distinct from n.status""")
+def status_returning(t):
+    """Alerts take the kind of their last event; the changed ones are returned."""
+    last = t.alert_events.groupBy(c("alert_id").alias("id")).agg(F.max_by("kind", "stage").alias("status"))
+    return updated_rows(t.alerts, last, "id", "status")
+
+
+@query("""
+    with m as (select location, quantile_disc(lat, 0.5) as mlat, quantile_disc(lng, 0.5) as mlng from incidents where lat is not null and lng is not null group by location)
+    select i.id, coalesce(i.lat, m.mlat) as lat, coalesce(i.lng, m.mlng) as lng, i.lat is null and m.mlat is not null as filled from incidents i left join m on i.location = m.location""")
+def geometry_backfill(t):
+    """Rows without a point take the median one of their location's other rows; a location
+    without any stays as it is. Sums of one location hold each distinct coordinate once, and are
+    formed before rows move."""
+    rows = t.incidents.select("id", "location", "lat", "lng")
+    known = rows.filter("lat is not null and lng is not null").groupBy("location").agg(*[F.expr(f"percentile_disc(0.5) within group (order by {x}) as m{x}") for x in ("lat", "lng")])
+    both = rows.join(known, "location", "left")
+    return both.select("id", F.coalesce("lat", "mlat").alias("lat"), F.coalesce("lng", "mlng").alias("lng"), (c("lat").isNull() & c("mlat").isNotNull()).alias("filled"))
+
+
+@query("""
+    select 'emergency_level' as field, emergency_level as value, count(*) as n from hospitals group by 2 union all
+    select 'er_status', er_status, count(*) from hospitals group by 2 union all
+    select 'source', source, count(*) from hospitals group by 2""")
+def seed_report(t):
+    """What a run of the seed loaded: rows of each value of each field, in one pass."""
+    fields = ("emergency_level", "er_status", "source")
+    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), c(f).alias("value")) for f in fields]))
+    return t.hospitals.select(pairs.alias("x")).groupBy("x.field", "x.value").agg(F.count(F.lit(1)).alias("n"))
