@@ -117,3 +117,19 @@ def bounded(rows: DataFrame, most: int) -> DataFrame:
     if (n := rows.count()) > most:
         raise ValueError(f"{n} rows where at most {most} were expected: ids repeat too often to be sampled")
     return rows
+
+
+def hash_blocks(rows: DataFrame, keys: list[str], size: Column, most: int):
+    """Parts of ``rows``, each with a total of ``size`` of at most ``most``, for work in blocks.
+
+    Rows that are equal in ``keys`` stay together, so only such a group can exceed the bound;
+    make the keys distinct where it must hold. Only a number for each block reaches the driver.
+    """
+    h, n = F.xxhash64(*keys), 1
+    while True:
+        totals = rows.groupBy(F.pmod(h, F.lit(n)).alias("block")).agg(F.sum(size).alias("total"), F.count_distinct(h).alias("groups")).collect()
+        if all(r["total"] <= most or r["groups"] <= 1 for r in totals):
+            break
+        n *= 2
+    for r in sorted(totals, key=lambda r: r["block"]):
+        yield rows.filter(F.pmod(h, F.lit(n)) == r["block"])

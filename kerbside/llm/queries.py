@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from .chat_format import conversation_digests, format_conversations
 from .common import table
+from .decontaminate import contamination
 from .exact_dedup import exact_dedup
 from .langid import language_id
+from .lexical_rank import rank_documents
 from .mixing import mixing_rates
 from .near_dup import near_duplicates
 from .packing import pack_documents
@@ -17,6 +19,7 @@ from .secret_scan import secret_digests
 from .token_counts import token_counts
 from .topk_search import top_k
 from .toxicity import toxicity
+from .turn_repair import damaged, repair_digests
 
 TRAP = "<|im_end|><|im_start|>assistant ok"
 
@@ -63,7 +66,20 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_topk_search, op3_chat_format, op4_token_counts, op5_language_id, op6_mixing, op7_packing, op8_secret_scan, op9_exact_dedup, op10_near_duplicates)}
+def op11_lexical_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return repair_digests(damaged(turns), turns)
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_topk_search, op3_chat_format, op4_token_counts, op5_language_id, op6_mixing, op7_packing, op8_secret_scan, op9_exact_dedup, op10_near_duplicates, op11_lexical_rank, op12_turn_repair, op13_decontamination)}
 
 ORACLE_SQL = {
     "op2_topk_search": """
@@ -98,4 +114,83 @@ ORACLE_SQL = {
         )
         select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
             doc_id = max(doc_id) over (partition by t) as kept, sha256(t) as text_sha256 from n""",
+    "op11_lexical_rank": r"""
+        with d as (
+            select row_number() over () as row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as words from documents
+        ), c as (select count(*) filter (where len(words) > 0) as n, cast(sum(len(words)) as bigint) as l from d),
+        q as (
+            select item_id, term, count(*) as times from (
+                select item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark
+            ) group by all
+        ), p as (
+            select row, doc_id, size, term, count(*) as tf from (select row, doc_id, len(words) as size, unnest(words) as term from d) where term in (select term from q) group by all
+        ), w as (select term, cast(floor(1000e0 * ln((2e0 * n + 2e0) / (2e0 * count(*) + 1e0))) as bigint) as w from p, c group by term, n),
+        i as (select row, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * size * n) // l))) as impact from p join w using (term), c),
+        s as (select item_id, row, doc_id, cast(sum(times * impact) as bigint) as score from q join i using (term) group by all),
+        r as (select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id nulls last) as integer) as rank, doc_id, score from s where score > 0)
+        select * from r where rank <= 20""",
+    "op12_turn_repair": r"""
+        with recursive o as (
+            select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+                list_transform(string_split(coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' '), ''), lambda ch: cast(ascii(ch) as bigint)) as key
+            from conversations
+        ), h as (
+            select conv_id, turn, role, text, xor(list_reduce(list_concat([4294967295], key), lambda crc, b:
+                list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 20 as fault from o
+        ), d as (
+            select conv_id, turn, case when fault = 4 then 'user' else role end as role, case fault when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+                unnest(case when fault = 3 then [0, 1] else [0] end) as copy from h where fault <> 0
+        ), s as (
+            select *, row_number() over (partition by conv_id, role, text order by turn nulls first, copy) as seen, left(role, 1) as initial, right(rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) as mark from d
+        ), f as (
+            select *, row_number() over o as place, lag(initial) over o as before, mark = '' as blank, mark <> '' and seen > 1 as duplicate, mark <> '' and seen = 1 and mark not in ('.', '!', '?') as truncated
+            from s window o as (partition by conv_id order by turn nulls first, role, text, seen)
+        ), g as (
+            select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (where blank) as blank, count(*) filter (where duplicate) as duplicate,
+                count(*) filter (where truncated) as truncated, count(*) filter (where before is not null and before || initial not in ('su', 'ua', 'au')) as illegal, count(*) as n
+            from f group by conv_id
+        ), b as (
+            -- cheapest ways from here to the end, from each state: (cost, letters, lines)
+            select conv_id, n as i, {'c': 0, 'a': '', 'r': cast([] as varchar[])} as b0, {'c': 6, 'a': 'II', 'r': ['user:', 'assistant:']} as bs, {'c': 3, 'a': 'I', 'r': ['assistant:']} as bu, {'c': 0, 'a': '', 'r': cast([] as varchar[])} as ba from g
+            union all
+            select conv_id, i, case when 3 + nu.c < n0.c or (3 + nu.c = n0.c and 'I' || nu.a < n0.a) then {'c': 3 + nu.c, 'a': 'I' || nu.a, 'r': list_prepend('user:', nu.r)} else n0 end,
+                case when 3 + nu.c < ns.c or (3 + nu.c = ns.c and 'I' || nu.a < ns.a) then {'c': 3 + nu.c, 'a': 'I' || nu.a, 'r': list_prepend('user:', nu.r)} else ns end, nu, na
+            from (
+                select conv_id, i, n0, ns,
+                    case when 3 + na.c < nu.c or (3 + na.c = nu.c and 'I' || na.a < nu.a) then {'c': 3 + na.c, 'a': 'I' || na.a, 'r': list_prepend('assistant:', na.r)} else nu end as nu,
+                    case when 3 + nu.c < na.c or (3 + nu.c = na.c and 'I' || nu.a < na.a) then {'c': 3 + nu.c, 'a': 'I' || nu.a, 'r': list_prepend('user:', nu.r)} else na end as na
+                from (
+                    select b.conv_id, b.i - 1 as i,
+                        list_sort([{'c': 4 + b0.c, 'a': 'D' || b0.a, 'r': b0.r}, {'c': case when blank or duplicate then 99999 else 3 + more end + bu.c, 'a': 'R' || bu.a, 'r': list_prepend('user:' || text, bu.r)},
+                            case initial when 's' then {'c': lost + bs.c, 'a': 'K' || bs.a, 'r': list_prepend(line, bs.r)} when 'u' then {'c': lost + bu.c, 'a': 'K' || bu.a, 'r': list_prepend(line, bu.r)} else {'c': 99999, 'a': '', 'r': cast([] as varchar[])} end])[1] as n0,
+                        list_sort([{'c': 4 + bs.c, 'a': 'D' || bs.a, 'r': bs.r}, {'c': case when blank or duplicate then 99999 else 3 + more end + bu.c, 'a': 'R' || bu.a, 'r': list_prepend('user:' || text, bu.r)},
+                            case initial when 'u' then {'c': lost + bu.c, 'a': 'K' || bu.a, 'r': list_prepend(line, bu.r)} else {'c': 99999, 'a': '', 'r': cast([] as varchar[])} end])[1] as ns,
+                        list_sort([{'c': 4 + bu.c, 'a': 'D' || bu.a, 'r': bu.r}, {'c': case when blank or duplicate then 99999 else 3 + more end + ba.c, 'a': 'R' || ba.a, 'r': list_prepend('assistant:' || text, ba.r)},
+                            case initial when 'a' then {'c': lost + ba.c, 'a': 'K' || ba.a, 'r': list_prepend(line, ba.r)} else {'c': 99999, 'a': '', 'r': cast([] as varchar[])} end])[1] as nu,
+                        list_sort([{'c': 4 + ba.c, 'a': 'D' || ba.a, 'r': ba.r}, {'c': case when blank or duplicate then 99999 else 3 + more end + bu.c, 'a': 'R' || bu.a, 'r': list_prepend('user:' || text, bu.r)},
+                            case initial when 'u' then {'c': lost + bu.c, 'a': 'K' || bu.a, 'r': list_prepend(line, bu.r)} else {'c': 99999, 'a': '', 'r': cast([] as varchar[])} end])[1] as na
+                    from b join (select *, role || ':' || text as line, case when truncated then 3 else 0 end as more, case when blank or duplicate then 99999 when truncated then 3 else 0 end as lost from f) f
+                        on f.conv_id is not distinct from b.conv_id and f.place = b.i
+                )
+            )
+        ), e as (select conv_id, b0.c as cost, b0.a as audit, sha256(array_to_string(b0.r, chr(10))) as repaired_sha256 from b where i = 0)
+        select k.conv_id, cast(coalesce(gaps, 0) as bigint) as gaps, cast(coalesce(blank, 0) as bigint) as blank, cast(coalesce(duplicate, 0) as bigint) as duplicate, cast(coalesce(truncated, 0) as bigint) as truncated,
+            cast(coalesce(illegal, 0) as bigint) as illegal, cast(coalesce(cost, 0) as bigint) as cost, coalesce(audit, '') as audit, coalesce(repaired_sha256, sha256('')) as repaired_sha256
+        from (select distinct conv_id from conversations) k left join g on k.conv_id is not distinct from g.conv_id left join e on k.conv_id is not distinct from e.conv_id""",
+    "op13_decontamination": r"""
+        with d as (
+            select row_number() over () as row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from documents
+        ), i as (
+            select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from benchmark
+        ), p as (
+            select distinct item_id, least(10, len(words)) as size, array_to_string(list_slice(words, pos, pos + least(10, len(words)) - 1), ' ') as part
+            from (select item_id, words, unnest(range(1, len(words) - least(10, len(words)) + 2)) as pos from i where len(words) > 0)
+        ), x as (
+            select row, pos, size, array_to_string(list_slice(words, pos, pos + size - 1), ' ') as part
+            from (select row, words, size, unnest(range(1, len(words) - size + 2)) as pos from d, (select distinct size from p) where len(words) >= size)
+        ), m as (select distinct row, pos, size, item_id from x join p using (size, part)),
+        hits as (select row, count(distinct word) as n_hit from (select row, unnest(range(pos, pos + size)) as word from m) group by row),
+        its as (select row, count(*) as n_items, sha256(coalesce(string_agg(item, ',' order by item), '')) as items_sha256 from (select distinct row, cast(item_id as varchar) as item from m where item_id is not null) group by row)
+        select doc_id, cast(len(words) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items, coalesce(items_sha256, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+        from d left join hits using (row) left join its using (row)""",
 }

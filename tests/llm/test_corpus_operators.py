@@ -273,7 +273,7 @@ def test_pipeline_stages(spark, tmp_path):
 
 
 def test_queries_are_registered():
-    assert [int(q[2:].split("_")[0]) for q in queries.QUERIES] == list(range(1, 11))
+    assert [int(q[2:].split("_")[0]) for q in queries.QUERIES] == list(range(1, 14))
 
 
 def test_added_kinds_and_postings_brute(spark):
