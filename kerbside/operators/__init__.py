@@ -1,3 +1,3 @@
 """Operators over the road-safety relations; importing this package registers its queries."""
 
-from . import arguments, facilities, filters, integrity, loading, questions, response, risk, snapshots, spatial, statistics  # noqa: F401
+from . import arguments, facilities, filters, integrity, loading, merging, questions, response, risk, snapshots, spatial, statistics  # noqa: F401

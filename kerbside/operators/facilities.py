@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -183,26 +182,3 @@ def parse_latlng(t):
 @query("select event_id, json_extract_string(props, '$.k') as k from events")
 def json_props(t):
     return t.events.select("event_id", F.get_json_object("props", "$.k").alias("k"))
-
-
-@query()
-def dedupe_hospitals(t):
-    """Rows of one folded name within 250 m of each other become the most complete one: within
-    a name the choice depends on order, so each name and cell of neighbours is a small group."""
-    f = t.facilities.withColumn("folded", F.regexp_replace(folded_name(c("name")), "[0-9]+", ""))
-    # names repeat at most as often as places do; a coarse cell keeps groups small at any size
-    f = f.withColumn("i", F.floor(c("lat") / 0.05)).withColumn("j", F.floor(c("lng") / 0.05))
-
-    def cluster(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["completeness", "id"], ascending=[False, True])
-        kept: list[tuple] = []
-        out = []
-        for r in rows.itertuples():
-            near = next((k for k in kept if ((k[1] - r.lat) * 111_000) ** 2 + ((k[2] - r.lng) * 108_000) ** 2 < 250**2), None)
-            if near is None:
-                kept.append((r.id, r.lat, r.lng))
-            out.append((r.id, r.id if near is None else near[0]))
-        return pd.DataFrame(out, columns=["id", "kept_id"])
-
-    score = F.when(c("phone").isNotNull(), 2).otherwise(0) + F.when(c("beds") > 0, 1).otherwise(0)
-    return f.select("id", "lat", "lng", "folded", "i", "j", score.alias("completeness")).groupBy("folded", "i", "j").applyInPandas(cluster, "id long, kept_id long")

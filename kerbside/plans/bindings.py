@@ -66,6 +66,22 @@ BINDINGS = {
             case when o_orderkey % 29 = 0 then 'yes' else 'no' end as fire,
             case o_custkey % 4 when 0 then 'fatal' when 1 then 'serious' when 2 then 'minor' end as reported_severity
         from {orders}""",
+    "sos": """
+        select event_id as id, user_id % 25 as place, timestamp '2024-01-01 00:00:00' + interval '1' second * (event_id * 13 + event_id * 7 % 11) as created_at,
+            12.85e0 + (user_id % 25) * 0.01e0 + (event_id % 7) * 0.0005e0 as lat, 77.45e0 + (user_id * 7 % 25) * 0.01e0 + (event_id % 11) * 0.0005e0 as lng, event_id % 9 = 0 as is_drill,
+            case event_id % 8 when 0 then '0' when 1 then '1' when 2 then '2' when 3 then '3+' else 'unknown' end as injured, case event_id % 17 when 0 then 'no' when 1 then 'yes' when 2 then 'yes' else 'unknown' end as conscious,
+            case event_id % 19 when 0 then 'no' when 3 then 'yes' else 'unknown' end as breathing, case event_id % 21 when 0 then 'yes' when 5 then 'no' else 'unknown' end as bleeding, case when event_id % 23 = 0 then 'yes' else 'unknown' end as trapped,
+            case event_id % 29 when 0 then 'yes' when 1 then 'no' else 'unknown' end as fire, case event_type when 'error' then 'fatal' when 'purchase' then 'serious' when 'view' then 'minor' end as reported_severity,
+            case event_id % 5 when 0 then 'car,auto' when 1 then 'two_wheeler' when 2 then 'bus_truck,pedestrian' when 3 then 'cycle,tank,other' else '' end as vehicles, event_id % 6 = 0 as called_108,
+            case when event_id % 3 = 0 then null else event_type || ' at factor ' || regexp_extract(props, '[0-9]+', 0) end as note
+        from {events}""",
+    "campuses": """
+        select c_custkey as id, 'Sri ' || c_mktsegment || case cast(floor(c_custkey / 3e0) as bigint) % 4 when 0 then ' Hospitals' when 1 then ' Hospital Pvt Ltd' when 2 then ' Health City' else ' Clinic' end as name,
+            case when c_custkey % 3 = 0 then '080-' || cast(c_custkey as string) end as phone, case when c_custkey % 4 = 1 then 'Street ' || cast(c_custkey as string) end as address, case c_custkey % 5 when 0 then 'way' when 1 then 'relation' else 'node' end as osm_type,
+            case when c_custkey % 7 = 0 then 10 + c_custkey % 90 end as beds, case c_custkey % 6 when 0 then 'private' when 1 then 'government' end as operator_type, case c_custkey % 9 when 0 then 'yes' when 1 then 'no' end as emergency_tag,
+            case c_custkey % 4 when 0 then 'trauma' when 1 then 'general' when 2 then 'none' else 'emergency' end as emergency_level, case c_custkey % 4 when 0 then 'curated' when 1 then 'osm' else 'name-rule' end as level_source,
+            12.85e0 + (c_custkey * 37 % 97) * 0.0009e0 as lat, 77.45e0 + (c_custkey * 53 % 89) * 0.0009e0 as lng
+        from {customer}""",
     "alert_targets": """
         select l_orderkey as alert_id, l_suppkey as hospital_id, cast(1 + floor((min(l_linenumber) - 1) / 3e0) as int) as round_no, min(l_quantity) as eta_min,
             case when max(case when l_returnflag = 'A' then 1 else 0 end) = 1 then 'accepted' when max(case when l_returnflag = 'R' then 1 else 0 end) = 1 then 'declined' else 'missed' end as response
@@ -149,6 +165,7 @@ def with_bindings(sql: str) -> str:
             add(name)
     body = sql.strip()
     parts = [f"{n} as ({re.sub(r'[{}]', '', BINDINGS[n])})" for n in needed]
-    if body.lower().startswith("with "):
-        return "with " + ", ".join([*parts, body[5:]]) if parts else body
+    for word in ("with recursive ", "with "):
+        if body.lower().startswith(word):
+            return word + ", ".join([*parts, body[len(word) :]]) if parts else body
     return ("with " + ", ".join(parts) + " " if parts else "") + body
