@@ -30,8 +30,9 @@ def escape_role(role: Column) -> Column:
 
 
 def unescape_role(role: Column) -> Column:
-    marked = F.replace(unescape_text(role), F.lit("\\\\"), F.lit("\x00\x01"))
-    return F.replace(F.replace(marked, F.lit("\\n"), F.lit("\n")), F.lit("\x00\x01"), F.lit("\\"))
+    """Doubled backslashes are read first, from the left; what stands between them has line breaks."""
+    between = F.split(unescape_text(role), r"\\\\", -1)
+    return F.array_join(F.transform(between, lambda x: F.replace(x, F.lit("\\n"), F.lit("\n"))), "\\")
 
 
 def render(turns: Column, escaped) -> Column:
@@ -88,7 +89,7 @@ def format_conversations(turns: DataFrame) -> DataFrame:
 
     Output: conv_id, formatted, level (0 raw, 1 conflicting texts escaped, 2 all texts
     escaped), turns (as read back) and loss_spans (start and end of the assistant's raw texts
-    in ``formatted``). Null texts and roles count as empty; null turns come first; equal turns
+    in ``formatted``). What is read back equals the source at every level, else the query fails. Null texts and roles count as empty; null turns come first; equal turns
     go by role and text and repeated rows stay; a null conv_id is a conversation of its own;
     an empty table gives an empty one; extra columns are not looked at. A conversation is one
     string, so its rows meet in one task.
@@ -104,17 +105,18 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     never, always = (lambda t: F.lit(False)), (lambda t: F.lit(True))
     tried = grouped.withColumn("raw0", render(F.col("source"), never)).withColumn("raw1", render(F.col("source"), lambda t: t["conflict"]))
     same = lambda rendered: F.coalesce(pairs(parse(rendered)) == pairs(F.col("source")), F.lit(False))
-    level = F.when(same(F.col("raw0")), 0).when(same(F.col("raw1")), 1).otherwise(2)
-    chosen = tried.withColumn("level", level).withColumn(
-        "formatted", F.when(F.col("level") == 0, F.col("raw0")).when(F.col("level") == 1, F.col("raw1")).otherwise(render(F.col("source"), always))
-    )
+    all_escaped = render(F.col("source"), always)
+    lost = F.raise_error(F.lit("a conversation does not come back from its formatted text")).cast("int")
+    level = F.when(same(F.col("raw0")), 0).when(same(F.col("raw1")), 1).when(same(all_escaped), 2).otherwise(lost)
+    chosen = tried.withColumn("level", level).withColumn("formatted", F.when(F.col("level") == 0, F.col("raw0")).when(F.col("level") == 1, F.col("raw1")).otherwise(all_escaped))
     read = chosen.select("conv_id", "formatted", "level", parse(F.col("formatted")).alias("turns"))
     spans = F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: F.struct(t["start"].alias("start"), (t["start"] + F.length(t["raw"])).alias("end")))
     return read.withColumn("loss_spans", spans)
 
 
 def conversation_digests(formatted: DataFrame) -> DataFrame:
-    """Digests of what is read back from ``formatted``: turns, and text under the loss mask."""
+    """Digests of what is read back from ``formatted``: turns, and text under the loss mask. One row for
+    each row of ``format_conversations``, whose docstring says what nulls, repeats and empty tables give."""
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join(F.transform("loss_spans", lambda s: unescape_text(F.substring(F.col("formatted"), s["start"] + 1, s["end"] - s["start"]))), "")
     return (

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..plans.bindings import spread
 
@@ -97,19 +98,29 @@ def unit_hash(*columns: str) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-def class_sample(rows: DataFrame, label: str, per_class: int, *keys: str) -> tuple[DataFrame, dict]:
+def class_sample(rows: DataFrame, label: str, per_class: int, *keys: str, repeats: bool = False, classes: int = 200) -> tuple[DataFrame, dict]:
     """About ``per_class`` rows of each label, chosen by a hash of ``keys``.
 
-    Returns the sample and the fraction kept of each label. The number of labels must be
-    small (a classifier's classes). Keys should be distinct: then no more than twice as many
-    rows are chosen, by the law of large numbers; ``bounded`` makes sure of it.
+    Returns the sample, of which rows that are equal in label and keys are one, and the fraction
+    kept of each label. Only the ``classes`` most frequent labels are learnt from, so that a
+    column of any values stays a bounded list. With ``repeats`` rows are counted once for each of
+    their keys (about, by a sketch); without, keys must be distinct. Then no more than twice as
+    many rows are chosen, by the law of large numbers; ``bounded`` makes sure of it.
     """
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
-    kept = {k: min(1.0, per_class / n) for k, n in counts.items() if k is not None}
-    rate = F.lit(0.0)
-    for value, fraction in kept.items():
-        rate = F.when(F.col(label) == F.lit(value), F.lit(fraction)).otherwise(rate)
-    return rows.filter(unit_hash(*keys) < rate), kept
+    size = F.approx_count_distinct(F.xxhash64(*keys), 0.02) if repeats else F.count(F.lit(1))
+    counts = rows.filter(F.col(label).isNotNull()).groupBy(label).agg(size.alias("n")).orderBy(F.desc("n"), label).limit(classes).collect()
+    kept = {r[0]: min(1.0, per_class / max(r[1], 1)) for r in counts}
+    value, rate = fresh(rows, "sampled_label", "sampled_rate")
+    rates = rows.sparkSession.createDataFrame(list(kept.items()), StructType([StructField(value, rows.schema[label].dataType), StructField(rate, DoubleType())]))
+    chosen = rows.join(F.broadcast(rates), F.col(label) == F.col(value)).filter(unit_hash(*keys) < F.col(rate)).drop(value, rate)
+    return chosen.dropDuplicates([label, *keys]), kept
+
+
+def one_text_each(docs: DataFrame, sample: DataFrame, label: str) -> DataFrame:
+    """(label_id, label, text): one text for each id of a bounded ``sample`` of ids, however many rows of
+    ``docs`` have the id: that of the smallest hash. Null texts don't count."""
+    rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(sample), F.col("doc_id") == F.col("label_id"))
+    return rows.groupBy("label_id", label).agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
 
 def bounded(rows: DataFrame, most: int) -> DataFrame:

@@ -9,7 +9,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,14 +44,15 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
 
     def count(batches):
         df, docs = np.zeros(DIM, np.int64), 0
-        for batch in batches:
-            for text in batch["text"]:
-                df += ngram_counts(text) > 0
-                docs += 1
+        for whole in batches:
+            for batch in slices(whole):
+                for text in batch.column("text").to_pylist():
+                    df += ngram_counts(text) > 0
+                    docs += 1
         at = np.flatnonzero(df)
-        yield pd.DataFrame({"slot": np.append(at, -1), "n": np.append(df[at], docs)})
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], docs))], ["slot", "n"])
 
-    sums = rows.select("text").mapInPandas(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    sums = rows.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     out, docs = np.zeros(DIM, np.int64), 0
     for slot, n in sums.collect():  # at most DIM + 1 rows
         if slot < 0:
@@ -64,17 +64,24 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
 
 def fit_language_model(rows: DataFrame, per_class: int = 1500, epochs: int = 3) -> LanguageModel:
     """Learn from (doc_id, text, lang). Document frequencies cover all rows; the weights are
-    fitted on a bounded sample of about ``per_class`` rows of each language."""
+    fitted on a bounded sample of about ``per_class`` rows of each language, of which equal rows are
+    one; of very many languages the most frequent ones are learnt (``class_sample``). Null texts and
+    languages are not learnt from; without rows the model knows no language."""
     small_batches(rows.sparkSession)
     rows = rows.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    sample, _ = class_sample(rows, "lang", per_class, "doc_id", "text")
+    sample, kept = class_sample(rows.select("doc_id", "text", "lang"), "lang", per_class, "doc_id", "text", repeats=True)
+    most = 4 * per_class * max(1, len(kept))
 
     def featurise(batches):
-        for batch in batches:
-            pairs = [sparse(ngram_counts(t)) for t in batch["text"]]
-            yield pd.DataFrame({"lang": batch["lang"], "at": [p[0].tobytes() for p in pairs], "tf": [p[1].tobytes() for p in pairs]})
+        for whole in batches:
+            for batch in slices(whole):
+                pairs = [sparse(ngram_counts(t)) for t in batch.column("text").to_pylist()]
+                vectors = (pa.array([p[k].tobytes() for p in pairs], pa.binary()) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([batch.column("lang"), *vectors], ["lang", "at", "tf"])
 
-    found = sample.select("text", "lang").mapInPandas(featurise, "lang string, at binary, tf binary").collect()
+    found = sample.select("text", "lang").mapInArrow(featurise, "lang string, at binary, tf binary").limit(most + 1).collect()
+    if len(found) > most:
+        raise RuntimeError(f"more than {most} rows were drawn")  # the hash would have to fail
     if not found:
         return LanguageModel([], np.ones(DIM, np.float32), np.zeros((DIM, 1), np.float32), np.zeros(1, np.float32), 1.0)
     df, docs = document_frequencies(rows)

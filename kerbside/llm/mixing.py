@@ -12,14 +12,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from .char_features import DIM, ngram_counts, sparse
-from .common import bounded, checkpoint, class_sample, fresh, small_batches, slices, unit_hash
+from .common import bounded, checkpoint, class_sample, fresh, one_text_each, small_batches, slices, unit_hash
 from .softmax_ftrl import SoftmaxFTRL, softmax
 
 ANCHOR = 1e-4
@@ -45,7 +44,7 @@ class DomainModel:
 def fit_domains(docs: DataFrame, labels: DataFrame, per_class: int = 500, epochs: int = 3) -> DomainModel:
     """Learn from about ``per_class`` labelled rows of each domain (language and quality); the
     bias restores the domains' shares. The sample is drawn without texts, and its ids, which
-    are bounded, are broadcast to them. An id labelled twice has its larger quality and
+    are bounded, are broadcast to them; an id on many rows gives one text. An id labelled twice has its larger quality and
     language; null texts, languages and qualities are not learnt from; without labelled rows all
     is one domain."""
     small_batches(docs.sparkSession)
@@ -53,17 +52,16 @@ def fit_domains(docs: DataFrame, labels: DataFrame, per_class: int = 500, epochs
     known = docs.select("doc_id", "lang").filter(F.col("lang").isNotNull()).join(marks, F.col("doc_id") == F.col("label_id"))
     known = known.select("label_id", F.concat_ws("/", "lang", F.concat(F.lit("q"), F.col("quality"))).alias("domain")).groupBy("label_id").agg(F.max("domain").alias("domain"))
     chosen, kept = class_sample(known, "domain", per_class, "label_id")
-    most = 4 * per_class * max(1, len(kept))
-    sample = docs.select("doc_id", "text").join(F.broadcast(bounded(chosen, most)), F.col("doc_id") == F.col("label_id")).filter(F.col("text").isNotNull())
+    sample = one_text_each(docs, bounded(chosen, 4 * per_class * max(1, len(kept))), "domain")
 
     def featurise(batches):
-        for batch in batches:
-            pairs = [sparse(ngram_counts(t, letters_only=False)) for t in batch["text"]]
-            yield pd.DataFrame({"domain": batch["domain"], "at": [p[0].tobytes() for p in pairs], "tf": [p[1].tobytes() for p in pairs]})
+        for whole in batches:
+            for batch in slices(whole):
+                pairs = [sparse(ngram_counts(t, letters_only=False)) for t in batch.column("text").to_pylist()]
+                vectors = (pa.array([p[k].tobytes() for p in pairs], pa.binary()) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([batch.column("domain"), *vectors], ["domain", "at", "tf"])
 
-    found = sample.select("text", "domain").mapInPandas(featurise, "domain string, at binary, tf binary").limit(most + 1).collect()
-    if len(found) > most:
-        raise ValueError(f"more than {most} texts have the sampled ids: ids repeat too often to be sampled")
+    found = sample.select("text", "domain").mapInArrow(featurise, "domain string, at binary, tf binary").collect()  # no more rows than the sample
     if not found:
         return DomainModel(["all"], np.zeros((DIM, 1), np.float32), np.zeros(1, np.float32))
     domains = sorted({r["domain"] for r in found})

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
-from .common import bounded, class_sample, fresh, held_out, small_batches, slices
+from .common import bounded, checkpoint, class_sample, fresh, held_out, one_text_each, small_batches, slices, unit_hash
 
 WORD = re.compile(r"\w+")
 BITS = 20
@@ -334,21 +334,25 @@ def fit_link(features: np.ndarray, labels: np.ndarray, weight: np.ndarray, round
     return tuple(map(float, b))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0, per_class: int = 2000, longest: int = 20_000) -> TaggerModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0, per_class: int = 2000, most_chars: int = 16_000_000) -> TaggerModel:
     """Learn from the labelled rows outside the held-out fold, on a bounded sample of about
-    ``per_class`` rows of each label with at most ``longest`` characters; the link is fitted with
-    weights that restore the labels' true shares. The sample is drawn from the labels alone and
-    its ids, which are bounded, are broadcast to the texts. Null labels and texts are not learnt
-    from; of an id labelled twice the toxic label counts; without both labels the model finds
-    nothing. Ids that repeat so often that the sample outgrows its bound are an error."""
+    ``per_class`` rows of each label; the link is fitted with weights that restore the labels' true
+    shares. The sample is drawn from the labels alone and its ids, which are bounded, are
+    broadcast to the texts; an id on many rows gives one text. Texts are taken in the order of a
+    hash of their ids while all together have at most ``most_chars`` characters, so that no length is
+    favoured; one that doesn't fit is left out. Null labels and texts are not learnt from; of an
+    id labelled twice the toxic label counts; without both labels the model finds nothing."""
     small_batches(docs.sparkSession)
     marks = labels.filter(F.col("toxic").isin(0, 1) & ~held_out(modulus, remainder)).groupBy(F.col("doc_id").alias("label_id")).agg(F.max("toxic").alias("label"))
     sample, kept = class_sample(marks, "label", per_class, "label_id")
-    most = 4 * per_class
-    texts = docs.select("doc_id", "text").filter(F.length("text") <= longest).join(F.broadcast(bounded(sample, most)), F.col("doc_id") == F.col("label_id"))
-    found = sorted((r["label"], r["text"]) for r in texts.select("label", "text").limit(most + 1).collect())
-    if len(found) > most:
-        raise ValueError(f"more than {most} texts have the sampled ids: ids repeat too often to be sampled")
+    texts = checkpoint(one_text_each(docs, bounded(sample, 4 * per_class), "label"))
+    room, ids = most_chars, []
+    for r in texts.select("label_id", F.length("text").alias("n")).orderBy(unit_hash("label_id"), "label_id").collect():  # no more rows than the sample
+        if r["n"] <= room:
+            room -= r["n"]
+            ids.append((r["label_id"],))
+    chosen = docs.sparkSession.createDataFrame(ids, "chosen long")
+    found = sorted((r["label"], r["text"]) for r in texts.join(F.broadcast(chosen), F.col("label_id") == F.col("chosen")).select("label", "text").collect())
     toxic, clean = [t for y, t in found if y == 1], [t for y, t in found if y == 0]
     if not toxic or not clean:
         return TaggerModel(np.zeros(1 << BITS, np.float32), -3.0, np.array([-3.0, 0.0, 0.0]), -8.0)
