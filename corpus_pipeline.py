@@ -57,11 +57,21 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what each returns is written as Parquet, in the folder that the
-    session shares, and read again. An empty table goes through all stages as such."""
+    session shares, and read again. What a stage has read goes once its own rows are written; the last
+    stage's rows stay for the caller. An empty table goes through all stages as such."""
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for n, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{n}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:
+            remove(spark, before)
+        before = path
     return docs
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store, through Spark's own access to it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
