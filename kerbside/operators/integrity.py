@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.geo import half_up, haversine_km
 from ..functions.letters import KEY_TRIPLES, LETTERS, shares_of_letters
@@ -175,12 +181,76 @@ def cosine_topk(t):
     return best.select(c("a_id").alias("query_id"), c("b_id").alias("vec_id"), (half_up(c("s"), 4) + F.lit(0.0)).alias("similarity"))
 
 
-PLACED = """p as (select e.vec_id, e.embedding, i.lat, i.lng, i.accident_date from embeddings e join active i on i.seq = e.vec_id)"""
+#: Slots of a hashed vector, its alphabet, and the weights of words and of character triples.
+SLOTS, OTHER, WORD_WEIGHT, TRIPLE_WEIGHT = 1024, "[^a-z0-9\u0c80-\u0cff\u0900-\u097f ]+", 1.0, 0.5
+#: From which likeness texts of hashed vectors are reused.
+REUSED = 0.9
+#: Tokens whose slots a task remembers; it sets the speed only.
+CACHED_TOKENS = 200_000
+
+
+def folded_text(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), OTHER, " "), " +", " "))
+
+
+class TokenSlots(dict):
+    """Token to its slot and sign: the digest's first four bytes as a little-endian number, and the
+    lowest bit of the fifth."""
+
+    def __missing__(self, token: str) -> tuple[int, int]:
+        if len(self) >= CACHED_TOKENS:
+            self.clear()
+        h = hashlib.md5(token.encode("utf-8", "surrogatepass")).digest()
+        self[token] = found = int.from_bytes(h[:4], "little") % SLOTS, 1 if h[4] & 1 else -1
+        return found
+
+
+def text_vectors(df: DataFrame, key: str) -> DataFrame:
+    """(id, v): the hashed vector of each whole text, SLOTS signed counts of words of three letters or
+    more and of character triples. Nothing is shuffled: a text becomes its vector where it is
+    read. Null and empty texts have only zeros."""
+
+    def hashed(batches):
+        slots = TokenSlots()
+        for batch in batches:
+            texts, out = batch.column("s"), []
+            for at in range(0, batch.num_rows, 256):
+                part = texts.slice(at, 256).to_pylist()
+                v = np.zeros((len(part), SLOTS), np.float32)
+                for n, s in enumerate(part):
+                    padded = f" {s} "
+                    for w, times in Counter(s.split(" ")).items():
+                        if len(w) > 2:
+                            slot, sign = slots["w:" + w]
+                            v[n, slot] += sign * times * WORD_WEIGHT
+                    for x, times in Counter(map("".join, zip(padded, padded[1:], padded[2:]))).items():
+                        slot, sign = slots["c:" + x]
+                        v[n, slot] += sign * times * TRIPLE_WEIGHT
+                out.append(pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, SLOTS), pa.int32()), pa.array(v.ravel())))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.chunked_array(out).combine_chunks() if out else pa.array([], pa.list_(pa.float32()))], ["id", "v"])
+
+    return df.select(c(key).cast("long").alias("id"), folded_text(c("text")).alias("s")).mapInArrow(hashed, "id long, v array<float>")
+
+
+def token_sql(table: str, key: str) -> str:
+    """Slots and weights of all texts of a table, tokens being counted and hashed once each."""
+    return f"""
+    ts as (select {key} as id, ' ' || trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '{OTHER}', ' ', 'g'), ' +', ' ', 'g')) || ' ' as s from {table}),
+    tk as (select id, token, sum(each) as each from (select id, 'w:' || w as token, 1e0 as each from (select id, unnest(string_split(trim(s), ' ')) as w from ts) where length(w) > 2
+        union all select id, 'c:' || x, 0.5e0 from (select id, unnest(list_transform(range(1, length(s) - 1), lambda i: substr(s, i, 3))) as x from ts)) group by 1, 2),
+    th as (select token, md5(token) as h from (select distinct token from tk)),
+    tw as (select id, ('0x' || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2))::bigint % 1024 as slot, sum(case when ('0x' || substr(h, 10, 1))::bigint % 2 = 1 then each else -each end) as weight from tk join th using (token) group by 1, 2 having weight <> 0)"""
+
+
+VECTORS = f"""{token_sql('documents', 'doc_id')},
+    nm as (select id, sqrt(sum(weight * weight)) as norm from tw group by 1),
+    cs as (select a.id as a_id, b.id as b_id, round(sum(a.weight * b.weight) / (any_value(na.norm) * any_value(nb.norm)), 12) as s from tw a join tw b on a.slot = b.slot and a.id % 50 = 0 and a.id <> b.id join nm na on na.id = a.id join nm nb on nb.id = b.id group by 1, 2),
+    p as (select d.doc_id as id, i.lat, i.lng, i.accident_date from documents d join active i on i.seq = d.doc_id)"""
 
 
 def placed(t) -> DataFrame:
-    """Reports whose text has a vector: the incident of the vector's number has its place and date."""
-    return t.active.select(c("seq").alias("id"), "lat", "lng", "accident_date")
+    """Reports with a text: a document is the description of the incident of its number."""
+    return t.active.select(c("seq").alias("id"), "lat", "lng", "accident_date").join(t.documents.select(c("doc_id").alias("id")), "id", "left_semi")
 
 
 def far_apart(metres: float = 2000.0, days: int = 2) -> Column:
@@ -189,20 +259,23 @@ def far_apart(metres: float = 2000.0, days: int = 2) -> Column:
     return (m > metres) | F.coalesce(F.abs(F.datediff("a_accident_date", "b_accident_date")) > days, F.lit(False))
 
 
-def reused(vectors: DataFrame, places: DataFrame, least: float = 0.95) -> DataFrame:
+def reused(vectors: DataFrame, places: DataFrame, least: float = REUSED) -> DataFrame:
     """Pairs of a query (id that 50 divides) and another report with nearly the same text, filed for another
-    place or date."""
-    pairs = cosine_pairs(vectors.filter(asked(vectors)), vectors, least)
+    place or date. Of hashed vectors the usual bounds by shared slots cut nothing: a text fills
+    four of ten slots, so queries meet all rows in blocks."""
+    placed_only = vectors.join(places.select("id"), "id", "left_semi")
+    pairs = cosine_pairs(placed_only.filter(asked(vectors)), placed_only, least)
     at = lambda x: places.select(*[c(k).alias(f"{x}_{k}") for k in ("id", "lat", "lng", "accident_date")])
     return pairs.join(at("a"), "a_id").join(at("b"), "b_id").filter(far_apart()).select("a_id", "b_id", half_up(c("s"), 4).alias("similarity"))
 
 
-@query(f"""
-    with {PLACED} select a.vec_id as a_id, b.vec_id as b_id, {sql_half_up(COSINE, 4)} as similarity from p a join p b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id
-    where {COSINE} >= 0.4e0 and ({km('a.lat', 'a.lng', 'b.lat', 'b.lng')} * 1000e0 > 2000e0 or coalesce(abs(date_diff('day', a.accident_date, b.accident_date)) > 2, false))""")
+FAR = f"({km('a.lat', 'a.lng', 'b.lat', 'b.lng')} * 1000e0 > 2000e0 or coalesce(abs(date_diff('day', a.accident_date, b.accident_date)) > 2, false))"
+
+
+@query(f"with {VECTORS} select a_id, b_id, {sql_half_up('s', 4)} as similarity from cs join p a on a.id = a_id join p b on b.id = b_id where s >= {REUSED}e0 and {FAR}")
 def text_reuse_pairs(t):
-    """Reuse at 0.4 or more: the vectors given are of no real texts and none of them come near 0.95."""
-    return reused(doubles(t.embeddings, "vec_id", "embedding"), placed(t), 0.4)
+    """Reports whose whole texts are alike by hashed vectors, at 0.9, filed for another place or date."""
+    return reused(text_vectors(t.documents, "doc_id"), placed(t))
 
 
 #: Photos are alike up to so many bits of 64; eight bands of eight bits.
@@ -275,41 +348,57 @@ def hamming_pairs(t):
 SHARES, REACH_M, REACH_DAYS, LIKELY, POSSIBLE, LIKELY_M = (0.55, 0.3, 0.15), 1500.0, 2, 0.7, 0.45, 500.0
 
 
-def duplicates(vectors: DataFrame, places: DataFrame, low: float = 0.3, span: float = 0.6, possible: float = POSSIBLE) -> DataFrame:
+def duplicates(vectors: DataFrame, places: DataFrame, low: float = 0.1, span: float = 0.7, possible: float = POSSIBLE) -> DataFrame:
     """Likeness of text, place and date in one score, for reports (ids that 50 divides) and
     all others within 1500 m and, where both are dated, two days. Candidates meet by place; only their
-    vectors are compared."""
-    at = lambda x, df: df.select(*[c(k).alias(f"{x}_{k}") for k in ("id", "lat", "lng", "accident_date", "v")])
-    rows = places.join(vectors, "id")
-    pairs = radius_pairs(at("a", rows.filter(asked(rows))), at("b", rows), REACH_M).filter("a_id != b_id")
+    vectors are compared. ``low`` and ``span`` bring likeness to a scale from 0 to 1: those of
+    hashed vectors, unless others are given."""
+    at = lambda x, df: df.select(*[c(k).alias(f"{x}_{k}") for k in ("id", "lat", "lng", "accident_date")])
+    pairs = radius_pairs(at("a", places.filter(asked(places))), at("b", places), REACH_M).filter("a_id != b_id")
     days = F.abs(F.datediff("a_accident_date", "b_accident_date"))
     pairs = pairs.withColumn("days", days).filter(c("days").isNull() | (c("days") <= REACH_DAYS))
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda acc, z: acc + z)
-    s = F.round(dot("a_v", "b_v") / (F.sqrt(dot("a_v", "a_v")) * F.sqrt(dot("b_v", "b_v"))), 12)
+    s = c("s")
+    pairs = with_cosines(pairs.select("a_id", "b_id", "m", "days"), vectors)
     alike = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (s - low) / span))
     when = F.when(c("days").isNull(), 0.3).when(c("days") == 0, 1.0).when(c("days") <= 1, 0.7).otherwise(0.4)
     score = F.lit(SHARES[0]) * alike + F.lit(SHARES[1]) * F.greatest(F.lit(0.0), F.lit(1.0) - c("m") / REACH_M) + F.lit(SHARES[2]) * when
-    y = pairs.select("a_id", "b_id", "m", half_up(score, 2).alias("score")).filter(c("score") >= possible)
-    return y.select("a_id", "b_id", "score", F.when((c("score") >= LIKELY) & (half_up(c("m")) <= LIKELY_M), "likely_duplicate").otherwise("possible_duplicate").alias("verdict"))
+    y = pairs.select("a_id", "b_id", half_up(c("m")).alias("metres"), half_up(score, 2).alias("score")).filter(c("score") >= possible)
+    return y.select("a_id", "b_id", "score", F.when((c("score") >= LIKELY) & (c("metres") <= LIKELY_M), "likely_duplicate").otherwise("possible_duplicate").alias("verdict"))
 
 
-@query(f"""
-    with {PLACED}, x as (select a.vec_id as a_id, b.vec_id as b_id, {COSINE} as s, abs(date_diff('day', a.accident_date, b.accident_date)) as days, {km('a.lat', 'a.lng', 'b.lat', 'b.lng')} * 1000e0 as m from p a join p b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
-    y as (select *, {sql_half_up("0.55e0 * greatest(0e0, least(1e0, (s - 0.1e0) / 0.7e0)) + 0.3e0 * greatest(0e0, 1e0 - m / 1500e0) + 0.15e0 * case when days is null then 0.3e0 when days = 0 then 1e0 when days <= 1 then 0.7e0 else 0.4e0 end", 2)} as score from x where m <= 1500 and coalesce(days <= 2, true))
-    select a_id, b_id, score, case when score >= 0.7 and {sql_half_up('m')} <= 500 then 'likely_duplicate' else 'possible_duplicate' end as verdict from y where score >= 0.15""")
-def duplicate_score(t):
-    """From 0.15 on: the vectors given are of no real texts, so likeness adds little."""
-    return duplicates(doubles(t.embeddings, "vec_id", "embedding"), placed(t), 0.1, 0.7, 0.15)
+def with_cosines(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``pairs`` of (a_id, b_id, ...) with ``s``, the cosine of their vectors (0 if one has no length)."""
 
+    def multiply(batches):
+        for batch in batches:
+            a, b = (batch.column(x).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1) for x in ("a_v", "b_v"))
+            norms = np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1))
+            s = np.round(np.divide((a * b).sum(axis=1), norms, out=np.zeros(len(a)), where=norms > 0), 12)
+            kept = [batch.column(x) for x in names]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(s)], [*names, "s"])
 
-#: Slots of a hashed vector, its alphabet, and the weights of words and of character triples.
-SLOTS, OTHER, WORD_WEIGHT, TRIPLE_WEIGHT = 1024, "[^a-z0-9\u0c80-\u0cff\u0900-\u097f ]+", 1.0, 0.5
+    names = pairs.columns
+    v = lambda x: vectors.select(c("id").alias(f"{x}_id"), c("v").alias(f"{x}_v"))
+    met = pairs.join(v("a"), "a_id").join(v("b"), "b_id").select(*names, "a_v", "b_v")
+    return met.mapInArrow(multiply, StructType([*pairs.schema.fields, StructField("s", DoubleType())]))
+
+
+SCORED = f"""x as (select a.id as a_id, b.id as b_id, coalesce(s, 0e0) as s, abs(date_diff('day', a.accident_date, b.accident_date)) as days, {km('a.lat', 'a.lng', 'b.lat', 'b.lng')} * 1000e0 as m
+        from p a join p b on a.id % 50 = 0 and a.id <> b.id left join cs on cs.a_id = a.id and cs.b_id = b.id),
+    y as (select *, {sql_half_up("0.55e0 * greatest(0e0, least(1e0, (s - 0.1e0) / 0.7e0)) + 0.3e0 * greatest(0e0, 1e0 - m / 1500e0) + 0.15e0 * case when days is null then 0.3e0 when days = 0 then 1e0 when days <= 1 then 0.7e0 else 0.4e0 end", 2)} as score from x where m <= 1500 and coalesce(days <= 2, true)),
+    du as (select a_id, b_id, score, case when score >= {LIKELY} and {sql_half_up('m')} <= {LIKELY_M} then 'likely_duplicate' else 'possible_duplicate' end as verdict from y where score >= {POSSIBLE})"""
+
+
+@query(f"with {VECTORS}, {SCORED} select * from du")
+def duplicate_score(t):
+    """Possible and likely duplicates among reports, by whole texts, places and dates."""
+    return duplicates(text_vectors(t.documents, "doc_id"), placed(t))
 
 
 def hashed_vectors(df: DataFrame, key: str) -> DataFrame:
     """(key, slot, weight): signed counts of words of three letters or more and of character triples
     in 1024 hashed slots, as sparse rows. Tokens are counted before they are hashed."""
-    folded = F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), OTHER, " "), " +", " "))
+    folded = folded_text(c("text"))
     rows = df.select(key, F.concat(F.lit(" "), folded, F.lit(" ")).alias("s"))
     words = F.transform(F.filter(F.split(F.trim("s"), " "), lambda w: F.length(w) > 2), lambda w: F.concat(F.lit("w:"), w))
     triples = F.transform(F.regexp_extract_all("s", F.lit("(?=(...))"), F.lit(1)), lambda x: F.concat(F.lit("c:"), x))
@@ -323,12 +412,7 @@ def hashed_vectors(df: DataFrame, key: str) -> DataFrame:
     return slots.groupBy(key, "slot").agg(F.sum("w").alias("weight")).filter("weight != 0")
 
 
-@query(f"""
-    with s as (select item_id as id, ' ' || trim(regexp_replace(regexp_replace(lower(text), '{OTHER}', ' ', 'g'), ' +', ' ', 'g')) || ' ' as s from benchmark),
-    k as (select id, 'w:' || w as token, 1e0 as each from (select id, unnest(string_split(trim(s), ' ')) as w from s) where length(w) > 2
-        union all select id, 'c:' || x, 0.5e0 from (select id, unnest(list_transform(range(1, length(s) - 1), lambda i: substr(s, i, 3))) as x from s)),
-    h as (select id, md5(token) as h, each from k)
-    select id, ('0x' || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2))::bigint % 1024 as slot, sum(case when ('0x' || substr(h, 10, 1))::bigint % 2 = 1 then each else -each end) as weight from h group by 1, 2 having weight <> 0""")
+@query(f"with {token_sql('benchmark', 'item_id')} select * from tw")
 def hashed_tf(t):
     return hashed_vectors(t.benchmark.select(c("item_id").alias("id"), "text"), "id")
 
@@ -339,12 +423,8 @@ REPORTED = {**WEIGHTS, "off_topic": OFF_TOPIC, "flood": FLOOD[1], "haste": HASTE
 REPORT_SCORE = sql_half_up("1e0 - " + " * ".join(f"(1e0 - case when {k} then {w}e0 else 0e0 end)" for k, w in REPORTED.items()), 2)
 
 
-@query(f"""
-    with {REPORTS}, sc as (select doc_id, {REPORT_SCORE} as spam_score, concat_ws(',', {", ".join(f"case when {k} then '{k}' end" for k in REPORTED)}) as signals from rp)
-    select doc_id, spam_score, signals, {VERDICT} as verdict from sc""")
-def integrity_report(t):
-    """Signals of the text, its topic and its reporter's haste in one score and verdict. A report
-    is a document, filed as the event of its number; the last day's reports of that user count."""
+def report_flags(t) -> DataFrame:
+    """Documents with their signs of spam, whether they are off topic, and their reporter's haste."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("user_id").orderBy("at").rangeBetween(-86400_000_000, 0)
@@ -353,12 +433,50 @@ def integrity_report(t):
     d = t.documents.select("doc_id", "text", (~text.rlike("(?i)" + ACCIDENT)).alias("off_topic"))
     rows = signals(d, known_pairs(t)).join(recent, c("doc_id") == c("event_id"), "left")
     n = F.coalesce("recent", F.lit(0))
-    rows = rows.withColumns({"flood": n >= FLOOD[0], "haste": (n >= HASTE[0]) & (n < FLOOD[0])})
+    return rows.withColumns({"flood": n >= FLOOD[0], "haste": (n >= HASTE[0]) & (n < FLOOD[0])})
+
+
+@query(f"""
+    with {REPORTS}, sc as (select doc_id, {REPORT_SCORE} as spam_score, concat_ws(',', {", ".join(f"case when {k} then '{k}' end" for k in REPORTED)}) as signals from rp)
+    select doc_id, spam_score, signals, {VERDICT} as verdict from sc""")
+def integrity_report(t):
+    """Signals of the text, its topic and its reporter's haste in one score and verdict. A report
+    is a document, filed as the event of its number; the last day's reports of that user count."""
+    rows = report_flags(t)
     score = half_up(noisy_or_of(weights_of(REPORTED)), 2)
     s = rows.select("doc_id", score.alias("spam_score"), F.concat_ws(",", *[F.when(c(k), k) for k in REPORTED]).alias("signals"))
     return s.select("doc_id", "spam_score", "signals", F.when(c("spam_score") >= 0.6, "likely_spam").when(c("spam_score") >= 0.3, "review").otherwise("ok").alias("verdict"))
 
 
+REUSE_WEIGHT = 0.3
+
+
+@query(f"""
+    with {REPORTS}, {VECTORS}, {SCORED}, ru as (select a_id, count(*) as reused from cs join p a on a.id = a_id join p b on b.id = b_id where s >= {REUSED}e0 and {FAR} group by 1),
+    be as (select a_id, arg_max(b_id, (score, -b_id)) as duplicate_of, max(score) as duplicate_score, arg_max(verdict, (score, -b_id)) as duplicate_verdict from du group by 1),
+    z as (select *, 1e0 - {" * ".join(f"(1e0 - case when {k} then {w}e0 else 0e0 end)" for k, w in REPORTED.items())} * (1e0 - case when reused > 0 then {REUSE_WEIGHT}e0 else 0e0 end) as raw from p join rp on rp.doc_id = p.id left join ru on ru.a_id = p.id left join be on be.a_id = p.id where p.id % 50 = 0),
+    o as (select *, {sql_half_up('raw', 2)} as spam_score from z)
+    select id, spam_score, {VERDICT} as spam_verdict, concat_ws(',', {", ".join(f"case when {k} then '{k}' end" for k in REPORTED)}, case when reused > 0 then 'reused_text' end) as signals,
+        coalesce(reused, 0) as reused, duplicate_of, duplicate_score, coalesce(duplicate_verdict, 'none') as duplicate_verdict from o""")
+def report_verdict(t):
+    """The whole check of a report (ids that 50 divides) against all others: signs of spam, topic, haste
+    and reuse in one score and verdict, and its best duplicate, of ties the one with the smaller id."""
+    vectors, places = text_vectors(t.documents, "doc_id"), placed(t)
+    again = reused(vectors, places).groupBy(c("a_id").alias("id")).agg(F.count(F.lit(1)).alias("reused"))
+    best = F.struct("score", (-c("b_id")).alias("first"))
+    twins = duplicates(vectors, places).groupBy(c("a_id").alias("id")).agg(F.max_by("b_id", best).alias("duplicate_of"), F.max("score").alias("duplicate_score"), F.max_by("verdict", best).alias("duplicate_verdict"))
+    asked_only = places.filter(asked(places)).select("id")
+    rows = report_flags(t).withColumnRenamed("doc_id", "id").join(asked_only, "id", "left_semi").join(again, "id", "left").join(twins, "id", "left")
+    rows = rows.withColumn("reused_text", F.coalesce("reused", F.lit(0)) > 0)
+    weights = {**REPORTED, "reused_text": REUSE_WEIGHT}
+    s = c("spam_score")
+    scored = rows.withColumn("spam_score", half_up(noisy_or_of(weights_of(weights)), 2))
+    return scored.select(
+        "id", "spam_score", F.when(s >= 0.6, "likely_spam").when(s >= 0.3, "review").otherwise("ok").alias("spam_verdict"), F.concat_ws(",", *[F.when(c(k), k) for k in weights]).alias("signals"),
+        F.coalesce("reused", F.lit(0)).alias("reused"), "duplicate_of", "duplicate_score", F.coalesce("duplicate_verdict", F.lit("none")).alias("duplicate_verdict"),
+    )
+
+
 @query()
 def image_meta_signals(t):
     """Signs of edited or reused photos from their metadata."""
