@@ -1,3 +1,3 @@
 """Operators over the road-safety relations; importing this package registers its queries."""
 
-from . import answers, arguments, facilities, filters, integrity, loading, merging, questions, response, risk, snapshots, spatial, statistics  # noqa: F401
+from . import answers, arguments, facilities, filters, images, integrity, loading, merging, questions, replays, response, risk, snapshots, spatial, statistics  # noqa: F401

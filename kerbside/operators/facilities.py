@@ -9,6 +9,7 @@ from ..functions.geo import half_up
 from ..functions.text import first_match, hour_of, severity_of_score
 from ..plans.dialect import first_match as sql_first
 from ..plans.registry import query
+from ..sources.chatter import json_in
 
 c = F.col
 #: Kinds of facilities by name; the first that is found counts.
@@ -182,3 +183,12 @@ def parse_latlng(t):
 @query("select event_id, json_extract_string(props, '$.k') as k from events")
 def json_props(t):
     return t.events.select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
+@query("""
+    select id, case event_id_kind when 4 then null when 3 then replace(props, '}', ', "note": "a } in text, and {"}') else props end as found, case when event_id_kind <> 4 then json_extract_string(props, '$.k') end as k
+    from (select id, id % 6 as event_id_kind, props from replies)""")
+def json_in_replies(t):
+    """The first whole JSON object of each reply, whatever stands around it."""
+    rows = t.replies.select("id", json_in(c("text")).alias("found"))
+    return rows.select("id", "found", F.get_json_object("found", "$.k").alias("k"))

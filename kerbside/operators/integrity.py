@@ -475,19 +475,3 @@ def report_verdict(t):
         "id", "spam_score", F.when(s >= 0.6, "likely_spam").when(s >= 0.3, "review").otherwise("ok").alias("spam_verdict"), F.concat_ws(",", *[F.when(c(k), k) for k in weights]).alias("signals"),
         F.coalesce("reused", F.lit(0)).alias("reused"), "duplicate_of", "duplicate_score", F.coalesce("duplicate_verdict", F.lit("none")).alias("duplicate_verdict"),
     )
-
-
-@query()
-def image_meta_signals(t):
-    """Signs of edited or reused photos from their metadata."""
-    e = t.events.select("event_id", (c("event_id") % 9).alias("k"), (c("event_id") % 5 * 400 + 320).alias("width"), (c("event_id") % 4).alias("age_days"), (c("event_id") % 6).alias("km"))
-    software = F.when(c("k") == 0, "midjourney").when(c("k") == 1, "photoshop")
-    found = [
-        F.when(software.rlike("(?i)midjourney|dall|stable diffusion|firefly"), "AI_TOOL"),
-        F.when(software.rlike("(?i)photoshop|gimp|snapseed|picsart"), "EDITED"),
-        F.when(c("k") == 2, "NO_CAMERA"),
-        F.when(c("age_days") > 2, "OLD_PHOTO"),
-        F.when(c("km") > 3, "ELSEWHERE"),
-        F.when(c("width") < 600, "LOW_RESOLUTION"),
-    ]
-    return e.select("event_id", F.concat_ws(",", *found).alias("signals"))

@@ -284,19 +284,3 @@ def top_risk_cells(t):
 @query()
 def kfold_assign(t):
     return folds_of(t.active).groupBy("fold").agg(F.count(F.lit(1)).alias("rows"))
-
-
-@query()
-def mulberry32(t):
-    """The n-th draw of a 32-bit generator as a pure function of n; products go in halves of
-    16 bits, so that nothing overflows."""
-    mask = F.lit(0xFFFFFFFF)
-
-    def times(a: Column, b: Column) -> Column:
-        high = (F.shiftright(a, 16) * b).bitwiseAND(F.lit(0xFFFF))
-        return (F.shiftleft(high, 16) + a.bitwiseAND(F.lit(0xFFFF)) * b).bitwiseAND(mask)
-
-    x = F.pmod(F.lit(42) + c("n") * F.lit(0x6D2B79F5), F.lit(1 << 32))
-    x = times(x.bitwiseXOR(F.shiftright(x, 15)), x.bitwiseOR(F.lit(1)))
-    y = x.bitwiseXOR((x + times(x.bitwiseXOR(F.shiftright(x, 7)), x.bitwiseOR(F.lit(61)))).bitwiseAND(mask))
-    return t.spark.range(1, 1001).withColumnRenamed("id", "n").select("n", (y.bitwiseXOR(F.shiftright(y, 14)) / F.lit(float(1 << 32))).alias("draw"))

@@ -75,6 +75,21 @@ BINDINGS = {
             case event_id % 5 when 0 then 'car,auto' when 1 then 'two_wheeler' when 2 then 'bus_truck,pedestrian' when 3 then 'cycle,tank,other' else '' end as vehicles, event_id % 6 = 0 as called_108,
             case when event_id % 3 = 0 then null else event_type || ' at factor ' || regexp_extract(props, '[0-9]+', 0) end as note
         from {events}""",
+    "positions": """
+        select l_orderkey as alert_id, l_returnflag || cast(l_linenumber as string) as kind,
+            timestamp '2024-01-01 00:00:00' + interval '1' second * (l_orderkey % 86400) + interval '1' millisecond * (l_linenumber * (40 + l_orderkey % 5 * 45)) as at_ts
+        from {lineitem}""",
+    "replies": """
+        select event_id as id, case event_id % 6 when 0 then 'Sure: ```json' || chr(10) || props || chr(10) || '```' when 1 then props when 2 then 'A stray ' || chr(123) || ' brace, then ' || props || ' and ' || chr(125) || ' more'
+            when 3 then 'It said "hi": ' || replace(props, chr(125), ', "note": "a ' || chr(125) || ' in text, and ' || chr(123) || '"' || chr(125)) || ' "end' when 4 then 'nothing here ' || chr(123) || ' but "' || event_type || '"' else 'first ' || props || ' second' end as text, props
+        from {events}""",
+    "photos": """
+        select event_id as id, user_id, case event_id % 7 when 0 then 'Canon' when 1 then 'Apple' end as make, case event_id % 5 when 0 then 'EOS' end as model, case user_id % 11 when 0 then 'Adobe Photoshop 24' when 1 then 'GIMP 2.10' when 2 then 'Stable Diffusion web UI' else event_type end as software,
+            case user_id % 13 when 0 then 'trainedAlgorithmicMedia' when 1 then 'made with Midjourney' else '' end as description, case when event_id % 4 = 0 then 'png' else 'jpeg' end as format, event_id % 3 = 0 as has_exif,
+            cast(case event_id % 6 when 0 then 1080 when 1 then 1440 else 200 + event_id % 900 end as int) as width, cast(150 + event_id % 700 as int) as height,
+            case when event_id % 5 <> 1 then cast(cast(ts as date) + cast(event_id % 6 as int) as date) end as taken_on, cast(ts as date) as reported_on,
+            case when event_id % 3 = 0 then 12.9e0 + (event_id % 90) * 0.001e0 end as photo_lat, case when event_id % 3 = 0 then 77.5e0 + (event_id % 70) * 0.001e0 end as photo_lng, 12.9e0 + (user_id % 90) * 0.001e0 as lat, 77.5e0 + (user_id % 70) * 0.001e0 as lng
+        from {events}""",
     "campuses": """
         select c_custkey as id, 'Sri ' || c_mktsegment || case cast(floor(c_custkey / 3e0) as bigint) % 4 when 0 then ' Hospitals' when 1 then ' Hospital Pvt Ltd' when 2 then ' Health City' else ' Clinic' end as name,
             case when c_custkey % 3 = 0 then '080-' || cast(c_custkey as string) end as phone, case when c_custkey % 4 = 1 then 'Street ' || cast(c_custkey as string) end as address, case c_custkey % 5 when 0 then 'way' when 1 then 'relation' else 'node' end as osm_type,

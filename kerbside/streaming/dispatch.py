@@ -3,16 +3,13 @@ the same rows from a finished log."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-#: The window in which reports merge, and the order of an alert's stages.
+from .in_order import in_order
+
+#: Fixed value: the window in which reports merge.
 MERGE_WINDOW = "15 minutes"
-STAGES = ("created", "accepted", "dispatched", "on_scene", "closed")
 
 
 def rate_limited(events: DataFrame, limit: int) -> DataFrame:
@@ -21,35 +18,26 @@ def rate_limited(events: DataFrame, limit: int) -> DataFrame:
     return counts.filter(F.col("requests") > limit).select("user_id", F.col("w.start").alias("window_start"), "requests")
 
 
-def lifecycles(log: DataFrame) -> DataFrame:
-    """(alert_id, stage, at_ts) to the state of each alert after each batch: steps go forward by
-    one; a step that doesn't is counted as illegal and changes nothing. A closed alert's state
-    is dropped once the watermark has passed it."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        stage, illegal = state.get if state.exists else (0, 0)
-        rows = pd.concat(list(batches)).sort_values(["at_ts", "stage"])
-        for new in rows["stage"]:
-            if new == stage + 1:
-                stage = int(new)
-            else:
-                illegal += 1
-        state.update((stage, illegal))
-        if stage == len(STAGES):
-            state.setTimeoutTimestamp(int(rows["at_ts"].max().timestamp() * 1000) + 900_000)
-        yield pd.DataFrame({"alert_id": [key[0]], "stage": [stage], "illegal": [illegal]})
-
-    return log.withWatermark("at_ts", MERGE_WINDOW).groupBy("alert_id").applyInPandasWithState(step, "alert_id long, stage int, illegal int", "stage int, illegal int", "update", GroupStateTimeout.EventTimeTimeout)
+def step_of_life(state: dict, at: int, event: dict | None) -> list[tuple]:
+    """Steps go forward by one; a step that doesn't is counted as illegal and changes nothing."""
+    if event["stage"] == state.get("stage", 0) + 1:
+        state["stage"] = event["stage"]
+    else:
+        state["illegal"] = state.get("illegal", 0) + 1
+    return [(at, state.get("stage", 0), state.get("illegal", 0))]
 
 
-def latest_positions(updates: DataFrame, path: str, checkpoint: str):
-    """Per batch, the last update of each key is appended as Parquet (a debounced sink)."""
+def lifecycles(log: DataFrame, delay: str = MERGE_WINDOW) -> DataFrame:
+    """(alert_id, at_ms, stage, illegal) after each step of (alert_id, at_ts, stage), in the order of
+    event time however the rows arrive."""
+    rows = log.withColumn("rank", F.col("stage"))
+    return in_order(rows, step_of_life, "alert_id", "alert_id long, at_ms long, stage int, illegal int", delay, "rank", "stage")
 
-    def write(batch: DataFrame, number: int) -> None:
-        last = batch.groupBy("alert_id").agg(F.max_by("kind", F.struct("at_ts", "stage")).alias("kind"), F.max("at_ts").alias("at_ts"))
-        last.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return updates.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
+def debounced(updates: DataFrame, silence: str = "150 milliseconds", delay: str = MERGE_WINDOW) -> DataFrame:
+    """(alert_id, kind, at_ts, updates): the last update of each burst of one key, once the key has been
+    silent for longer than ``silence``. A burst is a session of event time, so the same rows come out whatever
+    the batches; at one time the larger kind counts as the last."""
+    rows = updates.withWatermark("at_ts", delay)
+    bursts = rows.groupBy(F.session_window("at_ts", silence).alias("burst"), "alert_id").agg(F.max(F.struct("at_ts", "kind")).alias("last"), F.count(F.lit(1)).alias("updates"))
+    return bursts.select("alert_id", "last.kind", "last.at_ts", "updates")

@@ -31,6 +31,8 @@ def test_rate_limits(spark):
 
 def test_lifecycles(spark):
     log = Tables(spark, SF).alert_events.filter("alert_id < 300").select("alert_id", "stage", F.col("at_ts").cast("timestamp").alias("at_ts")).coalesce(1)
-    found = {r["alert_id"]: (r["stage"], r["illegal"]) for r in streamed(spark, log, lifecycles, "update")}
+    end = spark.createDataFrame([(-1, 1, "2099-01-01")], "alert_id long, stage long, at_ts string").withColumn("at_ts", F.col("at_ts").cast("timestamp"))
+    rows = sorted(streamed(spark, log.unionByName(end), lifecycles, "append"), key=lambda r: r["at_ms"])
+    found = {r["alert_id"]: (r["stage"], r["illegal"]) for r in rows}
     want = {r["alert_id"]: (r["last_stage"], 0) for r in callables()["lifecycle_replay"](spark, SF).filter("alert_id < 300").collect()}
     assert found == want
