@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, StructField, StructType
 
 from ..functions.geo import half_up, haversine_km
 from ..functions.letters import KEY_TRIPLES, LETTERS, shares_of_letters
@@ -205,15 +205,15 @@ class TokenSlots(dict):
         return found
 
 
-def text_vectors(df: DataFrame, key: str) -> DataFrame:
-    """(id, v): the hashed vector of each whole text, SLOTS signed counts of words of three letters or
-    more and of character triples. Nothing is shuffled: a text becomes its vector where it is
-    read. Null and empty texts have only zeros."""
+def with_vectors(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with ``v``, the hashed vector of each whole text, instead of the text: SLOTS signed counts of
+    words of three letters or more and of character triples. Nothing is shuffled: a text becomes
+    its vector where it is read, in a stream too. Null and empty texts have only zeros."""
 
     def hashed(batches):
         slots = TokenSlots()
         for batch in batches:
-            texts, out = batch.column("s"), []
+            texts, out = batch.column(len(names)), []
             for at in range(0, batch.num_rows, 256):
                 part = texts.slice(at, 256).to_pylist()
                 v = np.zeros((len(part), SLOTS), np.float32)
@@ -227,9 +227,17 @@ def text_vectors(df: DataFrame, key: str) -> DataFrame:
                         slot, sign = slots["c:" + x]
                         v[n, slot] += sign * times * TRIPLE_WEIGHT
                 out.append(pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, SLOTS), pa.int32()), pa.array(v.ravel())))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.chunked_array(out).combine_chunks() if out else pa.array([], pa.list_(pa.float32()))], ["id", "v"])
+            vectors = pa.chunked_array(out).combine_chunks() if out else pa.array([], pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], vectors], [*names, "v"])
+
+    names = [x for x in df.columns if x != text]
+    rows = df.select(*names, folded_text(c(text)).alias("s"))
+    return rows.mapInArrow(hashed, StructType([*rows.schema.fields[:-1], StructField("v", ArrayType(FloatType()))]))
 
-    return df.select(c(key).cast("long").alias("id"), folded_text(c("text")).alias("s")).mapInArrow(hashed, "id long, v array<float>")
+
+def text_vectors(df: DataFrame, key: str) -> DataFrame:
+    """(id, v) of the texts of ``df``."""
+    return with_vectors(df.select(c(key).cast("long").alias("id"), "text"), "text")
 
 
 def token_sql(table: str, key: str) -> str:
@@ -357,30 +365,32 @@ def duplicates(vectors: DataFrame, places: DataFrame, low: float = 0.1, span: fl
     pairs = radius_pairs(at("a", places.filter(asked(places))), at("b", places), REACH_M).filter("a_id != b_id")
     days = F.abs(F.datediff("a_accident_date", "b_accident_date"))
     pairs = pairs.withColumn("days", days).filter(c("days").isNull() | (c("days") <= REACH_DAYS))
-    s = c("s")
-    pairs = with_cosines(pairs.select("a_id", "b_id", "m", "days"), vectors)
-    alike = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (s - low) / span))
+    v = lambda x: vectors.select(c("id").alias(f"{x}_id"), c("v").alias(f"{x}_v"))
+    met = pairs.select("a_id", "b_id", "m", "days").join(v("a"), "a_id").join(v("b"), "b_id")
+    return scored_duplicates(cosines(met, ["a_id", "b_id", "m", "days"]), low, span, possible)
+
+
+def scored_duplicates(pairs: DataFrame, low: float = 0.1, span: float = 0.7, possible: float = POSSIBLE) -> DataFrame:
+    """Scores and verdicts of (a_id, b_id, m, days, s)."""
+    alike = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (c("s") - low) / span))
     when = F.when(c("days").isNull(), 0.3).when(c("days") == 0, 1.0).when(c("days") <= 1, 0.7).otherwise(0.4)
     score = F.lit(SHARES[0]) * alike + F.lit(SHARES[1]) * F.greatest(F.lit(0.0), F.lit(1.0) - c("m") / REACH_M) + F.lit(SHARES[2]) * when
     y = pairs.select("a_id", "b_id", half_up(c("m")).alias("metres"), half_up(score, 2).alias("score")).filter(c("score") >= possible)
     return y.select("a_id", "b_id", "score", F.when((c("score") >= LIKELY) & (c("metres") <= LIKELY_M), "likely_duplicate").otherwise("possible_duplicate").alias("verdict"))
 
 
-def with_cosines(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """``pairs`` of (a_id, b_id, ...) with ``s``, the cosine of their vectors (0 if one has no length)."""
+def cosines(pairs: DataFrame, names: list[str]) -> DataFrame:
+    """``names`` of pairs with a_v and b_v, and ``s``, the cosine of these (0 if one has no length)."""
 
     def multiply(batches):
         for batch in batches:
             a, b = (batch.column(x).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1) for x in ("a_v", "b_v"))
             norms = np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1))
             s = np.round(np.divide((a * b).sum(axis=1), norms, out=np.zeros(len(a)), where=norms > 0), 12)
-            kept = [batch.column(x) for x in names]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(s)], [*names, "s"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(s)], [*names, "s"])
 
-    names = pairs.columns
-    v = lambda x: vectors.select(c("id").alias(f"{x}_id"), c("v").alias(f"{x}_v"))
-    met = pairs.join(v("a"), "a_id").join(v("b"), "b_id").select(*names, "a_v", "b_v")
-    return met.mapInArrow(multiply, StructType([*pairs.schema.fields, StructField("s", DoubleType())]))
+    rows = pairs.select(*names, "a_v", "b_v")
+    return rows.mapInArrow(multiply, StructType([*rows.schema.fields[: len(names)], StructField("s", DoubleType())]))
 
 
 SCORED = f"""x as (select a.id as a_id, b.id as b_id, coalesce(s, 0e0) as s, abs(date_diff('day', a.accident_date, b.accident_date)) as days, {km('a.lat', 'a.lng', 'b.lat', 'b.lng')} * 1000e0 as m
