@@ -84,15 +84,15 @@ def filter_excluded_no_time(t):
 
 
 @query("""
-    with r as (select * from active where seq % 3 = 0 and zone = 'South'),
-    n as (select count(*) filter (where hour between 6 and 11) as hits, count(*) filter (where hour is null) as untimed from r)
-    select id, hour, hits = 0 and untimed > 0 as time_filter_dropped from r cross join n where hour between 6 and 11 or (hits = 0 and untimed > 0)""")
+    with n as (select location, area, count(*) filter (where hour between 3 and 4) as hits, count(*) filter (where hour is null) as untimed from active group by 1, 2)
+    select id, hour, hits = 0 and untimed > 0 as time_filter_dropped from active r join n on r.location = n.location and r.area is not distinct from n.area where hour between 3 and 4 or (hits = 0 and untimed > 0)""")
 def filter_soft_time(t):
-    rows = t.active.filter((c("seq") % 3 == 0) & (c("zone") == "South"))
-    hit = hour_in(c("hour"), 6, 11)
-    facts = rows.agg(F.count_if(hit).alias("hits"), F.count_if(c("hour").isNull()).alias("untimed"))
+    """Incidents of each place between three and five at night; where a place has none, but has some
+    without a time, all of its incidents."""
+    hit = hour_in(c("hour"), 3, 4)
+    facts = t.active.groupBy(c("location").alias("l"), c("area").alias("a")).agg(F.count_if(hit).alias("hits"), F.count_if(c("hour").isNull()).alias("untimed"))
     dropped = (c("hits") == 0) & (c("untimed") > 0)
-    return rows.crossJoin(F.broadcast(facts)).filter(hit | dropped).select("id", "hour", dropped.alias("time_filter_dropped"))
+    return t.active.join(facts, (c("location") == c("l")) & c("area").eqNullSafe(c("a"))).filter(hit | dropped).select("id", "hour", dropped.alias("time_filter_dropped"))
 
 
 @query("""

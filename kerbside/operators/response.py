@@ -122,6 +122,41 @@ def list_alerts_for_hospital(t):
     return a.filter((F.coalesce(c("accepted_hospital_id") == 7, F.lit(False))) | c("targeted").isNotNull() | ((c("status") == "new") & near)).select("id")
 
 
+#: Hours back that a console shows, kilometres to alerts that anyone may take, and rows.
+LIST_HOURS, CONSOLE_KM, LIST_ROWS = 24, 15.0, 200
+
+
+def listed_for(alerts: DataFrame, targets: DataFrame, hospital: DataFrame, role: str = "hospital", hours: int = LIST_HOURS, km_around: float = CONSOLE_KM, most: int = LIST_ROWS) -> DataFrame:
+    """The newest alerts of the last ``hours`` before the latest one that a responder may see: an
+    administrator all, a hospital (one row: id, lat, lng) those it accepted, was asked about, or
+    could take, being new and near. Equal times go by id; alerts without a position are near no one."""
+    last = alerts.agg(F.max("created_at").alias("last"))
+    recent = alerts.crossJoin(F.broadcast(last)).filter(c("created_at") >= c("last") - F.expr(f"interval '{hours}' hour"))
+    newest = [c("created_at").desc(), "id"]
+    if role == "admin":
+        return recent.orderBy(*newest).limit(most).drop("last")
+    own = hospital.select(c("id").alias("h_id"), c("lat").alias("h_lat"), c("lng").alias("h_lng"))
+    asked_about = targets.join(F.broadcast(own), c("hospital_id") == c("h_id"), "left_semi").select(c("alert_id").alias("t_id")).distinct()
+    rows = recent.crossJoin(F.broadcast(own)).join(asked_about, c("id") == c("t_id"), "left")
+    near = (c("status") == "new") & (haversine_km(c("lat"), c("lng"), c("h_lat"), c("h_lng")) <= km_around)
+    seen = F.coalesce(c("accepted_hospital_id") == c("h_id"), F.lit(False)) | c("t_id").isNotNull() | F.coalesce(near, F.lit(False))
+    return rows.filter(seen).orderBy(*newest).limit(most).drop("last", "h_id", "h_lat", "h_lng", "t_id")
+
+
+LISTED = f"with n as (select * from alerts where created_at >= (select max(created_at) from alerts) - interval '{LIST_HOURS}' hour), h as (select * from hospitals where id = 7)"
+
+
+@query(f"""{LISTED} select n.id, n.status from n cross join h where n.accepted_hospital_id = 7 or exists (select 1 from alert_targets t where t.alert_id = n.id and t.hospital_id = 7)
+    or (n.status = 'new' and {km('n.lat', 'n.lng', 'h.lat', 'h.lng')} <= {CONSOLE_KM}e0) order by n.created_at desc, n.id limit {LIST_ROWS}""")
+def console_of_hospital(t):
+    return listed_for(t.alerts, t.alert_targets, t.hospitals.filter("id = 7")).select("id", "status")
+
+
+@query(f"{LISTED} select id, status from n order by created_at desc, id limit {LIST_ROWS}")
+def console_of_admin(t):
+    return listed_for(t.alerts, t.alert_targets, t.hospitals.filter("id = 7"), "admin").select("id", "status")
+
+
 @query("select id from hospitals h where not exists (select 1 from accounts u where u.hospital_id = h.id)")
 def unlinked_hospitals(t):
     return t.hospitals.join(t.accounts, c("id") == c("hospital_id"), "left_anti").select("id")

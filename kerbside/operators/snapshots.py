@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import first_match
+from ..plans.dialect import first_match as sql_first
 from ..plans.registry import query
+from .facilities import ZONES
 
 c = F.col
 
@@ -165,3 +168,34 @@ def seed_report(t):
     fields = ("emergency_level", "er_status", "source")
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), c(f).alias("value")) for f in fields]))
     return t.hospitals.select(pairs.alias("x")).groupBy("x.field", "x.value").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Fixed value: columns that a moderator may change.
+EDITABLE = ("title", "description", "location", "area", "zone", "severity", "status", "accident_date")
+
+
+def moderated(df: DataFrame, changes: DataFrame) -> DataFrame:
+    """``df`` with the non-null values of ``changes`` (id, columns of EDITABLE) put in; other columns of a
+    change are not taken. Where a place is changed and no zone is given, the zone is inferred from the
+    new area and location. Of several changes of one id the last by their other columns counts."""
+    taken = [x for x in EDITABLE if x in changes.columns]
+    one = changes.groupBy(c("id").alias("c_id")).agg(F.max(F.struct(*taken)).alias("new"))
+    rows = df.join(one, c("id") == c("c_id"), "left")
+    new = lambda x: c(f"new.{x}") if x in taken else F.lit(None)
+    value = {x: F.coalesce(new(x), c(x)) for x in taken}
+    moved = new("location").isNotNull() | new("area").isNotNull()
+    if "zone" in df.columns:
+        place = F.concat_ws(" ", value.get("area", c("area")), value.get("location", c("location")))
+        value["zone"] = F.when(new("zone").isNotNull(), new("zone")).when(moved, F.when(F.trim(place) == "", "Central").otherwise(first_match(place, ZONES, "Other"))).otherwise(c("zone"))
+    return rows.select(*[value[x].alias(x) if x in value else c(x) for x in df.columns])
+
+
+@query(f"""
+    with n as (select *, case when seq % 5 = 0 then case seq % 4 when 0 then 'Whitefield Main Road' when 1 then 'Hebbal' when 2 then 'Mysore Road' else 'Nowhere' end end as new_location, case when seq % 15 = 0 then 'West' end as new_zone, case when seq % 7 = 0 then 'hidden' end as new_status from incidents)
+    select id, coalesce(new_location, location) as location, coalesce(new_status, status) as status, reporter_id,
+        case when new_zone is not null then new_zone when new_location is not null then {sql_first("concat_ws(' ', area, new_location)", ZONES, 'Other')} else zone end as zone from n""")
+def moderate_places(t):
+    """Changed places get the zone of their new names; a reporter can't be changed."""
+    spots = F.when(c("seq") % 4 == 0, "Whitefield Main Road").when(c("seq") % 4 == 1, "Hebbal").when(c("seq") % 4 == 2, "Mysore Road").otherwise("Nowhere")
+    changes = t.incidents.filter("seq % 5 = 0 or seq % 7 = 0").select("id", F.when(c("seq") % 5 == 0, spots).alias("location"), F.when(c("seq") % 15 == 0, "West").alias("zone"), F.when(c("seq") % 7 == 0, "hidden").alias("status"), F.lit(-1).cast("long").alias("reporter_id"))
+    return moderated(t.incidents, changes).select("id", "location", "status", "reporter_id", "zone")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,12 +14,15 @@ from ..plans.dialect import half_up as sql_half_up
 from ..plans.dialect import km
 from ..plans.dialect import severity_counts as sql_severity
 from ..plans.registry import query
+from ..plans.steps import checkpoint
 
 c = F.col
 SEV = sql_severity()
 #: Cells of the risk grid: 500 m.
 GRID = 0.0045
 SOUTH, WEST = 12.5, 77.0
+#: A little less than the kilometres of a degree of a great circle.
+KM_PER_DEGREE = 111.19
 
 
 def cell(df: DataFrame, size: float = GRID, lat: str = "lat", lng: str = "lng", i: str = "i", j: str = "j") -> DataFrame:
@@ -50,39 +55,49 @@ def side(df: DataFrame, prefix: str, *columns: str) -> DataFrame:
     return df.select(*[c(x).alias(f"{prefix}_{x}") for x in columns])
 
 
-def nearest(points: DataFrame, places: DataFrame, k: int) -> DataFrame:
-    """For each point (p_id, p_lat, p_lng) its ``k`` nearest places (h_id, h_lat, h_lng, ...).
-
-    The places are a reference list; where they are too many to be broadcast, Spark falls back
-    to a shuffled product by itself. Ranks are cut in the tasks before the shuffle."""
-    d = haversine_km(c("p_lat"), c("p_lng"), c("h_lat"), c("h_lng"))
-    order = Window.partitionBy("p_id").orderBy("km", "h_id")
-    return points.crossJoin(places).withColumn("km", d).withColumn("place", F.row_number().over(order)).filter(c("place") <= k)
+def box_of(*sides: tuple[DataFrame, str]) -> tuple[float, float, float, float] | None:
+    """South, west, north, east of all positions; None where there are none."""
+    rows = None
+    for df, x in sides:
+        part = df.select(c(f"{x}_lat").alias("lat"), c(f"{x}_lng").alias("lng"))
+        rows = part if rows is None else rows.unionByName(part)
+    r = rows.agg(F.min("lat"), F.min("lng"), F.max("lat"), F.max("lng")).first()
+    return None if r[0] is None else tuple(r)
 
 
-def nearest_by_cells(points: DataFrame, places: DataFrame, k: int, size: float = 0.009) -> DataFrame:
-    """As ``nearest``, without the product of points and places; rows without a position go.
+def nearest_by_cells(points: DataFrame, places: DataFrame, k: int, size: float | None = None) -> DataFrame:
+    """For each point (p_id, p_lat, p_lng) its ``k`` nearest places (h_id, h_lat, h_lng, ...) with km and
+    ``place`` from 1, of equally near ones the smaller id; rows without a position go.
 
-    Cells of points meet cells of places, which the city's area bounds. The distance of two rows
-    differs from that of their cells' centres by the cells' radii at most (triangle inequality),
-    so a cell of points can leave out a cell of places whose least distance is beyond a distance
-    that holds ``k`` places for sure; where there are fewer than ``k``, none is left out."""
-    positioned = lambda df, x: cell(df.filter(c(f"{x}_lat").isNotNull() & c(f"{x}_lng").isNotNull()), size, f"{x}_lat", f"{x}_lng", f"{x}_i", f"{x}_j")
-    centre = lambda x: (F.lit(SOUTH) + (c(f"{x}_i") + 0.5) * size, F.lit(WEST) + (c(f"{x}_j") + 0.5) * size)
-    radius = lambda x: F.max(haversine_km(c(f"{x}_lat"), c(f"{x}_lng"), *centre(x))).alias(f"{x}_radius")
+    Points meet the places of the cells around theirs. The first cells hold about a quarter of
+    ``k`` places each, so a point meets some multiple of ``k``, however many places there are. A point whose
+    k-th place is no farther than the least way out of those cells is done; the others go on with
+    cells twice as wide, until these hold all places. Work follows the points and ``k``; only the
+    numbers of rows and the box that holds them reach the driver.
+    """
+    positioned = lambda df, x: df.filter(c(f"{x}_lat").isNotNull() & c(f"{x}_lng").isNotNull())
     points, places = positioned(points, "p"), positioned(places, "h")
-    here = points.groupBy("p_i", "p_j").agg(radius("p"))
-    there = places.groupBy("h_i", "h_j").agg(radius("h"), F.count(F.lit(1)).alias("n"))
-    apart, slack = haversine_km(*centre("p"), *centre("h")), c("p_radius") + c("h_radius") + 1e-6
-    met = here.crossJoin(there).withColumn("least", apart - slack).withColumn("most", apart + slack)
-    own = Window.partitionBy("p_i", "p_j")
-    held = F.sum("n").over(own.orderBy("most", "h_i", "h_j").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    bound = F.min(F.when(c("held") >= k, c("most"))).over(own)
-    kept = met.withColumn("held", held).withColumn("bound", bound).filter(c("bound").isNull() | (c("least") <= c("bound"))).select("p_i", "p_j", "h_i", "h_j")
-    near = points.join(kept.join(places, ["h_i", "h_j"]), ["p_i", "p_j"]).drop("p_i", "p_j", "h_i", "h_j")
+    n, box = places.count(), box_of((points, "p"), (places, "h"))
+    extent = 0.0 if box is None else max(box[2] - box[0], box[3] - box[1], 1e-6)
+    if size is None:
+        size = extent if n <= k else max(extent * (k / n) ** 0.5 / 2, 1e-5)
     order = Window.partitionBy("p_id").orderBy("km", "h_id")
-    near = near.withColumn("km", haversine_km(c("p_lat"), c("p_lng"), c("h_lat"), c("h_lng")))
-    return near.withColumn("place", F.row_number().over(order)).filter(c("place") <= k)
+    narrow = 1.0 if box is None else math.cos(math.radians(min(89.0, max(abs(box[0]), abs(box[2])))))
+    found, left = None, points
+    while True:
+        last = n == 0 or size >= extent
+        met = cell(left, size, "p_lat", "p_lng").join(ring(cell(places, size, "h_lat", "h_lng")), ["i", "j"]).drop("i", "j")
+        met = met.withColumn("km", haversine_km(c("p_lat"), c("p_lng"), c("h_lat"), c("h_lng"))).withColumn("place", F.row_number().over(order)).filter(c("place") <= k)
+        if not last:
+            # what stands outside the cells around a point is at least a cell away
+            safe = size * KM_PER_DEGREE * narrow
+            sure = F.max(F.when(c("place") == k, c("km"))).over(Window.partitionBy("p_id")) <= safe
+            met = checkpoint(met.withColumn("sure", F.coalesce(sure, F.lit(False))).filter("sure").drop("sure"))
+            left = checkpoint(left.join(met.select("p_id").distinct(), "p_id", "left_anti"))
+        found = met if found is None else found.unionByName(met)
+        if last or left.isEmpty():
+            return found
+        size *= 2
 
 
 # --- distances and grids ---------------------------------------------------------------
@@ -373,21 +388,25 @@ def near_counts(rows: DataFrame, metres: float, days: int) -> DataFrame:
     return found.select("id", near.alias("near")).filter("near > 0")
 
 
-MATRIX = f"""
-    with h as (select * from hospitals where emergency_level = 'trauma'), a as (select *, cast(extract(hour from created_at + interval '330' minute) as int) as h from alerts where status = 'new' and priority = 'critical')
-    select a.id as alert_id, h.id as hospital_id, {sql_half_up(f"{km('a.lat', 'a.lng', 'h.lat', 'h.lng')} * 1.35e0 / 24e0 * 60e0 * {TRAFFIC.replace('h ', 'a.h ')}", 1)} as eta_min from a cross join h"""
+#: Hospitals of an alert's pool and trauma centres besides.
+POOL, TRAUMA_POOL = 15, 2
 
 
-@query(MATRIX)
+@query(f"""
+    with a as (select *, cast(extract(hour from created_at + interval '330' minute) as int) as h from alerts where status = 'new' and priority = 'critical'),
+    x as (select a.id as alert_id, a.h, b.id as hospital_id, b.emergency_level, {km('a.lat', 'a.lng', 'b.lat', 'b.lng')} as d from a cross join hospitals b where b.emergency_level <> 'none'),
+    u as (select alert_id, hospital_id, h, d from x qualify row_number() over (partition by alert_id order by d, hospital_id) <= {POOL} union select alert_id, hospital_id, h, d from x where emergency_level = 'trauma' qualify row_number() over (partition by alert_id order by d, hospital_id) <= {TRAUMA_POOL})
+    select alert_id, hospital_id, {sql_half_up(f"d * 1.35e0 / 24e0 * 60e0 * {TRAFFIC}", 1)} as eta_min from u""")
 def drive_time_matrix(t):
-    """Every open critical alert against every trauma centre: the matrix is the result."""
+    """Minutes from every open critical alert to each hospital of its pool: the nearest ones, and the nearest
+    trauma centres."""
     from ..functions.geo import drive_minutes
     from ..functions.text import local_hour
 
-    a = side(t.alerts.filter("status = 'new' and priority = 'critical'").withColumn("hour", local_hour(c("created_at"))), "a", "id", "lat", "lng", "hour")
-    h = side(t.hospitals.filter("emergency_level = 'trauma'"), "h", "id", "lat", "lng")
-    eta = half_up(drive_minutes(haversine_km(c("a_lat"), c("a_lng"), c("h_lat"), c("h_lng")), traffic_factor(c("a_hour"))), 1)
-    return a.crossJoin(h).select(c("a_id").alias("alert_id"), c("h_id").alias("hospital_id"), eta.alias("eta_min"))
+    a = t.alerts.filter("status = 'new' and priority = 'critical'").select(c("id").alias("p_id"), c("lat").alias("p_lat"), c("lng").alias("p_lng"), local_hour(c("created_at")).alias("hour"))
+    h = side(t.hospitals.filter("emergency_level != 'none'"), "h", "id", "lat", "lng", "emergency_level")
+    pool = nearest_by_cells(a, h, POOL).unionByName(nearest_by_cells(a, h.filter("h_emergency_level = 'trauma'"), TRAUMA_POOL)).dropDuplicates(["p_id", "h_id"])
+    return pool.select(c("p_id").alias("alert_id"), c("h_id").alias("hospital_id"), half_up(drive_minutes(c("km"), traffic_factor(c("hour"))), 1).alias("eta_min"))
 
 
 # --- routes ----------------------------------------------------------------------------

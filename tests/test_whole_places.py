@@ -4,10 +4,15 @@ import math
 import random
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from kerbside import operators  # noqa: F401
-from kerbside.operators.spatial import duplicate_counts, merge_candidates, near_counts, nearest, nearest_by_cells, overlaps, unlike_routes
+from kerbside.functions.geo import haversine_km
+from kerbside.operators import risk, spatial
+from kerbside.operators.spatial import duplicate_counts, merge_candidates, near_counts, nearest_by_cells, overlaps, unlike_routes
 from kerbside.plans.bindings import RAW, Tables
 from kerbside.plans.registry import ORACLES, callables
 
@@ -15,6 +20,13 @@ SF = "/root/testdata/sf0.01"
 SMALL = "/root/testdata/sf0.001"
 
 
+def nearest(points, places, k):
+    """All points with all places, cut by rank."""
+    km = haversine_km(F.col("p_lat"), F.col("p_lng"), F.col("h_lat"), F.col("h_lng"))
+    order = Window.partitionBy("p_id").orderBy("km", "h_id")
+    return points.crossJoin(places).withColumn("km", km).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+
+
 def rows_of(sql, folder):
     con = duckdb.connect()
     con.execute("set timezone = 'UTC'")
@@ -49,6 +61,46 @@ def test_nearest_by_cells_is_exact(spark, k, n):
     assert shaped(nearest_by_cells(points, places, k)) == shaped(nearest(points.filter("p_lat is not null"), places, k))
 
 
+def test_candidates_follow_points_not_places(spark):
+    """Four times the places, three quarters of them in one spot, leave what a point meets alike."""
+    draw, met = random.Random(5), []
+    points = spark.createDataFrame([(i, 12.9 + draw.random() * 0.1, 77.5 + draw.random() * 0.1) for i in range(200)], "p_id long, p_lat double, p_lng double")
+    for n in (2000, 8000):
+        rows = [(i, *((12.95 + draw.random() * 1e-4, 77.55) if i % 4 else (12.9 + draw.random() * 0.1, 77.5 + draw.random() * 0.1))) for i in range(n)]
+        places = spark.createDataFrame(rows, "h_id long, h_lat double, h_lng double")
+        got = nearest_by_cells(points, places, 5)
+        assert got.count() == 1000
+        size = 0.1 * (5 / n) ** 0.5 / 2
+        first = spatial.cell(points, size, "p_lat", "p_lng").join(spatial.ring(spatial.cell(places, size, "h_lat", "h_lng")), ["i", "j"])
+        met.append(first.count())
+    assert met[1] < 2.5 * met[0]
+
+
+@pytest.mark.parametrize("rows, want", [(30, 0), (400, 1)])
+def test_backtest_gates_and_exact_fit(spark, rows, want):
+    draw = random.Random(rows)
+    data = [(str(i), f"t{i}", "Ring Road" if i % 3 else "x", "Area", draw.choice(["fatal", "minor"]), 12.9 + draw.gauss(0, 0.01), 77.6 + draw.gauss(0, 0.01), f"2024-{1 + i % 12:02d}-10" if i % 8 else None) for i in range(rows)]
+    df = spark.createDataFrame(data, "id string, title string, location string, area string, severity string, lat double, lng double, day string").withColumn("accident_date", F.col("day").cast("date"))
+    cutoff = spark.createDataFrame([("2024-10-01",)], "d string").select(F.col("d").cast("date").alias("cutoff"))
+    found = risk.backtest(df, cutoff).collect()
+    assert len(found) == want
+    if want:
+        r = found[0]
+        later = [x for x in data if x[7] and x[7] >= "2024-10-01"]
+        assert (r["test_rows"], r["history_rows"]) == (len(later), rows - len(later)) and 0 < r["model_hit10"] <= 1 and r["model_hit5"] <= r["model_hit10"]
+        history = df.filter("accident_date is null or accident_date < date'2024-10-01'")
+        pdf = risk.fold_rows(history, cells=spatial.cell(df).select("i", "j").distinct()).toPandas()
+        x = np.column_stack([np.ones(len(pdf)), pdf[list(risk.FEATURES)].astype(float)])
+        y, b = pdf["y"].to_numpy(float), np.zeros(len(risk.FEATURES) + 1)
+        b[0] = math.log(y.mean())
+        # MLlib scales the penalty by each feature's variance; the same there and here
+        ridge = np.diag([0.0, *(risk.PENALTY * x[:, 1:].std(axis=0, ddof=1) ** 2)])
+        fit = risk.fit_poisson(spark.createDataFrame(pdf)).beta
+        plain = np.diag([0.0] + [risk.PENALTY] * len(risk.FEATURES))
+        gradient = lambda beta, pen: x.T @ (y - np.exp(x @ beta)) - pen @ beta
+        assert min(np.abs(gradient(fit, plain)).max(), np.abs(gradient(fit, ridge)).max()) < 1e-2 * y.sum()
+
+
 def test_near_counts_brute(spark):
     rows = [(1, 12.9, 77.5, "2024-01-01"), (2, 12.9, 77.5, "2024-01-03"), (3, 12.9, 77.5, "2024-01-04"), (4, 12.9, 77.5, None), (5, 12.912, 77.5, "2024-01-02"), (6, 12.95, 77.5, "2024-01-01"), (7, 12.95, 77.5, None), (8, 13.2, 77.5, None)]
     df = spark.createDataFrame(rows, "id long, lat double, lng double, day string").selectExpr("id", "lat", "lng", "cast(day as date) accident_date")
