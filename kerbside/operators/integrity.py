@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -286,8 +288,8 @@ def text_reuse_pairs(t):
     return reused(text_vectors(t.documents, "doc_id"), placed(t))
 
 
-#: Photos are alike up to so many bits of 64; eight bands of eight bits.
-ALIKE_BITS, BANDS = 6, 8
+#: Fixed value: photos are alike up to so many bits of 64.
+ALIKE_BITS = 6
 DIGITS = "('0x' || substr(md5({0}), {1}, 8))::bigint"
 TURNED = DIGITS.format("event_id::varchar || ':turned'", 1) + " % 9"
 PLACE = lambda k: DIGITS.format(f"event_id::varchar || ':{k}'", 1) + " % 64"
@@ -321,20 +323,35 @@ def hash_classes(df: DataFrame) -> DataFrame:
     return df.filter(c("hash").isNotNull()).groupBy("hash").agg(F.min("id").alias("rep_id"), F.count(F.lit(1)).alias("members"))
 
 
-def near_hashes(df: DataFrame) -> DataFrame:
+def bands_for(n: int) -> int:
+    """How many bands to cut 64 bits into: six bits touch six bands at most, so all but six are equal. More
+    bands make more and longer keys; the number with the least rows and even candidates is taken."""
+    work = lambda m: math.comb(m, ALIKE_BITS) * (n + n * n / 2.0 ** (64 * (m - ALIKE_BITS) / m + 1))
+    return min(range(ALIKE_BITS + 2, 13), key=work)
+
+
+def near_hashes(df: DataFrame, bands: int | None = None) -> DataFrame:
     """Pairs of representatives whose hashes differ in one to six bits.
 
-    Six bits touch six of eight bands at most, so two bands are equal: hashes meet by each of the
-    28 pairs of bands (pigeonhole), and are tested exactly. Seven bands with one equal find the
-    same pairs from about 30 times as many candidates on even hashes."""
-    band = [F.shiftrightunsigned("hash", 8 * k).bitwiseAND(255) for k in range(BANDS)]
-    pairs = [(i, j) for i in range(BANDS) for j in range(i)]
-    keys = F.array(*[(F.lit(n * 65536).cast("long") + band[i] * 256 + band[j]).cast("int") for n, (i, j) in enumerate(pairs)])
-    cut = hash_classes(df).select("rep_id", "hash", F.explode(keys).alias("key"))
-    a, b = (cut.select(c("rep_id").alias(f"{p}_id"), c("hash").alias(f"{p}_hash"), "key") for p in "ab")
-    distance = F.bit_count(c("a_hash").bitwiseXOR(c("b_hash"))).cast("int")
-    met = a.join(b, "key").filter((c("a_id") < c("b_id")) & (distance <= ALIKE_BITS))
-    return met.select("a_id", "b_id", distance.alias("distance")).distinct()
+    Hashes meet by each choice of the bands that six differing bits leave equal (pigeonhole),
+    and are tested exactly. A pair that shares several keys comes out at the first one only, so
+    nothing is made distinct afterwards. Keys get longer as the hashes get more (``bands_for``).
+    """
+    classes = hash_classes(df)
+    m = bands or bands_for(classes.count())
+    edges = [64 * k // m for k in range(m + 1)]
+    band = lambda x: [F.shiftrightunsigned(x, lo).bitwiseAND((1 << hi - lo) - 1) for lo, hi in zip(edges, edges[1:])]
+    chosen = list(combinations(range(m), m - ALIKE_BITS))
+    keys = F.array(*[F.xxhash64(F.lit(n), *[band(c("hash"))[k] for k in some]) for n, some in enumerate(chosen)])
+    cut = classes.select("rep_id", "hash", F.posexplode(keys).alias("n", "key"))
+    a, b = (cut.select(c("rep_id").alias(f"{p}_id"), c("hash").alias(f"{p}_hash"), "n", "key") for p in "ab")
+    apart = c("a_hash").bitwiseXOR(c("b_hash"))
+    distance = F.bit_count(apart).cast("int")
+    met = a.join(b, ["n", "key"]).filter((c("a_id") < c("b_id")) & (distance <= ALIKE_BITS))
+    # choices are in order of their bands, so the first that a pair shares is that of its first equal bands
+    equal = F.filter(F.array(*[F.when(x == 0, F.lit(k)).otherwise(F.lit(-1)) for k, x in enumerate(band(apart))]), lambda k: k >= 0)
+    own = F.array(*[F.array(*map(F.lit, some)) for some in chosen])[c("n")]
+    return met.filter(F.slice(equal, 1, m - ALIKE_BITS) == own).select("a_id", "b_id", distance.alias("distance"))
 
 
 @query(f"with {HASHES}, {CLASSES} select h.id as event_id, r.rep_id, r.members from h join r on h.hi = r.hi and h.lo = r.lo")

@@ -45,6 +45,9 @@ def test_near_hashes_brute(spark):
     assert {x[2] for x in near} == {1, 2, 3, 4, 5, 6}
     found = [tuple(r) for r in integrity.near_hashes(df).select("a_id", "b_id", "distance").collect()]
     assert sorted(found) == sorted(near)
+    for bands in (9, 11):  # as for many more hashes
+        assert sorted(map(tuple, integrity.near_hashes(df, bands).select("a_id", "b_id", "distance").collect())) == sorted(near)
+    assert integrity.bands_for(10_000) == 8 < integrity.bands_for(10_000_000) <= integrity.bands_for(10**9)
     classes = {r["rep_id"]: r["members"] for r in integrity.hash_classes(df).collect()}
     assert classes == {i: list(members.values()).count(i) for i in set(members.values())}
     assert integrity.near_hashes(df.limit(0)).count() == 0
