@@ -50,17 +50,3 @@ def test_totals_agree(spark):
     total = t.active.count()
     assert run["stats_by_area"](spark, SF).agg({"total": "sum"}).first()[0] == total
     assert run["accident_cells"](spark, SF).agg({"accidents": "sum"}).first()[0] == total
-
-
-def test_generator_is_reproduced(spark):
-    def sequential(seed, n):
-        out, a, full = [], seed, 0xFFFFFFFF
-        for _ in range(n):
-            a = (a + 0x6D2B79F5) & full
-            x = ((a ^ (a >> 15)) * (a | 1)) & full
-            x ^= (x + (((x ^ (x >> 7)) * (x | 61)) & full)) & full
-            out.append(((x ^ (x >> 14)) & full) / 2**32)
-        return out
-
-    got = [r["draw"] for r in callables()["mulberry32"](spark, SF).orderBy("n").limit(50).collect()]
-    assert got == sequential(42, 50)
