@@ -32,7 +32,9 @@ def tables(spark, incidents, *plans):
         found.setdefault(r["call"], {}).setdefault(r["row_no"], {})[r["name"]] = r["value"]
     out: dict = {}
     for r in of.collect():
-        out[r["id"], r["step"]] = [row for _, row in sorted(found.get(r["call"], {}).items())]
+        shaped = dict(found.get(r["call"], {}))
+        out["note", r["id"], r["step"]] = shaped.pop(0, {}).get("Note")
+        out[r["id"], r["step"]] = [row for _, row in sorted(shaped.items())]
     return out
 
 
@@ -50,6 +52,7 @@ def test_known_answers(spark, incidents):
     assert got[0, 1] == count(2, 1, 2) and got[0, 2] == [place("Hebbal flyover", 1, 1, 0, 0), place("Koramangala", 1, 1, 0, 0), place("Hebbal", 1, 0, 1, 0), place("Kormangala", 1, 0, 0, 1), place("Unknown", 1, 0, 0, 1)]
     assert got[1, 1] == count(1, 0, 1)  # one area is misspelt
     assert got[2, 1] == count(1, 1, 0)  # none of the North's rows has a time, so the hours go
+    assert got["note", 2, 1] == "none of the 2 matching records include a time of day, so the 21:00–5:59 filter could not be applied and results cover all hours" and got["note", 0, 1] is None
     assert got[3, 1] == [{"Period": "2024", "Total": "2", "Fatal": "1"}, {"Period": "2025", "Total": "2", "Fatal": "1"}]
     assert got[4, 1] == [{"Matched": "5", "With time": "3", "With date": "4", "Peak hour": "3", "Peak day": "0"}]
     assert got[5, 1] == [place("Hebbal", 2, 1, 1, 0), place("Koramangala", 2, 1, 0, 1), place("Nowhere", 0, 0, 0, 0)]
@@ -59,6 +62,16 @@ def test_known_answers(spark, incidents):
     assert got[9, 1] == [] and (10, 1) not in got  # a search keeps its hours; forecasts are the model's
 
 
+def test_sentences(spark, incidents):
+    calls = answers.calls_of(spark.createDataFrame([(0, *plan("count_incidents", zone="North", hours=(21, 5))), (1, *plan("rank_places", severity="fatal", year=2031, group_by="area")), (2, *plan("compare_places", others="Hebbal; Nowhere")), (3, *plan("hotspots", place="Hebbal"))], PLANS))[1]
+    found = {r["call"].split("|")[0]: r["answer"] for r in answers.sentences(calls, answers.tables_of(calls, incidents)).collect()}
+    note = "none of the 2 matching records include a time of day, so the 21:00–5:59 filter could not be applied and results cover all hours"
+    assert found == {
+        "count_incidents": f"There are 2 incidents in the North zone: 1 fatal, 1 serious and 0 minor (50% fatal). Note: {note}.", "rank_places": "No fatal incidents from 2031-01-01 to 2031-12-31 found.",
+        "compare_places": "Hebbal: 2 (1 fatal, 1 serious, 0 minor); Nowhere: 0 (0 fatal, 0 serious, 0 minor).", "hotspots": 'The worst spots for incidents matching "Hebbal" (within 300 m clusters): Hebbal flyover — 2 incident(s), 1 fatal.',
+    }
+
+
 def test_blocks_of_places(spark, monkeypatch):
     t = Tables(spark, "/root/testdata/sf0.001")
     calls = answers.calls_of(answers.asked_plans(t))[1]
