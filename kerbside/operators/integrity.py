@@ -19,6 +19,7 @@ from ..plans.bindings import spread
 from ..plans.dialect import half_up as sql_half_up
 from ..plans.dialect import km
 from ..plans.registry import query
+from ..plans.steps import checkpoint
 from .spatial import radius_pairs
 from .vectors import asked, cosine_pairs, doubles
 
@@ -337,21 +338,23 @@ def near_hashes(df: DataFrame, bands: int | None = None) -> DataFrame:
     and are tested exactly. A pair that shares several keys comes out at the first one only, so
     nothing is made distinct afterwards. Keys get longer as the hashes get more (``bands_for``).
     """
-    classes = hash_classes(df)
+    classes = checkpoint(hash_classes(df).select("rep_id", "hash"))
     m = bands or bands_for(classes.count())
     edges = [64 * k // m for k in range(m + 1)]
     band = lambda x: [F.shiftrightunsigned(x, lo).bitwiseAND((1 << hi - lo) - 1) for lo, hi in zip(edges, edges[1:])]
-    chosen = list(combinations(range(m), m - ALIKE_BITS))
-    keys = F.array(*[F.xxhash64(F.lit(n), *[band(c("hash"))[k] for k in some]) for n, some in enumerate(chosen)])
-    cut = classes.select("rep_id", "hash", F.posexplode(keys).alias("n", "key"))
-    a, b = (cut.select(c("rep_id").alias(f"{p}_id"), c("hash").alias(f"{p}_hash"), "n", "key") for p in "ab")
+    need = m - ALIKE_BITS
+    chosen = list(combinations(range(m), need))
+    bit_of = band(c("hash"))
+    keys = F.array(*[F.struct(F.lit(sum(1 << k for k in some)).alias("bands"), F.xxhash64(F.lit(n), *[bit_of[k] for k in some]).alias("key")) for n, some in enumerate(chosen)])
+    cut = classes.select("rep_id", "hash", F.explode(keys).alias("x"))
+    a, b = (cut.select(c("rep_id").alias(f"{p}_id"), c("hash").alias(f"{p}_hash"), c("x.bands").alias("bands"), c("x.key").alias("key")) for p in "ab")
     apart = c("a_hash").bitwiseXOR(c("b_hash"))
     distance = F.bit_count(apart).cast("int")
-    met = a.join(b, ["n", "key"]).filter((c("a_id") < c("b_id")) & (distance <= ALIKE_BITS))
-    # choices are in order of their bands, so the first that a pair shares is that of its first equal bands
-    equal = F.filter(F.array(*[F.when(x == 0, F.lit(k)).otherwise(F.lit(-1)) for k, x in enumerate(band(apart))]), lambda k: k >= 0)
-    own = F.array(*[F.array(*map(F.lit, some)) for some in chosen])[c("n")]
-    return met.filter(F.slice(equal, 1, m - ALIKE_BITS) == own).select("a_id", "b_id", distance.alias("distance"))
+    met = a.join(b, ["bands", "key"]).filter((c("a_id") < c("b_id")) & (distance <= ALIKE_BITS))
+    # of the keys that a pair shares, that of its first equal bands
+    equal = [F.when(x == 0, 1).otherwise(0) for x in band(apart)]
+    first = sum((F.when((equal[k] == 1) & (sum(equal[:k], F.lit(0)) < need), 1 << k).otherwise(0) for k in range(m)), F.lit(0))
+    return met.filter(c("bands") == first).select("a_id", "b_id", distance.alias("distance"))
 
 
 @query(f"with {HASHES}, {CLASSES} select h.id as event_id, r.rep_id, r.members from h join r on h.hi = r.hi and h.lo = r.lo")
