@@ -1,11 +1,10 @@
 """Secret scans through a trigram inverted index, in DataFrame functions only.
 
 Each rule's regular expression gives a Boolean query of trigrams that any match must hold.
-One pass over a text lists the trigrams of these queries that it holds. Within a scan these
-lists stay beside their rows, so no text moves: a clause is met where the list has all of its
-trigrams, and a rule's expression verifies the rows that meet a clause of it. ``postings``
-turns the lists into a table (trigram, row) for an index that is kept and asked again. Rules
-without mandatory trigrams scan every text.
+One pass over the texts writes ``postings``, the table (trigram, id) of the trigrams of these
+queries. ``candidates`` intersects the postings of each clause, ids alone; the ids then meet the
+texts, and a rule's expression verifies those that it has a clause of. Rules without mandatory
+trigrams scan every text.
 """
 
 from __future__ import annotations
@@ -18,12 +17,16 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpoint
+
 MOST_STRINGS = 96
 MOST_SET = 8
 #: Trigrams of a clause that are looked up: fewer ask for less, so they only widen the candidates.
 CLAUSE_TERMS = 2
 #: Letters that are frequent in prose: trigrams with few of them are looked up first.
 FREQUENT = "etaoinshrdlu "
+#: Candidate ids that are broadcast to the texts (about 50 MB); more of them meet by a shuffle.
+MOST_BROADCAST = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -199,7 +202,19 @@ def postings(docs: DataFrame, rules: tuple = BASE_RULES + MORE_RULES) -> DataFra
     return docs.select(F.explode(held_terms(F.coalesce("text", F.lit("")), terms_of(rules)[1])).alias("term"), "doc_id")
 
 
-def scan_secrets(docs: DataFrame, rules: tuple = BASE_RULES + MORE_RULES) -> DataFrame:
+def candidates(index: DataFrame, rules: tuple = BASE_RULES + MORE_RULES) -> DataFrame:
+    """(asked_id, asked: array of places in ``rules``): the ids that stand in the postings of all
+    trigrams of a clause of these rules. Each posting meets the clauses that ask for its trigram;
+    an id is in the intersection when it has met all places of the clause, each a bit. Null ids
+    are in no row; an id on many rows has the trigrams of all of them."""
+    queries, _ = terms_of(rules)
+    clauses = [(i, n, 1 << at, (1 << len(clause)) - 1, term) for i, found in queries.items() for n, clause in enumerate(found) for at, term in enumerate(clause)]
+    asked = index.sparkSession.createDataFrame(clauses, "rule int, clause int, bit int, whole int, term string")
+    met = index.filter("doc_id is not null").join(F.broadcast(asked), "term").groupBy("doc_id", "rule", "clause").agg(F.bit_or("bit").alias("bits"), F.first("whole").alias("whole"))
+    return met.filter("bits = whole").groupBy(F.col("doc_id").alias("asked_id")).agg(F.collect_set("rule").alias("asked"))
+
+
+def scan_secrets(docs: DataFrame, rules: tuple = BASE_RULES + MORE_RULES, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """(doc_id, text) to (doc_id, found: array of (start, rank, end, kind)) for every row.
 
     Null and empty texts have no spans; texts are scanned whole; repeated rows and null ids
@@ -209,18 +224,16 @@ def scan_secrets(docs: DataFrame, rules: tuple = BASE_RULES + MORE_RULES) -> Dat
     """
     queries, terms = terms_of(rules)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("held", held_terms(F.col("text"), terms) if terms else F.array().cast("array<string>"))
+    if terms:
+        found = checkpoint(candidates(checkpoint(postings(docs, rules)), rules))
+        found = F.broadcast(found) if found.count() <= most_broadcast else found
+        rows = rows.join(found, F.col("doc_id") == F.col("asked_id"), "left")
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
     text, parts = F.col("text"), []
     for i, rule in enumerate(rules):
-        asked = F.lit(i not in queries)
-        for clause in queries.get(i, ()):
-            met = F.lit(True)
-            for term in clause:
-                met = met & F.array_contains("held", term)
-            asked = asked | met
+        # rows without an id have no postings, so all rules look at them
+        asked = F.col("doc_id").isNull() | F.coalesce(F.array_contains("asked", i), F.lit(False)) if i in queries else F.lit(True)
         parts.append(F.when(asked & text.rlike(rule.pattern), rule_spans(text, rule, i)).otherwise(none))
-    # the pass over the texts is made once, before the spans are
     return rows.select("doc_id", F.array_sort(F.concat(*parts)).alias("found"))
 
 

@@ -289,6 +289,18 @@ def test_added_kinds_and_postings_brute(spark):
     terms = secret_scan.terms_of(secret_scan.BASE_RULES + secret_scan.MORE_RULES)[1]
     posted = sorted((r["term"], r["doc_id"]) for r in secret_scan.postings(df).collect())
     assert posted == sorted((t, i) for i, text in rows if text for t in terms if t in text.lower())
+    # an id is asked by a rule when it is in the postings of all trigrams of a clause of it; repeats add up
+    rules = secret_scan.BASE_RULES + secret_scan.MORE_RULES
+    more = df.unionByName(df.filter("doc_id % 3 = 0").withColumn("text", F.reverse("text")))
+    held = {}
+    for r in more.collect():
+        held.setdefault(r["doc_id"], set()).update(t for t in terms if t in (r["text"] or "").lower())
+    asked = {i: {n for n, clauses in secret_scan.terms_of(rules)[0].items() if any(set(c) <= h for c in clauses)} for i, h in held.items() if i is not None}
+    met = {r["asked_id"]: set(r["asked"]) for r in secret_scan.candidates(secret_scan.postings(more), rules).collect()}
+    assert met == {i: a for i, a in asked.items() if a} and 0 < len(met) < len(held)
+    # beyond the bound of a broadcast, the rows are the same
+    every = lambda most: sorted((r["doc_id"] or -1, str(r["found"])) for r in secret_scan.scan_secrets(more, most_broadcast=most).collect())
+    assert every(0) == every(1 << 19) and len(every(0)) == more.count()
 
 
 def test_rates_against_least_squares():
