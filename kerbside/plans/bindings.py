@@ -111,6 +111,11 @@ BINDINGS = {
             12.85e0 + (cast(floor(p_partkey / 4e0) as bigint) * 3 % 25) * 0.01e0 as lat1, 77.45e0 + (cast(floor(p_partkey / 4e0) as bigint) * 7 % 25) * 0.01e0 as lng1,
             12.85e0 + (cast(floor(p_partkey / 4e0) as bigint) * 5 % 25) * 0.01e0 + 0.03e0 as lat2, 77.45e0 + (cast(floor(p_partkey / 4e0) as bigint) * 11 % 25) * 0.01e0 + 0.03e0 as lng2
         from {part}""",
+    "drives": """
+        select p_partkey as trip, cast(a.alt as int) as alt, cast(s.seq as int) as seq,
+            12.85e0 + (p_partkey * 3 % 25) * 0.01e0 + s.part * ((p_partkey * 5 % 25 - p_partkey * 3 % 25) * 0.01e0 + 0.03e0) + case when s.seq = 1 then case a.alt when 0 then 0e0 when 1 then case when p_partkey % 4 = 1 then 0.0001e0 else 0.006e0 end else -0.009e0 end else 0e0 end as lat,
+            77.45e0 + (p_partkey * 7 % 25) * 0.01e0 + s.part * ((p_partkey * 11 % 25 - p_partkey * 7 % 25) * 0.01e0 + 0.03e0) - case when s.seq = 1 then case a.alt when 0 then 0e0 when 1 then case when p_partkey % 4 = 1 then 0.0001e0 else 0.004e0 end else -0.007e0 end else 0e0 end as lng
+        from {part} cross join (values (0), (1), (2)) as a(alt) cross join (values (0, 0e0), (1, 0.4e0), (2, 1e0)) as s(seq, part) where a.alt <= p_partkey % 3""",
     "facilities": """
         select c_custkey as id, 'hosp ' || c_name || case c_custkey % 8 when 0 then ' dental' when 1 then ' eye care' when 2 then ' general hospital' when 3 then ' trauma'
             when 4 then ' OPD' when 5 then ' polyclinic' when 6 then ' medical college' else '' end as name,
