@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import METRES_PER_DEGREE, half_up, haversine_km, in_box
 from ..functions.text import weight
+from ..plans.bindings import spread
 from ..plans.dialect import half_up as sql_half_up
 from ..plans.dialect import km
 from ..plans.registry import query
@@ -78,10 +79,12 @@ def unlike(lines: DataFrame, most: int = MOST_ROUTES) -> DataFrame:
     """Lines without those that run along one kept before, in the order of ``alt``, at most ``most`` a
     trip. Samples of a trip's lines meet by grid cell; the fold is over the few lines of a trip."""
     size = SHARED_M / METRES_PER_DEGREE / 0.95
-    mine = samples(lines, float(SHARED_STEP))
+    # a trip's first line is kept in any case; the others' samples are the fewer, so these go to the cells around
+    later = lines.withColumn("first", F.min("alt").over(Window.partitionBy("trip"))).filter("alt > first")
+    mine = samples(later, float(SHARED_STEP))
     other = samples(lines, float(LINE_STEP)).select(c("trip").alias("b_trip"), c("alt").alias("b_alt"), c("a_lat").alias("b_lat"), c("a_lng").alias("b_lng"))
-    there = ring(cell(other, size, "b_lat", "b_lng")).withColumnsRenamed({"i": "b_i", "j": "b_j"})
-    met = cell(mine, size, "a_lat", "a_lng").join(there, (c("trip") == c("b_trip")) & (c("alt") > c("b_alt")) & (c("i") == c("b_i")) & (c("j") == c("b_j")))
+    there = cell(other, size, "b_lat", "b_lng").withColumnsRenamed({"i": "b_i", "j": "b_j"})
+    met = ring(cell(mine, size, "a_lat", "a_lng")).join(there, (c("trip") == c("b_trip")) & (c("alt") > c("b_alt")) & (c("i") == c("b_i")) & (c("j") == c("b_j")))
     hits = met.filter(haversine_km(c("a_lat"), c("a_lng"), c("b_lat"), c("b_lng")) * 1000.0 <= SHARED_M).groupBy("trip", "alt", "b_alt").agg(F.countDistinct("leg", "k").alias("hits"))
     alike = hits.join(mine.groupBy("trip", "alt").agg(F.count(F.lit(1)).alias("n")), ["trip", "alt"]).filter(c("hits") / c("n") > SAME).groupBy("trip", "alt").agg(F.collect_set("b_alt").alias("alike"))
     none = F.array().cast("array<int>")
@@ -127,9 +130,9 @@ def chosen(routes: DataFrame) -> DataFrame:
 def suggested(lines: DataFrame, rows: DataFrame, model: DataFrame) -> DataFrame:
     """All steps: trips that are possible, detours, unlike routes, scores, choice. Trips whose ends are
     too close, outside the box or missing give no rows. Lines are written before they are sampled, as
-    each step reads them several times."""
-    every = checkpoint(with_detours(possible(lines)))
-    return chosen(scored(checkpoint(unlike(every)), rows, model))
+    each step reads them several times, and dealt to all cores: few bytes of lines are many samples."""
+    every = spread(checkpoint(with_detours(possible(lines))))
+    return chosen(scored(spread(checkpoint(unlike(every))), rows, model))
 
 
 def reduction(better: Column, worse: Column) -> Column:
