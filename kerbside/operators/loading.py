@@ -8,6 +8,7 @@ from ..functions.geo import in_box
 from ..functions.text import severity_of_score
 from ..plans.registry import query
 from ..sources import incidents as source
+from ..sources.choices import first_source
 from ..sources.incidents import JSON_SCHEMA, csv_field, ewkb_point, geojson_feature, normalised_json, wkt_point
 
 c = F.col
@@ -137,3 +138,22 @@ def weighted_replicate(t):
     from ..functions.text import weight
 
     return t.active.select("id", F.explode(F.sequence(F.lit(1).cast("long"), weight(c("severity")).cast("long"))).alias("copy_no"))
+
+
+def live_hospitals(spark, path):
+    """Elements of a map extract, a JSON object a line."""
+    rows = spark.read.schema("id long, lat double, lon double, tags map<string,string>").json(path)
+    return rows.select("id", c("tags")["name"].alias("name"), "lat", c("lon").alias("lng"))
+
+
+def seed_hospitals(spark, path):
+    rows = spark.read.parquet(path)
+    return rows.select(c("s_suppkey").alias("id"), F.concat(F.lit("Hospital "), "s_name").alias("name"), (F.lit(12.85) + (c("s_suppkey") * 13 % 250) * 0.001).alias("lat"), (F.lit(77.45) + (c("s_suppkey") * 29 % 250) * 0.001).alias("lng"))
+
+
+@query("select id, name, lat, lng, 'seed' as source_label from hospitals")
+def source_fallback(t):
+    """Hospitals of the live extract, else of its kept copy, else of the seed table. The given folders hold
+    the seed alone."""
+    extracts = [(label, f"{t.sf_dir}/{label}-extract.json", live_hospitals) for label in ("live", "cached")]
+    return first_source(t.spark, [*extracts, ("seed", f"{t.sf_dir}/supplier.parquet", seed_hospitals)])
