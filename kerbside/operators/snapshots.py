@@ -159,6 +159,25 @@ def geometry_backfill(t):
     return both.select("id", F.coalesce("lat", "mlat").alias("lat"), F.coalesce("lng", "mlng").alias("lng"), (c("lat").isNull() & c("mlat").isNotNull()).alias("filled"))
 
 
+def set_points(rows: DataFrame, points: DataFrame) -> DataFrame:
+    """``rows`` (id, lat, lng) with the points (id, lat, lng, at) that a geocoder has set, and whether one
+    was: of several for an id the last by ``at``, then the largest. A point that was set counts as it is,
+    a missing one too; ids that no row has change nothing, rows that share an id change alike."""
+    last = points.filter("id is not null").groupBy(c("id").alias("set_id")).agg(F.max(F.struct("at", "lat", "lng")).alias("p"))
+    both = rows.join(last, c("id") == c("set_id"), "left")
+    pick = lambda x: F.when(c("set_id").isNotNull(), c(f"p.{x}")).otherwise(c(x)).alias(x)
+    return both.select("id", pick("lat"), pick("lng"), c("set_id").isNotNull().alias("was_set"))
+
+
+@query("""
+    select i.id, case when p.id is not null then photo_lat else i.lat end as lat, case when p.id is not null then photo_lng else i.lng end as lng, p.id is not null as was_set
+    from incidents i left join (select id, photo_lat, photo_lng from photos where photo_lat is not null) p on i.id = cast(p.id as varchar)""")
+def geometry_set(t):
+    """Incidents with the points that their photos name."""
+    points = t.photos.filter("photo_lat is not null").select(c("id").cast("string").alias("id"), c("photo_lat").alias("lat"), c("photo_lng").alias("lng"), c("taken_on").alias("at"))
+    return set_points(t.incidents.select("id", "lat", "lng"), points)
+
+
 @query("""
     select 'emergency_level' as field, emergency_level as value, count(*) as n from hospitals group by 2 union all
     select 'er_status', er_status, count(*) from hospitals group by 2 union all
