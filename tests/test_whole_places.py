@@ -2,6 +2,7 @@
 
 import math
 import random
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
@@ -41,6 +42,33 @@ def test_all_rows(spark, name, relation, key, where):
     assert got == getattr(Tables(spark, SF), relation).filter(where).count()
 
 
+def test_matrix_has_every_pair(spark):
+    """Far hospitals too: no pool, and no level but none, leaves any out."""
+    t = Tables(spark, SF)
+    alerts = t.alerts.filter("status = 'new' and priority = 'critical'").selectExpr("id", "lat", "lng", "hour(created_at + interval 330 minutes) as hour").collect()
+    hospitals = t.hospitals.filter("emergency_level != 'none'").collect()
+    got = {(r["alert_id"], r["hospital_id"]): r["eta_min"] for r in callables()["drive_time_matrix"](spark, SF).collect()}
+    assert len(got) == len(alerts) * len(hospitals) and len(hospitals) > 17
+    rad = math.radians
+    for a in alerts:
+        factor = 1.5 if a["hour"] in (8, 9, 10, 17, 18, 19, 20) else 1.25 if 11 <= a["hour"] < 17 else 1.0 if a["hour"] >= 22 or a["hour"] < 6 else 1.15
+        for b in hospitals:
+            half = math.sin(rad(b["lat"] - a["lat"]) / 2) ** 2 + math.cos(rad(a["lat"])) * math.cos(rad(b["lat"])) * math.sin(rad(b["lng"] - a["lng"]) / 2) ** 2
+            assert abs(got[a["id"], b["id"]] - 2 * 6371 * math.asin(math.sqrt(half)) * 1.35 / 24 * 60 * factor) < 0.0501
+
+
+def test_matrix_counts_each_row_and_place(spark):
+    """Hospitals of one place, and one without a position, have their cells; so has an alert without one."""
+    day = "timestamp '2024-01-01 00:00:00'"
+    alerts = spark.sql(f"select * from values (1L, 12.9D, 77.5D, 'new', 'critical', {day}), (2L, null, 77.5D, 'new', 'critical', {day}), (3L, 12.9D, 77.5D, 'new', 'urgent', {day}), (4L, 12.9D, 77.5D, 'closed', 'critical', {day}) as v(id, lat, lng, status, priority, created_at)")
+    hospitals = spark.sql("select id, if(id = 30, null, if(id > 20, 40D, 12.9D)) as lat, 77.5D as lng, case id % 4 when 0 then 'trauma' when 1 then 'none' when 2 then 'general' else 'emergency' end as emergency_level from range(40)")
+    got = {(r["alert_id"], r["hospital_id"]): r["eta_min"] for r in spatial.drive_time_matrix(SimpleNamespace(alerts=alerts, hospitals=hospitals)).collect()}
+    open_doors = [i for i in range(40) if i % 4 != 1]
+    assert sorted(got) == [(a, i) for a in (1, 2) for i in open_doors]
+    assert [i for i in open_doors if got[1, i] is None] == [30] and all(got[2, i] is None for i in open_doors)
+    assert all(got[1, i] == 0 for i in open_doors if i <= 20) and got[1, 39] > 10000
+
+
 def test_every_report_has_its_neighbours(spark):
     got = sorted(tuple(r) for r in callables()["near_candidates"](spark, SMALL).collect())
     assert got == rows_of(ORACLES["near_candidates"], SMALL) and len(got) > 0.9 * Tables(spark, SMALL).active.count()
