@@ -33,3 +33,10 @@ def test_overlaps_shuffle_routes_and_no_samples(spark):
     shares = {(r["route_id"], r["other"]): r["share"] for r in got}
     assert shares[0, 100] == shares[103, 3] == 1.0
     assert rows < 500
+
+
+def test_lines_of_many_trips_are_compared_once(spark):
+    one = line_table(spark, 1)
+    many = one.crossJoin(spark.range(500).withColumnRenamed("id", "t")).selectExpr("t * 10 + id as id", "t as trip", "lat1", "lng1", "lat2", "lng2")
+    got, rows = shuffled_rows(spark, lambda: spatial.overlaps(many).groupBy("share").count().collect())
+    assert [r["count"] for r in got] in ([1000], [500, 500]) and rows < 12_000
