@@ -40,3 +40,43 @@ def test_lines_of_many_trips_are_compared_once(spark):
     many = one.crossJoin(spark.range(500).withColumnRenamed("id", "t")).selectExpr("t * 10 + id as id", "t as trip", "lat1", "lng1", "lat2", "lng2")
     got, rows = shuffled_rows(spark, lambda: spatial.overlaps(many).groupBy("share").count().collect())
     assert [r["count"] for r in got] in ([1000], [500, 500]) and rows < 12_000
+
+
+class Given:
+    """Routes and incidents as the tables that queries read."""
+
+    def __init__(self, spark, copies):
+        self.routes = line_table(spark, 2).crossJoin(spark.range(copies).withColumnRenamed("id", "t")).selectExpr("t * 10 + id as id", "t * 10 + trip as trip", "alt", "lat1", "lng1", "lat2", "lng2")
+        self.active = spark.createDataFrame([(12.85 + n * 0.002, 77.45 + n * 0.002, "fatal" if n % 3 else "minor") for n in range(60)], "lat double, lng double, severity string")
+
+
+def taken_by_all(spark, build, copies=120):
+    """Rows of ``build`` for so many copies of four routes, each with the copy it is of, in the order of routes;
+    the routes' lines are sampled once, so that shuffles write fewer rows than copies of samples."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got, rows = shuffled_rows(spark, lambda: build(Given(spark, copies)).collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert rows < 12_000
+    return got
+
+
+def test_scores_sample_lines_and_not_their_routes(spark):
+    got = taken_by_all(spark, spatial.route_scores)
+    assert len(got) == 480 and len({(r["route_id"] % 10, r["incidents"], r["exposure"]) for r in got}) == 4 and any(r["incidents"] for r in got)
+
+
+def test_choices_sample_lines_and_not_their_routes(spark):
+    got = taken_by_all(spark, spatial.choose_safest)
+    assert len(got) == 240 and len({(r["trip"] % 10, r["chosen"] % 10, r["reduction_pct"]) for r in got}) == 2
+
+
+def test_exposures_sample_lines_and_not_their_routes(spark):
+    got = taken_by_all(spark, spatial.route_exposure)
+    assert len(got) == 120 * len({(r["route_id"] % 10, r["lat"], r["m"]) for r in got}) > 0
+
+
+def test_distances_sample_lines_and_not_their_routes(spark):
+    got = taken_by_all(spark, spatial.point_segment_distance)
+    assert len(got) == 120 * len({(r["route_id"] % 10, r["near"], r["closest_m"]) for r in got}) > 0
