@@ -127,7 +127,21 @@ def chosen(routes: DataFrame) -> DataFrame:
     return picked.withColumn("recommended", c("alt") == take).withColumn("fastest", c("alt") == c("fast.alt")).drop("least", "fast", "best")
 
 
-def suggested(lines: DataFrame, rows: DataFrame, model: DataFrame) -> DataFrame:
+def trip_classes(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(trip, of): every trip with the least trip of the same lines; and the lines of those least trips. What
+    is suggested follows from the lines alone, so trips that many take are worked out once."""
+    shape = F.array_sort(F.collect_list(F.struct("alt", "line")))
+    trips = checkpoint(lines.groupBy("trip").agg(shape.alias("shape")))
+    classes = checkpoint(trips.groupBy("shape").agg(F.min("trip").alias("of")))
+    return trips.join(classes, "shape").select("trip", "of"), classes.select(c("of").alias("trip"), F.inline("shape"))
+
+
+def for_all(found: DataFrame, trips: DataFrame) -> DataFrame:
+    """Rows of (trip, ...), once for each of ``trips`` (trip, of) of that class."""
+    return trips.join(found.withColumnRenamed("trip", "of"), "of").select(*found.columns)
+
+
+def suggested_once(lines: DataFrame, rows: DataFrame, model: DataFrame) -> DataFrame:
     """All steps: trips that are possible, detours, unlike routes, scores, choice. Trips whose ends are
     too close, outside the box or missing give no rows. Lines are written before they are sampled, as
     each step reads them several times, and dealt to all cores: few bytes of lines are many samples."""
@@ -135,6 +149,12 @@ def suggested(lines: DataFrame, rows: DataFrame, model: DataFrame) -> DataFrame:
     return chosen(scored(spread(checkpoint(unlike(every))), rows, model))
 
 
+def suggested(lines: DataFrame, rows: DataFrame, model: DataFrame) -> DataFrame:
+    """``suggested_once`` for every trip, trips of the same lines being worked out once."""
+    trips, classes = trip_classes(lines)
+    return for_all(suggested_once(classes, rows, model), trips)
+
+
 def reduction(better: Column, worse: Column) -> Column:
     return F.when(worse > 0, half_up((worse - better) / worse * 100.0)).otherwise(0.0).cast("int")
 
@@ -221,4 +241,5 @@ MORE = "case when {0} >= 0 then '+' else '' end || regexp_replace(cast({0} as va
             || ' than the fastest route, for ' || {MORE.format('mins')} || ' min and ' || {MORE.format('kms')} || ' km.' end as summary from tw""")
 def safe_route_summaries(t):
     """What is said of each trip's choice."""
-    return summaries(safe_routes(t))
+    trips, classes = trip_classes(lines_of(t.drives))
+    return for_all(summaries(suggested_once(classes, t.active, past_model(t))), trips)

@@ -2,7 +2,7 @@
 
 import random
 
-from kerbside.operators import spatial
+from kerbside.operators import safe_routes, spatial
 
 
 def shuffled_rows(spark, run):
@@ -80,3 +80,30 @@ def test_exposures_sample_lines_and_not_their_routes(spark):
 def test_distances_sample_lines_and_not_their_routes(spark):
     got = taken_by_all(spark, spatial.point_segment_distance)
     assert len(got) == 120 * len({(r["route_id"] % 10, r["near"], r["closest_m"]) for r in got}) > 0
+
+
+def drives_of(spark, copies):
+    draw = random.Random(4)
+    ends = [(12.9 + draw.random() * 0.05, 77.5 + draw.random() * 0.05, 12.98 + draw.random() * 0.02, 77.6 + draw.random() * 0.02) for _ in range(4)]
+    points = [(t, 0, k, *(e[:2] if k == 0 else e[2:])) for t, e in enumerate(ends) for k in (0, 1)]
+    return spark.createDataFrame(points, "trip long, alt int, seq int, lat double, lng double").crossJoin(spark.range(copies)).selectExpr("id * 10 + trip as trip", "alt", "seq", "lat", "lng")
+
+
+class Driven(Given):
+    def __init__(self, spark, copies):
+        super().__init__(spark, 1)
+        self.drives = drives_of(spark, copies)
+
+
+def test_trips_of_the_same_lines_are_suggested_once(spark, monkeypatch):
+    monkeypatch.setattr(safe_routes, "past_model", lambda t: spark.createDataFrame([(80, 120, 1.5, "high")], "i long, j long, expected double, level string"))
+    got, rows = shuffled_rows(spark, lambda: safe_routes.safe_routes(Driven(spark, 200)).drop("alt").collect())
+    assert len(got) == 2400 and len({(r["trip"] % 10, *r[1:]) for r in got}) == 12
+    assert rows < 40_000
+
+
+def test_summaries_of_the_same_lines_are_made_once(spark, monkeypatch):
+    monkeypatch.setattr(safe_routes, "past_model", lambda t: spark.createDataFrame([(80, 120, 1.5, "high")], "i long, j long, expected double, level string"))
+    got, rows = shuffled_rows(spark, lambda: safe_routes.safe_route_summaries(Driven(spark, 200)).collect())
+    assert len(got) == 800 and len({(r["trip"] % 10, r["routes"], r["summary"]) for r in got}) == 4
+    assert rows < 40_000
