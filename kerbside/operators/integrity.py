@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, FloatType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, StructField, StructType
 
 from ..functions.geo import half_up, haversine_km
 from ..functions.letters import KEY_TRIPLES, LETTERS, shares_of_letters
@@ -335,26 +335,49 @@ def near_hashes(df: DataFrame, bands: int | None = None) -> DataFrame:
     """Pairs of representatives whose hashes differ in one to six bits.
 
     Hashes meet by each choice of the bands that six differing bits leave equal (pigeonhole),
-    and are tested exactly. A pair that shares several keys comes out at the first one only, so
-    nothing is made distinct afterwards. Keys get longer as the hashes get more (``bands_for``).
+    and are tested exactly. A pair that shares several choices comes out at the first one only, so
+    nothing is made distinct afterwards. Choices get longer as the hashes get more (``bands_for``).
+    Any choice has one of the first seven bands, so a row is dealt out seven times, by the value of
+    each of these, and the other bands of a choice are held against each other where the rows are.
     """
     classes = checkpoint(hash_classes(df).select("rep_id", "hash"))
     m = bands or bands_for(classes.count())
     edges = [64 * k // m for k in range(m + 1)]
-    band = lambda x: [F.shiftrightunsigned(x, lo).bitwiseAND((1 << hi - lo) - 1) for lo, hi in zip(edges, edges[1:])]
     need = m - ALIKE_BITS
-    chosen = list(combinations(range(m), need))
-    bit_of = band(c("hash"))
-    keys = F.array(*[F.struct(F.lit(sum(1 << k for k in some)).alias("bands"), F.xxhash64(F.lit(n), *[bit_of[k] for k in some]).alias("key")) for n, some in enumerate(chosen)])
-    cut = classes.select("rep_id", "hash", F.explode(keys).alias("x"))
-    a, b = (cut.select(c("rep_id").alias(f"{p}_id"), c("hash").alias(f"{p}_hash"), c("x.bands").alias("bands"), c("x.key").alias("key")) for p in "ab")
-    apart = c("a_hash").bitwiseXOR(c("b_hash"))
-    distance = F.bit_count(apart).cast("int")
-    met = a.join(b, ["bands", "key"]).filter((c("a_id") < c("b_id")) & (distance <= ALIKE_BITS))
-    # of the keys that a pair shares, that of its first equal bands
-    equal = [F.when(x == 0, 1).otherwise(0) for x in band(apart)]
-    first = sum((F.when((equal[k] == 1) & (sum(equal[:k], F.lit(0)) < need), 1 << k).otherwise(0) for k in range(m)), F.lit(0))
-    return met.filter(c("bands") == first).select("a_id", "b_id", distance.alias("distance"))
+    masks = [((1 << hi - lo) - 1) << lo for lo, hi in zip(edges, edges[1:])]
+    kind = classes.schema["rep_id"].dataType
+
+    def met(key: tuple, rows: pa.Table) -> pa.Table:
+        first = key[0].as_py()
+        ids, h = rows.column("rep_id").to_numpy(), rows.column("hash").to_numpy().view(np.uint64)
+        found: list[tuple] = []
+        for rest in combinations(range(first + 1, m), need - 1):
+            some = (first, *rest)
+            cut = h & np.uint64(sum(masks[k] for k in some))
+            order = np.argsort(cut)
+            cut, at = cut[order], h[order]
+            gap, left = 1, np.arange(len(cut) - 1)
+            # what is equal to the row so many places on is equal to all rows between
+            while len(left := left[cut[left] == cut[left + gap]]):
+                apart = at[left] ^ at[left + gap]
+                bits = np.bitwise_count(apart)
+                near = bits <= ALIKE_BITS
+                # of the bands between those of the choice none may be equal, or another choice has the pair
+                for k in range(some[-1]):
+                    if k not in some:
+                        near &= (apart & np.uint64(masks[k])) != 0
+                a, b = ids[order[left[near]]], ids[order[left[near] + gap]]
+                found.append((np.minimum(a, b), np.maximum(a, b), bits[near].astype(np.int32)))
+                gap += 1
+                left = left[left + gap < len(cut)]
+        columns = [np.concatenate(x) for x in zip(*found)] if found else [ids[:0], ids[:0], np.zeros(0, np.int32)]
+        return pa.table([pa.array(x, rows.schema.field("rep_id").type if n < 2 else pa.int32()) for n, x in enumerate(columns)], names=["a_id", "b_id", "distance"])
+
+    value = [F.shiftrightunsigned("hash", lo).bitwiseAND((1 << hi - lo) - 1) for lo, hi in zip(edges, edges[1:])][: ALIKE_BITS + 1]
+    dealt = classes.select("rep_id", "hash", F.posexplode(F.array(*value)).alias("band", "value"))
+    # a row is few bytes and much work, so partitions are not put together by their bytes
+    dealt = dealt.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "band", "value")
+    return dealt.groupBy("band", "value").applyInArrow(met, StructType([StructField("a_id", kind), StructField("b_id", kind), StructField("distance", IntegerType())]))
 
 
 @query(f"with {HASHES}, {CLASSES} select h.id as event_id, r.rep_id, r.members from h join r on h.hi = r.hi and h.lo = r.lo")

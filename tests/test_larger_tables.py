@@ -2,7 +2,7 @@
 
 import random
 
-from kerbside.operators import response, safe_routes, spatial
+from kerbside.operators import integrity, response, safe_routes, spatial
 
 
 def shuffled_rows(spark, run):
@@ -131,3 +131,10 @@ def test_alerts_of_one_place_end_alike(spark):
     first = {r["alert_id"]: (r["rounds"], r["notified"], r["exhausted_at"]) for r in got}
     assert len(got) == 1500 and all(first[r["alert_id"]] == (r["max(round_no)"], r["count(1)"], r["max(due_at)"]) for r in plan)
     assert rows < 12_000
+
+
+def test_hashes_are_dealt_out_seven_times(spark):
+    hashes = spark.range(3000).selectExpr("id", "xxhash64(id div 2, 7L) ^ if(id % 2 = 1, 5L << cast(id % 50 as int), 0L) as hash")
+    got, rows = shuffled_rows(spark, lambda: integrity.near_hashes(hashes).collect())
+    assert {(r["a_id"], r["b_id"], r["distance"]) for r in got} >= {(n, n + 1, 2) for n in range(0, 3000, 2)}
+    assert rows < 30_000
