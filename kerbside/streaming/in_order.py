@@ -96,13 +96,14 @@ def in_order(log: DataFrame, machine: Machine, key: str, schema: str, delay: str
 
 def replay(log: DataFrame, machine: Machine, key: str, schema: str, until: str, *fields: str) -> DataFrame:
     """The same rows from a finished log, up to the time ``until``. A key's log is what one machine
-    lives through, so it fits a task."""
+    lives through, so it fits a task; keys go to Python many at a time."""
     columns = [x.split()[0] for x in schema.split(", ")]
     end = pd.Timestamp(until, tz="UTC").value // 1_000_000
 
-    def run(keys: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        held = {"events": [json.loads(x) for x in rows["event"]], "state": {}}
-        return pd.DataFrame([(keys[0], *r) for r in advance(machine, held, end)], columns=columns)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for logs in batches:
+            lives = ((k, advance(machine, {"events": [json.loads(x) for x in events], "state": {}}, end)) for k, events in zip(logs["key"].tolist(), logs["events"]))
+            yield pd.DataFrame([(k, *r) for k, rows in lives for r in rows], columns=columns, dtype=object)
 
     rows = events_of(log.filter(F.col(key).isNotNull() & F.col("at_ts").isNotNull()), key, "at_ts", *fields)
-    return rows.groupBy(key).applyInPandas(run, schema)
+    return rows.groupBy(F.col(key).alias("key")).agg(F.collect_list("event").alias("events")).mapInPandas(run, schema)

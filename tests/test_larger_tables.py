@@ -3,6 +3,7 @@
 import random
 
 from kerbside.operators import integrity, response, safe_routes, spatial
+from kerbside.streaming.in_order import replay
 
 
 def shuffled_rows(spark, run):
@@ -135,6 +136,25 @@ def test_alerts_of_one_place_end_alike(spark):
 
 def test_hashes_are_dealt_out_seven_times(spark):
     hashes = spark.range(3000).selectExpr("id", "xxhash64(id div 2, 7L) ^ if(id % 2 = 1, 5L << cast(id % 50 as int), 0L) as hash")
-    got, rows = shuffled_rows(spark, lambda: integrity.near_hashes(hashes).collect())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got, rows = shuffled_rows(spark, lambda: integrity.near_hashes(hashes).collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert {(r["a_id"], r["b_id"], r["distance"]) for r in got} >= {(n, n + 1, 2) for n in range(0, 3000, 2)}
     assert rows < 30_000
+
+
+def test_machines_of_many_keys_share_a_call(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def machine(state, at, event):
+        state["n"] = state.get("n", 0) + 1
+        if event["rank"] == 0:
+            calls.add(1)
+        return [(at, state["n"], event["rank"] or None)]
+
+    log = spark.range(6000).selectExpr("id div 3 as key", "timestamp_seconds(3 - id % 3) as at_ts", "cast(id % 3 as int) as rank").coalesce(1)
+    seen = replay(log, machine, "key", "key long, at_ms long, n int, rank long", "2100-01-01", "rank")
+    assert {tuple(r) for r in seen.collect()} == {(k, (3 - n) * 1000, 3 - n, n or None) for k in range(2000) for n in range(3)}
+    assert calls.value == 2000 and "FlatMapGroups" not in seen._jdf.queryExecution().toString()
