@@ -2,7 +2,7 @@
 
 import random
 
-from kerbside.operators import integrity, response, safe_routes, spatial
+from kerbside.operators import integrity, leaders, merging, response, safe_routes, spatial
 from kerbside.streaming.in_order import replay
 
 
@@ -158,3 +158,19 @@ def test_machines_of_many_keys_share_a_call(spark):
     seen = replay(log, machine, "key", "key long, at_ms long, n int, rank long", "2100-01-01", "rank")
     assert {tuple(r) for r in seen.collect()} == {(k, (3 - n) * 1000, 3 - n, n or None) for k in range(2000) for n in range(3)}
     assert calls.value == 2000 and "FlatMapGroups" not in seen._jdf.queryExecution().toString()
+
+
+def reports(spark, n):
+    rows = spark.range(n).selectExpr("id", "12.9 + id % 4 * 0.01 + hash(id, 1) % 3 * 0.001 as lat", "77.5 + hash(id, 2) % 3 * 0.001 as lng", "cast(timestamp_seconds(1700000000 + id * 60) as timestamp_ntz) as created_at", "id % 9 = 0 as is_drill")
+    return rows.selectExpr("id", "cast(lat as double) lat", "cast(lng as double) lng", "if(id % 400 > 300, created_at + interval 30 days, created_at) as created_at", "is_drill")
+
+
+def test_quiet_neighbourhoods_need_no_rounds(spark, monkeypatch):
+    """The loop over small groups and the rounds elect alike, and without crowds there are no rounds."""
+    asked, met = [], leaders.Near.met
+    monkeypatch.setattr(leaders.Near, "met", lambda *x, **y: asked.append(1) or met(*x, **y))
+    by_loop = {tuple(r) for r in merging.merged_into(reports(spark, 400)).collect()}
+    assert len(asked) == 1
+    monkeypatch.setattr(leaders, "SMALL_GROUP", 0)
+    assert {tuple(r) for r in merging.merged_into(reports(spark, 400)).collect()} == by_loop and len(asked) > 4
+    assert len(by_loop) == 400 and 20 < len({a for _, a in by_loop}) < 400
