@@ -2,7 +2,7 @@
 
 import random
 
-from kerbside.operators import integrity, leaders, merging, response, safe_routes, spatial
+from kerbside.operators import answers, integrity, leaders, merging, response, safe_routes, spatial
 from kerbside.streaming.in_order import replay
 
 
@@ -174,3 +174,13 @@ def test_quiet_neighbourhoods_need_no_rounds(spark, monkeypatch):
     monkeypatch.setattr(leaders, "SMALL_GROUP", 0)
     assert {tuple(r) for r in merging.merged_into(reports(spark, 400)).collect()} == by_loop and len(asked) > 4
     assert len(by_loop) == 400 and 20 < len({a for _, a in by_loop}) < 400
+
+
+def test_questions_of_the_same_words_are_planned_once(spark):
+    class Asked:
+        active = spark.createDataFrame([("Hosa Road",), ("Area 3",)], "area string")
+        asked = spark.range(4000).selectExpr("id", "concat('How many fatal accidents in Area 3 in 202', id % 3, ' after 9 pm?') as text")
+
+    got, rows = shuffled_rows(spark, lambda: answers.distinct_calls(Asked).collect())
+    assert {(r["tool"], r["place"], r["year"], r["hours"]) for r in got} == {("count_incidents", "Area 3", f"202{k}", "21-5") for k in range(3)}
+    assert len(got) == 3 and rows < 1000
